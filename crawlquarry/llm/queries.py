@@ -4,10 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlquarry.llm import sql, termfreq
+from crawlquarry.llm import confusables, mojibake, sql, termfreq
 from crawlquarry.session import table
 
 
+def p1_found(spark, d):
+    rows = confusables.unified_rows(table(spark, d, "fetches"), table(spark, d, "agents"), table(spark, d, "crawlers"), with_text=False)
+    return rows.select("src", "row_id").distinct()
+
+
+def p1_normalised(spark, d):
+    return confusables.unified_rows(table(spark, d, "fetches"), table(spark, d, "agents"), table(spark, d, "crawlers"))
+
+
+def p1_agent_forms(spark, d):
+    agents, crawlers = table(spark, d, "agents"), table(spark, d, "crawlers")
+    return confusables.unified_agents(agents, crawlers, confusables.unified_rows(table(spark, d, "fetches"), agents, crawlers))
+
+
+def p2_found(spark, d):
+    return mojibake.garbled_rows(table(spark, d, "fetches")).select(F.col("row_id").alias("fetch_id"))
+
+
+def p2_restored(spark, d):
+    return mojibake.restored_rows(table(spark, d, "fetches")).withColumnRenamed("row_id", "fetch_id")
+
+
 def _values(spark, d):
     return termfreq.values_of(table(spark, d, "agents"), table(spark, d, "rules"), table(spark, d, "audit_records"))
 
@@ -21,6 +43,11 @@ def p4_term_counts(spark, d):
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_normalised": p1_normalised,
+    "p1_agent_forms": p1_agent_forms,
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
     "p4_found": p4_found,
     "p4_term_counts": p4_term_counts,
 }
