@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlquarry.llm import confusables, mojibake, sql, termfreq
+from crawlquarry.llm import canondup, confusables, mojibake, sql, termfreq
 from crawlquarry.session import table
 
 
@@ -30,6 +30,22 @@ def p2_restored(spark, d):
     return mojibake.restored_rows(table(spark, d, "fetches")).withColumnRenamed("row_id", "fetch_id")
 
 
+def _keys(spark, d):
+    return canondup.text_keys(table(spark, d, "fetches")).unionByName(canondup.record_keys(table(spark, d, "record_lines")))
+
+
+def p3_found(spark, d):
+    return canondup.copy_pairs(_keys(spark, d))
+
+
+def p3_distinct_contents(spark, d):
+    return canondup.distinct_contents(_keys(spark, d))
+
+
+def p3_fetch_contents(spark, d):
+    return canondup.distinct_contents(canondup.text_keys(table(spark, d, "fetches"))).select("keep_id", "copies")
+
+
 def _values(spark, d):
     return termfreq.values_of(table(spark, d, "agents"), table(spark, d, "rules"), table(spark, d, "audit_records"))
 
@@ -48,6 +64,9 @@ QUERIES = {
     "p1_agent_forms": p1_agent_forms,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
+    "p3_found": p3_found,
+    "p3_distinct_contents": p3_distinct_contents,
+    "p3_fetch_contents": p3_fetch_contents,
     "p4_found": p4_found,
     "p4_term_counts": p4_term_counts,
 }

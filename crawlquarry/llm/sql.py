@@ -15,7 +15,16 @@ counted as (
 )
 """
 
+_KEYS = r"""
+with k as (
+  select fetch_id, array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(lower(text), '\r\n|\r|\n'),
+         lambda x: regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g')), lambda x: x <> '')), chr(10)) as key
+  from fetches where text is not null
+)
+"""
+
 SQL = {
+    "p3_fetch_contents": _KEYS + "select min(fetch_id) as keep_id, count(distinct fetch_id) as copies from k where key <> '' group by key",
     "p4_found": _TERMS + "select field, term, mark from marked where mark is not null",
     "p4_term_counts": _TERMS + "select field, term, occurrences, records, mark from marked",
 }
