@@ -41,9 +41,10 @@ LETTER_PAIRS = dict(
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯ㅤ﻿ﾠ"
 JOINERS = "‌‍︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️"
 TYPOGRAPHIC = "…‥․"
+MOST_CRAWLERS = 100_000
 _RAISED = ("<super>", "<sub>", "<fraction>")
-_WORD = re.compile(rf"[\w{INVISIBLE}{JOINERS}]+")
-_NAME = re.compile(rf"[\w\-{INVISIBLE}{JOINERS}]+")
+_INNER = frozenset("_" + INVISIBLE + JOINERS + "".join(chr(o) for o in range(0x300, 0x370)))
+_HYPHEN = frozenset("-")
 KINDS = ("compatibility", "decomposed", "invisible", "space", "look-alike")
 
 
@@ -98,7 +99,6 @@ def edges() -> tuple[tuple[str, str, str], ...]:
             full, step = unicodedata.normalize("NFD", c), "".join(chr(int(x, 16)) for x in how.split())
             if unicodedata.normalize("NFC", full) == c:
                 out.extend((x, c, "decomposed") for x in {full, step})
-    out.extend((c, " ", "space") for c in ())
     out.extend((c, "", "invisible") for c in INVISIBLE + JOINERS)
     out.extend((c, latin, "look-alike") for c, latin in LETTER_PAIRS.items())
     return tuple(out)
@@ -149,6 +149,32 @@ def _needs_joiner(text: str, at: int) -> bool:
     return unicodedata.category(before) in ("So", "Sk")
 
 
+def _word_at(text: str, at: int, what: frozenset[str] = frozenset()) -> str:
+    """The word around a place: letters, digits, `_`, marks, invisible characters, and those given."""
+    a, b = at, at + 1
+    while a and (text[a - 1].isalnum() or text[a - 1] in _INNER or text[a - 1] in what):
+        a -= 1
+    while b < len(text) and (text[b].isalnum() or text[b] in _INNER or text[b] in what):
+        b += 1
+    return text[a:b]
+
+
+def _latin_otherwise(word: str) -> bool:
+    """Has the word a Latin letter, and no letter that isn't Latin or drawn like one?"""
+    latin = False
+    for c in word:
+        if c.isalpha():
+            if _is_latin(c) or unicodedata.normalize("NFKC", c).isascii():
+                latin = True
+            elif c not in LETTER_PAIRS:
+                return False
+    return latin
+
+
+def _in_latin_word(text: str, at: int) -> bool:
+    return _latin_otherwise(_word_at(text, at))
+
+
 class Rewriter:
     """Greedy rewriting with a multi-pattern automaton."""
 
@@ -171,38 +197,19 @@ class Rewriter:
     def _skeleton(self, word: str) -> str:
         return "".join(LETTER_PAIRS.get(c, "" if c in INVISIBLE or c in JOINERS else c) for c in unicodedata.normalize("NFKC", word))
 
-    def _latin_word(self, text: str, a: int, b: int) -> bool:
-        """Is the word around text[a:b] otherwise Latin, or exactly the look of a known name?"""
-        latin = False
-        word = next((m for m in _WORD.finditer(text, self._left(text, a, _WORD), min(len(text), b + 200)) if m.end() > a), None)
-        if word is None:
-            return False
-        for c in word.group():
-            if c.isalpha():
-                if _is_latin(c) or unicodedata.normalize("NFKC", c).isascii():
-                    latin = True
-                elif c not in LETTER_PAIRS:
-                    return False
-        if latin:
-            return True
-        name = next((m for m in _NAME.finditer(text, self._left(text, a, _NAME), min(len(text), b + 200)) if m.end() > a), None)
-        return name is not None and self._skeleton(name.group()).casefold() in self.names
-
-    @staticmethod
-    def _left(text: str, a: int, what: re.Pattern) -> int:
-        while a and what.fullmatch(text[a - 1]):
-            a -= 1
-        return a
+    def _latin_word(self, text: str, a: int) -> bool:
+        """Is the word around this place otherwise Latin, or exactly the look of a known name?"""
+        return _in_latin_word(text, a) or self._skeleton(_word_at(text, a, _HYPHEN)).casefold() in self.names
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, replacement, kind) of the cases, in order and without overlap."""
         if not text or text.isascii() or not len(self.automaton):
             return []
-        out, words = [], {}
+        out = []
         for end, (size, rep, kind) in self.automaton.iter_long(text):
             a, b = end + 1 - size, end + 1
             if kind == "look-alike":
-                if not self._latin_word(text, a, b):
+                if not self._latin_word(text, a):
                     continue
             elif kind == "invisible":
                 c = text[a]
@@ -234,9 +241,14 @@ def _count_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Occurrences of class members in a task's texts: one row a member that occurs."""
     known = members()
     single = np.array(sorted(ord(x) for x in known if len(x) == 1 and not x.isascii()), dtype=np.uint32)
-    plain_strings = [x for x in known if len(x) > 1 and x.isascii()]
-    marks = re.compile("|".join(re.escape(x) for x in sorted((x for x in known if len(x) > 1 and not x.isascii()), key=len, reverse=True)))
-    has_mark = re.compile("[" + "".join(sorted({re.escape(x[-1]) for x in known if len(x) > 1 and not x.isascii()})) + "]")
+    plain_strings = ahocorasick.Automaton()
+    for x in known:
+        if len(x) > 1 and x.isascii():
+            plain_strings.add_word(x, x)
+    plain_strings.make_automaton()
+    ends = "".join(sorted({x[-1] for x in known if len(x) > 1 and not x.isascii()}))
+    marked = re.compile(f".[{ends}]+")
+    foreign = re.compile("[" + "".join(LETTER_PAIRS) + "]")
     total: Counter = Counter()
     ascii_total = np.zeros(128, dtype=np.int64)
     for batch in batches:
@@ -248,16 +260,13 @@ def _count_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         offsets = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1]
         raw = np.frombuffer(col.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
         ascii_total += np.bincount(raw[raw < 128], minlength=128)
-        whole = raw.tobytes()
-        for x in plain_strings:
-            n = whole.count(x.encode())
-            if n:
-                total[x] += n
+        total.update(x for _, x in plain_strings.iter(raw.tobytes().decode("utf-8", "replace")))
         if (raw >= 128).any():
             odd = np.concatenate(([0], np.cumsum(raw >= 128)))
             rel = offsets - offsets[0]
             rows = np.flatnonzero(odd[rel[1:]] > odd[rel[:-1]])
-            text = "\n".join(col.take(pa.array(rows)).to_pylist())
+            odd_texts = col.take(pa.array(rows)).to_pylist()
+            text = "\n".join(odd_texts)
             points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             points = points[points >= 128]
             at = np.searchsorted(single, points)
@@ -267,11 +276,10 @@ def _count_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 c = chr(code)
                 if c not in LETTER_PAIRS:
                     total[c] += k
-            if has_mark.search(text):
-                total.update(marks.findall(text))
-            for w in _WORD.findall(text):
-                if not w.isascii() and any(c in LETTER_PAIRS for c in w) and any(_is_latin(c) for c in w):
-                    total.update(c for c in w if c in LETTER_PAIRS)
+            total.update(x for x in marked.findall(text) if x in known)
+            for odd_text in odd_texts:
+                for m in foreign.finditer(odd_text):
+                    total[m.group()] += _in_latin_word(odd_text, m.start())
     for o in range(33, 127):
         if chr(o) in known and ascii_total[o]:
             total[chr(o)] += int(ascii_total[o])
@@ -322,12 +330,12 @@ def flagged(texts: DataFrame, representatives: dict[str, str], names: Iterable[s
 def unified_rows(fetches: DataFrame, agents: DataFrame, crawlers: DataFrame, with_text: bool = True) -> DataFrame:
     """src, row_id, kinds, normalised for every text or agent value that holds a case.
 
-    `crawlers` is the fixed rule pack of crawler names (its names and tokens are collected; at most 100,000 names are
-    accepted).  Rows of fetches whose text is garbled are left to the encoding repair.
+    `crawlers` is the fixed rule pack of crawler names; its names and tokens are collected, and a pack of more than
+    MOST_CRAWLERS is refused.  Rows of fetches whose text is garbled are left to the encoding repair.
     """
-    known = [n for r in crawlers.select("name", "tokens").limit(100_001).collect() for n in (r["name"], *(r["tokens"] or ())) if n]
-    if len(known) > 1_000_000:
-        raise ValueError("too many crawler names to hold on the driver")
+    if crawlers.count() > MOST_CRAWLERS:
+        raise ValueError("the rule pack holds too many crawlers for the driver")
+    known = [n for r in crawlers.select("name", "tokens").collect() for n in (r["name"], *(r["tokens"] or ())) if n]
     texts = fetches.select(F.col("fetch_id").alias("row_id"), F.col("text"))
     raws = agents.select(F.col("agent_id").alias("row_id"), F.col("raw").alias("text"))
     reps = choose_representatives(member_counts(texts.select("text").unionByName(raws.select("text"))))

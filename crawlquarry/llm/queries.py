@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlquarry.llm import canondup, confusables, mojibake, sql, termfreq
+from crawlquarry.llm import canondup, confusables, mojibake, residue, sql, termfreq
 from crawlquarry.session import table
 
 
@@ -58,6 +58,22 @@ def p4_term_counts(spark, d):
     return termfreq.marked_terms(_values(spark, d))
 
 
+def _bodies(spark, d):
+    return residue.bodies_of(table(spark, d, "fetches"), table(spark, d, "site_snapshots"))
+
+
+def p6_found(spark, d):
+    return residue.residue_rows(_bodies(spark, d)).select("src", "row_id")
+
+
+def p6_kinds(spark, d):
+    return residue.residue_rows(_bodies(spark, d))
+
+
+def p6_kept(spark, d):
+    return residue.without_residue(_bodies(spark, d)).select("src", "row_id", "body")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_normalised": p1_normalised,
@@ -69,5 +85,8 @@ QUERIES = {
     "p3_fetch_contents": p3_fetch_contents,
     "p4_found": p4_found,
     "p4_term_counts": p4_term_counts,
+    "p6_found": p6_found,
+    "p6_kinds": p6_kinds,
+    "p6_kept": p6_kept,
 }
 SQL = sql.SQL
