@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlquarry.llm import canondup, confusables, mojibake, residue, sql, termfreq
+from crawlquarry.llm import canondup, confusables, mixing, mojibake, packing, residue, sql, termfreq
 from crawlquarry.session import table
 
 
@@ -74,6 +74,23 @@ def p6_kept(spark, d):
     return residue.without_residue(_bodies(spark, d)).select("src", "row_id", "body")
 
 
+def p7_packed(spark, d):
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
+def p7_fill(spark, d):
+    limits = table(spark, d, "pack_limits")
+    return packing.fill_report(packing.packed(table(spark, d, "documents"), limits), limits)
+
+
+def p8_mixed(spark, d):
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark, d):
+    return mixing.share_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_normalised": p1_normalised,
@@ -88,5 +105,9 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_kinds": p6_kinds,
     "p6_kept": p6_kept,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_mixed": p8_mixed,
+    "p8_shares": p8_shares,
 }
 SQL = sql.SQL
