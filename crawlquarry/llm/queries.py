@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlquarry.llm import canondup, confusables, mixing, mojibake, packing, residue, sql, termfreq
+from crawlquarry.llm import canondup, confusables, mixing, mojibake, packing, pii, residue, sql, termfreq
 from crawlquarry.session import table
 
 
@@ -91,6 +91,18 @@ def p8_shares(spark, d):
     return mixing.share_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p9_found(spark, d):
+    return pii.found_kinds(table(spark, d, "documents"))
+
+
+def p9_disclosing_terms(spark, d):
+    return pii.term_disclosure(table(spark, d, "documents"))
+
+
+def p9_sanitised(spark, d):
+    return pii.sanitised(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_normalised": p1_normalised,
@@ -109,5 +121,8 @@ QUERIES = {
     "p7_fill": p7_fill,
     "p8_mixed": p8_mixed,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_disclosing_terms": p9_disclosing_terms,
+    "p9_sanitised": p9_sanitised,
 }
 SQL = sql.SQL
