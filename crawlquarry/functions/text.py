@@ -48,7 +48,7 @@ def like_pattern(pattern: Column) -> Column:
     norm = normalise_encoding(pattern)
     anchored = norm.endswith("$")
     body = F.when(anchored, F.substring(norm, F.lit(1), F.length(norm) - 1)).otherwise(norm)
-    escaped = F.regexp_replace(body, r"([\\%_])", r"\\\\$1")
+    escaped = F.regexp_replace(body, r"([\\%_])", r"\\$1")
     return F.concat(F.regexp_replace(escaped, r"\*+", "%"), F.when(anchored, F.lit("")).otherwise(F.lit("%")))
 
 
@@ -188,7 +188,7 @@ def html_escape(c: Column) -> Column:
 
 
 def markdown_escape(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\|`*_<>\[\]])", r"\\\\$1")
+    return F.regexp_replace(c, r"([\\|`*_<>\[\]])", r"\\$1")
 
 
 def report_filename(site: Column, day: Column) -> Column:

@@ -42,6 +42,11 @@ LOOKALIKE_FROM, LOOKALIKE_TO = "аАеЕоОрРсСух", "aaeeooppccyx"
 KIND_OF = {"user-agent": "user-agent", "allow": "rule", "disallow": "rule", "crawl-delay": "crawl-delay", "sitemap": "sitemap", "host": "host", "clean-param": "clean-param"}
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: it is bound as a lambda variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _lookup(key: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
@@ -134,15 +139,23 @@ def parse(files: DataFrame) -> DataFrame:
 
 def with_groups(parsed: DataFrame) -> DataFrame:
     """Adds `orphans` (directives before the first group) and `groups`: group_id, start_line, end_line, agents, rules, delays."""
-    items = F.filter("lines", lambda x: x["kind"].isin("user-agent", "rule", "crawl-delay"))
-    out = parsed.withColumn("__d", items)
-    starts = F.expr(
-        "filter(if(size(__d) = 0, cast(array() as array<int>), sequence(1, size(__d))), i -> element_at(__d, i).kind = 'user-agent' and (i = 1 or element_at(__d, greatest(i - 1, 1)).kind <> 'user-agent'))"
-    )
-    out = out.withColumn("__p", starts)
-    out = out.withColumn("orphans", F.expr("if(size(__p) = 0, __d, slice(__d, 1, element_at(__p, 1) - 1))"))
-    slices = F.expr("transform(__p, (p, k) -> named_struct('k', k + 1, 'items', slice(__d, p, coalesce(get(__p, k + 1), size(__d) + 1) - p)))")
-    out = out.withColumn("__g", slices)
+    directives = F.filter("lines", lambda x: x["kind"].isin("user-agent", "rule", "crawl-delay"))
+    is_agent = lambda x: x["kind"] == "user-agent"
+
+    def opened(d: Column) -> Column:
+        """Places of the User-agent lines that open a group: not directly behind another one."""
+        pairs = F.arrays_zip(d.alias("now"), F.concat(F.array(F.lit(None).cast("string")), F.transform(d, lambda x: x["kind"])).alias("before"))
+        marked = F.transform(F.slice(pairs, F.lit(1), F.greatest(F.size(d), F.lit(1))), lambda x, i: F.when(is_agent(x["now"]) & ~F.coalesce(x["before"] == "user-agent", F.lit(False)), i + 1))
+        return F.filter(marked, lambda i: i.isNotNull())
+
+    def cut_up(d: Column, at: Column) -> Column:
+        """orphans and the slices between openings."""
+        ends = F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at), F.lit(1))), F.array(F.size(d) + 1))
+        spans = F.zip_with(at, F.slice(ends, F.lit(1), F.greatest(F.size(at), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.struct(
+            F.slice(d, F.lit(1), F.coalesce(F.get(at, F.lit(0)), F.size(d) + 1) - 1).alias("orphans"),
+            F.transform(F.filter(spans, lambda s: s["a"].isNotNull() & s["b"].isNotNull()), lambda s, k: group(F.struct((k + 1).alias("k"), F.slice(d, s["a"], s["b"] - s["a"]).alias("items")))).alias("groups"),
+        )
 
     def group(g: Column) -> Column:
         items = g["items"]
@@ -155,7 +168,8 @@ def with_groups(parsed: DataFrame) -> DataFrame:
             delays.alias("delays"), F.get(F.filter(delays, lambda d: d["delay"].isNotNull()), F.lit(0))["delay"].alias("crawl_delay"),
         )
 
-    return out.withColumn("groups", F.transform("__g", group)).drop("__d", "__p", "__g")
+    out = parsed.withColumn("__s", let(directives, lambda d: let(opened(d), lambda at: cut_up(d, at))))
+    return out.withColumns({"orphans": F.col("__s.orphans"), "groups": F.col("__s.groups")}).drop("__s")
 
 
 # -- tables --------------------------------------------------------------------------------------------------------
