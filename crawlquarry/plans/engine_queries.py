@@ -1,4 +1,214 @@
-"""Queries over the reference operators."""
+"""Queries over the reference operators, on the whole tables of a data directory."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crawlquarry import config as C
+from crawlquarry.functions.messages import worded
+from crawlquarry.functions.presentation import rendered
+from crawlquarry.functions.text import body_hash, normalise_encoding
+from crawlquarry.operators import diff as D
+from crawlquarry.operators import findings as G
+from crawlquarry.operators import match as M
+from crawlquarry.operators import parse as P
+from crawlquarry.operators import recon as R
+from crawlquarry.operators import rollup as U
+from crawlquarry.plans import engine_sql
+from crawlquarry.session import table
+from crawlquarry.sources import io
+
+AI = ["ai_training", "ai_assistant"]
+PROBES = ["/", "/login", "/search?q=1", "/admin/x", "/robots.txt", "/robots.txt?x", "/private/a.pdf"]
+
+
+def _parsed(spark, d):
+    return P.parse(P.files_of_fetches(table(spark, d, "fetches")))
+
+
+def _over(f):
+    return lambda spark, d: f(_parsed(spark, d))
+
+
+def _with_pack(f):
+    return lambda spark, d: f(_parsed(spark, d), C.load())
+
+
+def _verdicts(spark, d):
+    return M.crawler_verdicts(_parsed(spark, d), table(spark, d, "crawlers"))
+
+
+def longest_match_access(spark, d):
+    """Every file, crawler and probed path: allowed, and by which rule.  Rules with encoded or other characters count too."""
+    return M.access_grid(_parsed(spark, d), table(spark, d, "crawlers"), PROBES).select("file_id", "crawler", "token", "path", "allowed", "rule", "line")
+
+
+def typo_repair(spark, d):
+    found = F.filter("lines", lambda x: x["misspelt"])
+    return _parsed(spark, d).select("file_id", F.explode(found).alias("l")).select("file_id", F.col("l.n").alias("line"), F.col("l.raw_field").alias("raw"), "l.field")
+
+
+def _findings(spark, d):
+    config = C.load()
+    parsed = _parsed(spark, d)
+    return G.with_overrides(G.all_findings(parsed, config["checks"], config["crawlers"]["legacy_tokens"]), config["rules"]["disabled"], config["rules"]["levels"])
+
+
+def finding_counts(spark, d):
+    return _findings(spark, d).groupBy("kind", "id", "level").agg(F.count("*").alias("n"))
+
+
+def worded_findings(spark, d):
+    return worded(G.syntax_findings(_parsed(spark, d))).select("file_id", "line", "id", "level", "message")
+
+
+def _recon_counts(spark, d):
+    return R.recon_counts(R.recon(_parsed(spark, d), C.load()))
+
+
+def _security(spark, d):
+    parsed, config = _parsed(spark, d), C.load()
+    return R.sensitive_paths(parsed, config, R.primary_platform(R.platform_scores(parsed, config)))
+
+
+def _summary(spark, d):
+    parsed, config = _parsed(spark, d), C.load()
+    platforms = R.primary_platform(R.platform_scores(parsed, config))
+    verdicts = M.crawler_verdicts(parsed, table(spark, d, "crawlers"))
+    return parsed, verdicts, U.report_summary(parsed, G.syntax_findings(parsed), R.sensitive_paths(parsed, config, platforms), verdicts, M.star_policy(parsed), platforms, "ai_training")
+
+
+def report_summary(spark, d):
+    return _summary(spark, d)[2]
+
+
+def markdown_reports(spark, d):
+    parsed, verdicts, summary = _summary(spark, d)
+    return rendered(U.nested_report(parsed, summary, G.syntax_findings(parsed), verdicts, R.sensitive_paths(parsed, C.load()))).select("file_id", "markdown")
+
+
+def _runs(spark, d):
+    """The standing bodies of the first and the last delivery, keyed by a hash of the site."""
+    snaps = table(spark, d, "site_snapshots").where("domain is not null")
+    ends = snaps.agg(F.min("run_no").alias("a"), F.max("run_no").alias("b")).first()
+    pick = lambda run: snaps.where(F.col("run_no") == run).groupBy("domain").agg(F.max_by("robots_txt", F.struct("fetched_at", "snap_id")).alias("text")).select(F.xxhash64("domain").alias("file_id"), "domain", F.coalesce("text", F.lit("")).alias("text"))
+    return pick(ends["a"]), pick(ends["b"])
+
+
+def semantic_flags(spark, d):
+    return D.text_flags(*_runs(spark, d))
+
+
+def semantic_flips(spark, d):
+    old, new = _runs(spark, d)
+    crawlers = table(spark, d, "crawlers")
+    return D.verdict_flips(M.crawler_verdicts(P.parse(old), crawlers), M.crawler_verdicts(P.parse(new), crawlers))
+
+
+def semantic_sitemaps(spark, d):
+    old, new = _runs(spark, d)
+    return D.sitemap_changes(P.sitemaps(P.parse(old)), P.sitemaps(P.parse(new)))
+
+
+def semantic_issues(spark, d):
+    old, new = _runs(spark, d)
+    return D.issue_changes(G.syntax_findings(P.parse(old)), G.syntax_findings(P.parse(new)))
+
+
+def unified_diffs(spark, d):
+    old, new = _runs(spark, d)
+    both = old.select("file_id", F.col("text").alias("a")).join(new.select("file_id", F.col("text").alias("b")), "file_id").where("a <> b")
+    return both.select("file_id", D.unified_diff("a", "b").alias("diff"))
+
+
+def change_history(spark, d):
+    obs = table(spark, d, "fetches").where("fetch_id is not null").dropDuplicates(["fetch_id"]).select("domain", "observed_at", F.col("fetch_id").alias("obs_id"), "status", "content_type", F.col("text").alias("body"))
+    return D.change_history(obs)
+
+
+def body_hashes(spark, d):
+    return P.files_of_fetches(table(spark, d, "fetches")).select("file_id", body_hash(F.col("text")).alias("hash"))
+
+
+def normalised_paths(spark, d):
+    return table(spark, d, "rules").select("path").where("path is not null").distinct().select("path", normalise_encoding(F.col("path")).alias("norm"))
+
+
+def cleaned_paths(spark, d):
+    parsed = _parsed(spark, d)
+    return M.cleaned_paths(parsed, parsed.select("file_id", F.lit("/forum/?ref=1&sort=2&vellum=3").alias("path")))
+
+
+def mined_documents(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.lit(1).alias("line"), "text")
+    return R.mined_comments(docs, C.load())
+
+
+def comment_tickets(spark, d):
+    return mined_documents(spark, d).where("kind = 'ticket'").select("file_id", "value")
+
+
+def fetch_findings(spark, d):
+    return G.fetch_findings(P.files_of_fetches(table(spark, d, "fetches")))
+
+
+QUERIES = {
+    "longest_match_access": longest_match_access,
+    "parse_lines": _over(P.lines),
+    "parse_groups": _over(P.groups),
+    "parse_agents": _over(P.agents),
+    "parse_rules": _over(P.rules),
+    "sitemaps": _over(P.sitemaps),
+    "first_hosts": _over(P.hosts),
+    "clean_params": _over(P.clean_params),
+    "unknown_directives": _over(P.unknown_directives),
+    "comments": _over(P.comments),
+    "typo_repair": typo_repair,
+    "normalised_paths": normalised_paths,
+    "crawler_verdicts": lambda s, d: _verdicts(s, d).drop("crawl_delay"),
+    "star_policy": _over(M.star_policy),
+    "rule_outcomes": _over(M.rule_outcomes),
+    "cleaned_paths": cleaned_paths,
+    "syntax_findings": _over(G.syntax_findings),
+    "seo_findings": _over(G.seo_findings),
+    "sitemap_findings": _over(G.sitemap_findings),
+    "fetch_findings": fetch_findings,
+    "fetch_status_findings": lambda s, d: fetch_findings(s, d).where("id in ('fetch.warn.serverError', 'fetch.warn.rateLimited', 'fetch.warn.forbidden')").select("file_id", "id"),
+    "finding_counts": finding_counts,
+    "worded_findings": worded_findings,
+    "token_repeated": lambda s, d: G.syntax_findings(_parsed(s, d)).where("id = 'parser.tokenRepeated'").select("file_id", F.col("params")["token"].alias("token"), F.col("params")["n"].cast("long").alias("n")),
+    "star_blocks_all": lambda s, d: G.syntax_findings(_parsed(s, d)).where("id = 'parser.starBlocksAll'").select("file_id"),
+    "high_crawl_delays": lambda s, d: G.syntax_findings(_parsed(s, d)).where("id = 'parser.crawlDelayHigh'").select("file_id", "line", F.col("params")["seconds"].cast("double").alias("seconds")),
+    "sensitive_paths": _security,
+    "sensitive_paths_admin": lambda s, d: R.sensitive_paths(_parsed(s, d), C.load({"security": {"signature": [x for x in C.load()["security"]["signature"] if x["category"] == "admin"]}})).select("file_id", "path", "line"),
+    "platform_scores": _with_pack(R.platform_scores),
+    "generators": _with_pack(R.generators),
+    "cloud_assets": _with_pack(R.cloud_assets),
+    "leaked_hosts": _with_pack(R.leaked_hosts),
+    "environment_paths": _with_pack(R.environment_paths),
+    "api_endpoints": _with_pack(R.api_endpoints),
+    "data_feeds": _with_pack(R.data_feeds),
+    "portals": _with_pack(R.portals),
+    "search_paths": _with_pack(R.search_paths),
+    "search_parameters": _with_pack(R.parameters),
+    "extensions": _with_pack(R.extensions),
+    "mined_documents": mined_documents,
+    "comment_tickets": comment_tickets,
+    "recon_counts": _recon_counts,
+    "ai_status": lambda s, d: U.ai_status(_verdicts(s, d), AI),
+    "leaderboard": lambda s, d: U.leaderboard(_verdicts(s, d), AI),
+    "file_sizes": _over(U.file_sizes),
+    "report_summary": report_summary,
+    "markdown_reports": markdown_reports,
+    "recommended_actions": lambda s, d: U.actions(_findings(s, d)),
+    "crawl_summary": lambda s, d: U.crawl_summary(table(s, d, "audit_records")),
+    "enabled_sites": lambda s, d: io.enabled_sites(table(s, d, "sites")).select("domain", "name", "category"),
+    "semantic_flags": semantic_flags,
+    "semantic_flips": semantic_flips,
+    "semantic_sitemaps": semantic_sitemaps,
+    "semantic_issues": semantic_issues,
+    "unified_diffs": unified_diffs,
+    "change_history": change_history,
+    "body_hashes": body_hashes,
+}
+SQL = engine_sql.SQL
