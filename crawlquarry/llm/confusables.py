@@ -3,8 +3,9 @@
 1. Look-alike classes: union-find over strings and code points.  Edges: compatibility forms of printable ASCII,
    composed letters and their decompositions, look-alike letters of other scripts, odd spaces and U+0020, invisible
    characters and the empty string.  Classes are transitive (fullwidth, mathematical and Cyrillic A are one class).
-2. Representative of a class: its most frequent member in the whole corpus, counted in one distributed pass; look-alike
-   letters of other scripts count only inside words otherwise Latin.  Ties: ASCII first, then shorter, then smaller.
+2. Representative of a class: the most frequent of its ordinary spellings in the whole corpus, counted in one
+   distributed pass; look-alike letters of other scripts count only inside words otherwise Latin.  Ties: ASCII first,
+   then shorter, then smaller.
 3. Rewriting: an Aho-Corasick automaton of all other members walks the text, longest match first, and replaces
    greedily.  Look-alike letters are replaced only in words otherwise Latin, or where a whole word spells a known name.
 
@@ -38,9 +39,9 @@ LETTER_PAIRS = dict(
         "ABESIJKMHOPCTYXaeopcyxsijdhqwkv" "ABEZHIKMNOPTYXovipuakCcj" "SUOLNounhgjqf" "ABCEHJKLMPRSTVZ",
     )
 )
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯ㅤ﻿ﾠ"
-JOINERS = "‌‍︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️"
-TYPOGRAPHIC = "…‥․"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0"
+JOINERS = "\u200c\u200d\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f"
+TYPOGRAPHIC = "\u2026\u2025\u2024"
 MOST_CRAWLERS = 100_000
 _RAISED = ("<super>", "<sub>", "<fraction>")
 _INNER = frozenset("_" + INVISIBLE + JOINERS + "".join(chr(o) for o in range(0x300, 0x370)))
@@ -93,7 +94,7 @@ def edges() -> tuple[tuple[str, str, str], ...]:
         if plain != c and not how.startswith(_RAISED):
             if plain and all(32 < ord(x) < 127 for x in plain):
                 out.append((c, plain, "compatibility"))
-            elif plain in LETTER_PAIRS or c in "ÅΩ":
+            elif plain in LETTER_PAIRS or c in "\u212b\u2126":
                 out.append((c, plain, "compatibility"))
         if not how.startswith("<") and len(how.split()) == 2:
             full, step = unicodedata.normalize("NFD", c), "".join(chr(int(x, 16)) for x in how.split())
@@ -118,15 +119,16 @@ def members() -> frozenset[str]:
 
 
 def choose_representatives(counts: dict[str, int]) -> dict[str, str]:
-    """member -> representative of its class, by frequency; members that represent themselves are left out."""
+    """member -> representative of its class; members that represent themselves are left out.
+
+    The most frequent of a class's ordinary spellings (those that aren't the variant side of any edge); a variant can't
+    represent its class however often it occurs, for what counts as a case doesn't depend on the corpus.
+    """
+    variants = {v for v, _, _ in edges()}
     out: dict[str, str] = {}
     for group in look_alike_classes():
-        if "" in group:  # invisible characters: the empty string is everywhere
-            best = ""
-        else:
-            best = min(group, key=lambda x: (-counts.get(x, 0), not x.isascii(), len(x), x))
-            if not best.isascii() and any(x.isascii() for x in group) and counts.get(best, 0) <= max(counts.get(x, 0) for x in group if x.isascii()):
-                best = min(x for x in group if x.isascii())
+        ordinary = [x for x in group if x not in variants] or list(group)
+        best = min(ordinary, key=lambda x: (-counts.get(x, 0), not x.isascii(), len(x), x))
         out.update((x, best) for x in group if x != best)
     return out
 
@@ -142,7 +144,7 @@ def _needs_joiner(text: str, at: int) -> bool:
         return False
     if before in JOINERS:
         return _needs_joiner(text, at - 1)
-    if "︀" <= text[at] <= "️":
+    if "\ufe00" <= text[at] <= "\ufe0f":
         return not before.isalpha() or ord(before) >= 0x2E80 or unicodedata.category(before)[0] == "S"
     if before.isalpha() or unicodedata.category(before)[0] == "M":
         return not _is_latin(before) and before not in LETTER_PAIRS and not 0x370 <= ord(before) < 0x590 and unicodedata.normalize("NFKC", before).isascii() is False
@@ -213,7 +215,7 @@ class Rewriter:
                     continue
             elif kind == "invisible":
                 c = text[a]
-                if c == "﻿" and a == 0:
+                if c == "\ufeff" and a == 0:
                     continue
                 if c in JOINERS and _needs_joiner(text, a):
                     continue
