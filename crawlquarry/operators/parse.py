@@ -37,7 +37,7 @@ AI_DIRECTIVES = ("license", "disallowaitraining", "allowaitraining", "ai", "tdm-
 LEGACY_DIRECTIVES = ("request-rate", "visit-time", "schemamap")
 META_ROBOTS = ("nofollow", "noarchive", "nosnippet", "noimageindex", "unavailable_after", "notranslate", "max-snippet", "max-image-preview", "max-video-preview", "noodp", "noydir", "index", "follow")
 OTHER_DIRECTIVES = ("noindex", "content-signal", "http", "https")
-INVISIBLE = "﻿​‌‍⁠­"
+INVISIBLE = "\ufeff\u200b\u200c\u200d\u2060\u00ad"
 LOOKALIKE_FROM, LOOKALIKE_TO = "аАеЕоОрРсСух", "aaeeooppccyx"
 KIND_OF = {"user-agent": "user-agent", "allow": "rule", "disallow": "rule", "crawl-delay": "crawl-delay", "sitemap": "sitemap", "host": "host", "clean-param": "clean-param"}
 
@@ -128,11 +128,11 @@ def crawl_delay_value(value: Column) -> Column:
 def parse(files: DataFrame) -> DataFrame:
     """The files with `lines` and `groups` (arrays), `size`, `bom`, `utf16` and the repaired text `src`."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = files.withColumns({"size": F.octet_length(text).cast("long"), "bom": text.startswith("﻿"), "src": F.when(text.startswith("﻿"), F.substring(text, F.lit(2), F.length(text))).otherwise(text)})
+    out = files.withColumns({"size": F.octet_length(text).cast("long"), "bom": text.startswith("\ufeff"), "src": F.when(text.startswith("\ufeff"), F.substring(text, F.lit(2), F.length(text))).otherwise(text)})
     head = F.left(F.col("src"), F.lit(512))
     nuls = F.length(head) - F.length(F.replace(head, F.lit("\x00"), F.lit("")))
     out = out.withColumn("utf16", (F.length(head) >= 4) & (nuls * 4 >= F.length(head)))
-    out = out.withColumn("src", F.when(F.col("utf16"), F.translate("src", "\x00﻿￾", "")).otherwise(F.col("src")))
+    out = out.withColumn("src", F.when(F.col("utf16"), F.translate("src", "\x00\ufeff\ufffe", "")).otherwise(F.col("src")))
     out = out.withColumn("lines", _lines(F.col("src")))
     return with_groups(out)
 
