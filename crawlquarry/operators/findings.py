@@ -189,7 +189,7 @@ def _group_findings(groups: Column) -> Column:
 
 
 def _explode(df: DataFrame, *keep: str) -> DataFrame:
-    return df.select("file_id", *keep, F.explode("found").alias("f")).select("file_id", *keep, "f.phase", "f.line", "f.id", "f.level", "f.kind", "f.variant", "f.params")
+    return df.select("file_id", *keep, F.explode_outer("found").alias("f")).where("f is not null").select("file_id", *keep, "f.phase", "f.line", "f.id", "f.level", "f.kind", "f.variant", "f.params")
 
 
 def syntax_findings(parsed: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def syntax_findings(parsed: DataFrame) -> DataFrame:
     context = F.named_struct(F.lit("group"), first_group, F.lit("host"), first_line("host"), F.lit("delay"), first_delay, F.lit("delays"), delays)
     whole = _explode(parsed.withColumn("found", F.concat(_file_findings(F.col("lines")), _group_findings(F.col("groups")))))
     # lines one by one, so that their many predicates are compiled, not interpreted
-    single = parsed.select("file_id", context.alias("c"), F.explode(F.filter("lines", lambda x: x["kind"] != "blank")).alias("l"))
+    single = parsed.select("file_id", context.alias("c"), F.explode_outer(F.filter("lines", lambda x: x["kind"] != "blank")).alias("l")).where("l is not null")
     found = _line_findings(F.col("l"), F.col("c.group"), F.col("c.host"), F.col("c.delay"), F.col("c.delays"))
     return whole.unionByName(_explode(single.withColumn("found", found)))
 

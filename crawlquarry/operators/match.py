@@ -116,7 +116,7 @@ def crawler_verdicts(parsed: DataFrame, crawlers: DataFrame) -> DataFrame:
     base = parsed.select("file_id", "groups", crawler_literal(crawlers).alias("all"))
     picked = base.select("file_id", "groups", let(file_tokens(F.col("groups")), lambda t: F.transform("all", lambda c: F.struct(c["ord"].alias("ord"), c["name"].alias("name"), c["category"].alias("category"), selected_token(t, c["tokens"]).alias("token")))).alias("picks"))
     summed = picked.select("file_id", "picks", F.transform(F.array_distinct(F.transform("picks", lambda p: p["token"])), lambda t: _summary(F.col("groups"), t)).alias("sums"))
-    rows = summed.select("file_id", "sums", F.explode("picks").alias("p")).select("file_id", "p", F.get(F.filter("sums", lambda s: s["token"].eqNullSafe(F.col("p.token"))), F.lit(0)).alias("s"))
+    rows = summed.select("file_id", "sums", F.explode_outer("picks").alias("p")).where("p is not null").select("file_id", "p", F.get(F.filter("sums", lambda s: s["token"].eqNullSafe(F.col("p.token"))), F.lit(0)).alias("s"))
     return rows.select(
         "file_id", F.col("p.ord").alias("ord"), F.col("p.name").alias("crawler"), F.col("p.category").alias("category"), F.col("p.token").alias("token"),
         F.coalesce(F.col("p.token") != "*", F.lit(False)).alias("specific"), "s.n_allow", "s.n_disallow", "s.verdict", "s.crawl_delay",
@@ -168,7 +168,7 @@ def access_grid(parsed: DataFrame, crawlers: DataFrame, paths: list[str]) -> Dat
         return F.struct(t.alias("token"), let(rules, lambda r: F.transform(lit_paths, lambda p: let(normalise_path(p), lambda q: F.struct(q.alias("path"), let(normalise_encoding(q), lambda n: decide(r, n)).alias("d"))))).alias("made"))
 
     made = picked.select("file_id", "picks", F.transform(F.array_distinct(F.transform("picks", lambda p: p["token"])), of_token).alias("made"))
-    rows = made.select("file_id", "made", F.explode("picks").alias("p")).select("file_id", F.col("p.name").alias("crawler"), F.col("p.token").alias("token"), F.explode(F.get(F.filter("made", lambda m: m["token"].eqNullSafe(F.col("p.token"))), F.lit(0))["made"]).alias("m"))
+    rows = made.select("file_id", "made", F.explode_outer("picks").alias("p")).where("p is not null").select("file_id", F.col("p.name").alias("crawler"), F.col("p.token").alias("token"), F.explode_outer(F.get(F.filter("made", lambda m: m["token"].eqNullSafe(F.col("p.token"))), F.lit(0))["made"]).alias("m")).where("m is not null")
     always = F.col("m.path") == "/robots.txt"
     return rows.select("file_id", "crawler", "token", F.col("m.path").alias("path"), (always | F.col("m.d.allowed")).alias("allowed"), F.when(~always, F.col("m.d.rule.path")).alias("rule"), F.when(~always, F.col("m.d.rule.line")).alias("line"))
 
@@ -195,6 +195,6 @@ def outcome(groups: Column, group: Column, path: Column) -> Column:
 def rule_outcomes(parsed: DataFrame) -> DataFrame:
     """For every rule with a path: a sample path and what really happens to it."""
     ready = with_patterns(parsed).select("file_id", "groups")
-    rows = ready.select("file_id", "groups", F.explode("groups").alias("g")).select("file_id", "groups", "g", F.explode(F.filter("g.rules", lambda r: r["path"] != "")).alias("r"))
+    rows = ready.select("file_id", "groups", F.explode_outer("groups").alias("g")).where("g is not null").select("file_id", "groups", "g", F.explode_outer(F.filter("g.rules", lambda r: r["path"] != "")).alias("r")).where("r is not null")
     out = rows.select("file_id", F.col("g.group_id").alias("group_id"), F.col("r.line").alias("line"), F.col("r.type").alias("type"), F.col("r.path").alias("rule_path"), outcome(F.col("groups"), F.col("g"), sample_path(F.col("r.path"))).alias("o"))
     return out.select("file_id", "group_id", "line", "type", "rule_path", F.col("o.path").alias("path"), F.col("o.state").alias("state"), F.col("o.audience").alias("audience"), F.col("o.line").alias("decided_by"))

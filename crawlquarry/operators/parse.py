@@ -137,6 +137,9 @@ def parse(files: DataFrame) -> DataFrame:
     return with_groups(out)
 
 
+# explode_outer and a filter behind it: a plain explode makes the optimizer copy the whole expression into a filter below
+
+
 def with_groups(parsed: DataFrame) -> DataFrame:
     """Adds `orphans` (directives before the first group) and `groups`: group_id, start_line, end_line, agents, rules, delays."""
     directives = F.filter("lines", lambda x: x["kind"].isin("user-agent", "rule", "crawl-delay"))
@@ -176,22 +179,22 @@ def with_groups(parsed: DataFrame) -> DataFrame:
 
 
 def lines(parsed: DataFrame) -> DataFrame:
-    return parsed.select("file_id", F.explode("lines").alias("l")).select("file_id", F.col("l.n").alias("line"), "l.raw", "l.kind", F.when(F.col("l.kind").isin("blank", "comment", "invalid"), None).otherwise(F.coalesce("l.field", "l.raw_field")).alias("field"), "l.value")
+    return parsed.select("file_id", F.explode_outer("lines").alias("l")).where("l is not null").select("file_id", F.col("l.n").alias("line"), "l.raw", "l.kind", F.when(F.col("l.kind").isin("blank", "comment", "invalid"), None).otherwise(F.coalesce("l.field", "l.raw_field")).alias("field"), "l.value")
 
 
 def groups(parsed: DataFrame) -> DataFrame:
-    return parsed.select("file_id", F.explode("groups").alias("g")).select(
+    return parsed.select("file_id", F.explode_outer("groups").alias("g")).where("g is not null").select(
         "file_id", "g.group_id", "g.start_line", "g.end_line", "g.crawl_delay", F.size("g.agents").alias("n_agents"), F.size("g.rules").alias("n_rules")
     )
 
 
 def agents(parsed: DataFrame) -> DataFrame:
-    return parsed.select("file_id", F.explode("groups").alias("g")).select("file_id", "g.group_id", F.explode("g.agents").alias("a")).select("file_id", "group_id", "a.raw", "a.token", "a.line")
+    return parsed.select("file_id", F.explode_outer("groups").alias("g")).where("g is not null").select("file_id", "g.group_id", F.explode_outer("g.agents").alias("a")).where("a is not null").select("file_id", "group_id", "a.raw", "a.token", "a.line")
 
 
 def rules(parsed: DataFrame) -> DataFrame:
     """Rules of groups, empty paths included; rules before the first group don't count."""
-    return parsed.select("file_id", F.explode("groups").alias("g")).select("file_id", "g.group_id", F.explode("g.rules").alias("r")).select("file_id", "group_id", "r.type", "r.path", "r.line")
+    return parsed.select("file_id", F.explode_outer("groups").alias("g")).where("g is not null").select("file_id", "g.group_id", F.explode_outer("g.rules").alias("r")).where("r is not null").select("file_id", "group_id", "r.type", "r.path", "r.line")
 
 
 def effective_rules(parsed: DataFrame) -> DataFrame:
@@ -200,7 +203,7 @@ def effective_rules(parsed: DataFrame) -> DataFrame:
 
 
 def _of_kind(parsed: DataFrame, kind: str) -> DataFrame:
-    return parsed.select("file_id", F.explode(F.filter("lines", lambda x: x["kind"] == kind)).alias("l")).select("file_id", F.col("l.n").alias("line"), F.col("l.value").alias("value"), F.col("l.raw_field").alias("raw_field"))
+    return parsed.select("file_id", F.explode_outer(F.filter("lines", lambda x: x["kind"] == kind)).alias("l")).where("l is not null").select("file_id", F.col("l.n").alias("line"), F.col("l.value").alias("value"), F.col("l.raw_field").alias("raw_field"))
 
 
 def sitemaps(parsed: DataFrame) -> DataFrame:
@@ -229,7 +232,7 @@ def unknown_directives(parsed: DataFrame) -> DataFrame:
 def comments(parsed: DataFrame) -> DataFrame:
     """Text after the first `#` of each line, trimmed, without empty ones, at most COMMENT_MAX characters."""
     found = F.filter(F.transform("lines", lambda x: F.struct(x["n"].alias("line"), F.left(trim_space(F.substring(x["comment"], 2, 2_147_483_647)), F.lit(COMMENT_MAX)).alias("text"))), lambda c: c["text"] != "")
-    return parsed.select("file_id", F.explode(found).alias("c")).select("file_id", "c.line", "c.text")
+    return parsed.select("file_id", F.explode_outer(found).alias("c")).where("c is not null").select("file_id", "c.line", "c.text")
 
 
 def files_of_fetches(fetches: DataFrame, gate: bool = True) -> DataFrame:

@@ -42,7 +42,7 @@ def sensitive_paths(parsed: DataFrame, config: dict[str, Any], platforms: DataFr
     The most severe matching signature wins, ties go to the pack's order.  A path that belongs to the stock file of the
     file's platform (`platforms`: file_id, platform) is a mere note.
     """
-    rows = parsed.select("file_id", F.explode("groups").alias("g")).select("file_id", F.transform("g.agents", lambda a: a["raw"]).alias("user_agents"), F.explode("g.rules").alias("r"))
+    rows = parsed.select("file_id", F.explode_outer("groups").alias("g")).where("g is not null").select("file_id", F.transform("g.agents", lambda a: a["raw"]).alias("user_agents"), F.explode_outer("g.rules").alias("r")).where("r is not null")
     rows = rows.select("file_id", "user_agents", "r.type", "r.path", "r.line").where((F.col("type") == "disallow") & (F.col("path") != "") & ~whole_site(F.col("path")))
     rows = rows.withColumn("p", F.regexp_replace(F.lower("path"), r"\$\z", ""))
     for x in config["security"].get("ignore", []):
@@ -90,7 +90,7 @@ def platform_scores(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
         said = F.size(F.filter("notes", lambda c: c.rlike(comment_pattern)))
         return F.named_struct(F.lit("ord"), F.lit(i), F.lit("platform"), F.lit(s["name"]), F.lit("kind"), F.lit(s["kind"]), F.lit("strong"), strong, F.lit("weak"), weak, F.lit("said"), said)
 
-    rows = base.select("file_id", F.explode(F.array(*[one(i, s) for i, s in enumerate(sigs)])).alias("s")).select("file_id", "s.*")
+    rows = base.select("file_id", F.explode_outer(F.array(*[one(i, s) for i, s in enumerate(sigs)])).alias("s")).where("s is not null").select("file_id", "s.*")
     rows = rows.where("strong > 0 or said > 0 or weak >= 2").withColumn("score", F.expr("2 * strong + weak + 3 * said"))
     confidence = F.when((F.col("strong") == 0) & (F.col("said") == 0), "low").when(F.col("score") >= 4, "high").when(F.col("score") >= 2, "medium").otherwise("low")
     return rows.select("file_id", "platform", "kind", "score", confidence.alias("confidence"))
@@ -105,7 +105,7 @@ def primary_platform(scores: DataFrame) -> DataFrame:
 def generators(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
     """First comment line of each file that names a generator: file_id, generator, line, text."""
     hits = F.array(*[F.when(F.lower("text").rlike("|".join(f"(?:{x})" for x in g["comments"])), F.lit(g["name"])) for g in config.get("generator", [])])
-    rows = P.comments(parsed).select("file_id", "line", "text", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("generator"))
+    rows = P.comments(parsed).select("file_id", "line", "text", F.explode_outer(F.filter(hits, lambda x: x.isNotNull())).alias("generator")).where("generator is not null")
     return rows.groupBy("file_id", "generator").agg(F.min(F.struct("line", "text")).alias("m")).select("file_id", "generator", "m.line", "m.text")
 
 
@@ -117,7 +117,7 @@ def collected_urls(parsed: DataFrame) -> DataFrame:
     maps = P.sitemaps(parsed).where("valid").select("file_id", F.lit(0).alias("ord"), "line", F.lit("Sitemap").alias("source"), "url")
     host = P.hosts(parsed).where("value <> ''").select("file_id", F.lit(1).alias("ord"), "line", F.lit("Host").alias("source"), F.when(is_absolute_url(F.col("value")), F.col("value")).otherwise(F.concat(F.lit("https://"), "value")).alias("url"))
     rules = P.rules(parsed).where(is_absolute_url(F.col("path"))).select("file_id", F.lit(2).alias("ord"), "line", F.initcap("type").alias("source"), F.col("path").alias("url"))
-    said = P.comments(parsed).select("file_id", F.lit(3).alias("ord"), "line", F.lit("comment").alias("source"), F.explode(extract_urls(F.col("text"))).alias("url"))
+    said = P.comments(parsed).select("file_id", F.lit(3).alias("ord"), "line", F.lit("comment").alias("source"), F.explode_outer(extract_urls(F.col("text"))).alias("url")).where("url is not null")
     return maps.unionByName(host).unionByName(rules).unionByName(said)
 
 
@@ -161,7 +161,7 @@ def leaked_hosts(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
     """Hosts other than the site itself and cloud hosts: file_id, host, relation, env, n_sources, first_line."""
     blank_mail = F.regexp_replace("text", r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", " ")
     urls = collected_urls(parsed).where("source <> 'comment'").select("file_id", "line", "source", F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"))
-    said = P.comments(parsed).withColumn("t", blank_mail).select("file_id", "line", F.lit("comment").alias("source"), F.explode(F.array_distinct(F.concat(F.transform(extract_urls(F.col("t")), url_host), extract_hostnames(F.col("t"))))).alias("host"))
+    said = P.comments(parsed).withColumn("t", blank_mail).select("file_id", "line", F.lit("comment").alias("source"), F.explode_outer(F.array_distinct(F.concat(F.transform(extract_urls(F.col("t")), url_host), extract_hostnames(F.col("t"))))).alias("host")).where("host is not null")
     mentions = urls.unionByName(said).where("host is not null and host <> ''")
     cloud = "|".join(f"(?:{c['host']})" for c in config.get("cloud", [])) or r"(?!)"
     sites = parsed.select("file_id", url_host(F.col("site_url")).alias("site")) if "site_url" in parsed.columns else parsed.select("file_id", F.lit(None).cast("string").alias("site"))
@@ -219,7 +219,7 @@ def parameters(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
     """Query parameters of rule paths: file_id, name, role, lines (with repeats, in order)."""
     d = config["data"]
     names = F.filter(F.transform(F.split("query", "&"), lambda p: F.substring_index(p, "=", 1)), lambda n: n.rlike(r"^[A-Za-z0-9_\[\]-]+\z"))
-    rows = _queries(parsed).where("query is not null").select("file_id", "line", F.explode(names).alias("name"))
+    rows = _queries(parsed).where("query is not null").select("file_id", "line", F.explode_outer(names).alias("name")).where("name is not null")
     role = F.when(F.col("name").isin(*d["search_keys"]), "search").when(F.col("name").isin(*d["filter_keys"]), "filter").when(F.col("name").rlike(d["tracking_keys"]), "tracking").otherwise("other")
     return rows.groupBy("file_id", "name").agg(F.array_sort(F.collect_list("line")).alias("lines")).select("file_id", "name", role.alias("role"), "lines")  # lines of one file
 
@@ -239,7 +239,7 @@ def extensions(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
     """Known file types in rules: file_id, ext, label, category, risk, tech, n, examples (first three)."""
     pack = {e: x for x in config.get("extension", []) for e in x["exts"]}
     known = F.create_map(*[y for e, x in pack.items() for y in (F.lit(e), F.named_struct(F.lit("label"), F.lit(x["label"]), F.lit("category"), F.lit(x["category"]), F.lit("risk"), F.lit(x["risk"]), F.lit("tech"), F.lit(x.get("tech")).cast("string")))])
-    rows = P.effective_rules(parsed).select("file_id", "path", "line", F.explode(path_extensions(F.col("path"))).alias("ext")).withColumn("x", F.element_at(known, F.col("ext"))).where("x is not null")
+    rows = P.effective_rules(parsed).select("file_id", "path", "line", F.explode_outer(path_extensions(F.col("path"))).alias("ext")).where("ext is not null").withColumn("x", F.element_at(known, F.col("ext"))).where("x is not null")
     per = rows.groupBy("file_id", "ext", "x").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("line", "path"))).alias("p"))  # rules of one file
     return per.select("file_id", "ext", "x.label", "x.category", "x.risk", "x.tech", "n", F.transform(F.slice("p", 1, 3), lambda y: y["path"]).alias("examples"))
 
@@ -260,7 +260,7 @@ def mined_comments(comments: DataFrame, config: dict[str, Any]) -> DataFrame:
     several = {k: F.regexp_extract_all("text", F.lit(("(?U)" if k != "vendor" else "") + m[k]), F.lit(1)) for k in ("email", "ticket", "date", "ip", "vendor")} | {"url": extract_urls(F.col("text"))}
     note = F.coalesce(*[F.when(F.contains(F.lower("text"), F.lit(w)), F.lit(w)) for w in m["notes"]])
     tagged = [_tag(k, v) for k, v in several.items()] + [F.when(note.isNotNull(), F.array(F.named_struct(F.lit("kind"), F.lit("note"), F.lit("value"), note))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))]
-    return comments.select("file_id", "line", F.explode(F.concat(*tagged)).alias("c")).select("file_id", "line", "c.kind", "c.value").withColumn("k", F.lower("value")).groupBy("file_id", "line", "kind", "k").agg(F.min("value").alias("value")).drop("k")
+    return comments.select("file_id", "line", F.explode_outer(F.concat(*tagged)).alias("c")).where("c is not null").select("file_id", "line", "c.kind", "c.value").withColumn("k", F.lower("value")).groupBy("file_id", "line", "kind", "k").agg(F.min("value").alias("value")).drop("k")
 
 
 def _tag(kind: str, values: Column) -> Column:

@@ -45,7 +45,7 @@ def longest_match_access(spark, d):
 
 def typo_repair(spark, d):
     found = F.filter("lines", lambda x: x["misspelt"])
-    return _parsed(spark, d).select("file_id", F.explode(found).alias("l")).select("file_id", F.col("l.n").alias("line"), F.col("l.raw_field").alias("raw"), "l.field")
+    return _parsed(spark, d).select("file_id", F.explode_outer(found).alias("l")).where("l is not null").select("file_id", F.col("l.n").alias("line"), F.col("l.raw_field").alias("raw"), "l.field")
 
 
 def _findings(spark, d):
