@@ -47,7 +47,7 @@ def security_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def issue_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Issues by id and wording (variant and parameters): a shifted line is no change."""
-    worded = lambda df: df.select("file_id", "id", F.to_json(F.struct("variant", F.array_sort(F.map_entries("params")))).alias("message"))
+    worded = lambda df: df.select("file_id", "id", F.to_json(F.named_struct(F.lit("variant"), F.col("variant"), F.lit("params"), F.array_sort(F.map_entries("params")))).alias("message"))
     return one_sided(worded(old), worded(new), ["id", "message"])
 
 

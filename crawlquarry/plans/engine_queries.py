@@ -88,11 +88,12 @@ def markdown_reports(spark, d):
 
 
 def _runs(spark, d):
-    """The standing bodies of the first and the last delivery, keyed by a hash of the site."""
+    """The standing bodies of the first and the last delivery, keyed by the first snapshot of the site."""
     snaps = table(spark, d, "site_snapshots").where("domain is not null")
     ends = snaps.agg(F.min("run_no").alias("a"), F.max("run_no").alias("b")).first()
-    pick = lambda run: snaps.where(F.col("run_no") == run).groupBy("domain").agg(F.max_by("robots_txt", F.struct("fetched_at", "snap_id")).alias("text")).select(F.xxhash64("domain").alias("file_id"), "domain", F.coalesce("text", F.lit("")).alias("text"))
-    return pick(ends["a"]), pick(ends["b"])
+    ids = snaps.groupBy("domain").agg(F.min("snap_id").alias("file_id"))
+    standing = lambda run: snaps.where(F.col("run_no") == run).groupBy("domain").agg(F.coalesce(F.max_by("robots_txt", F.struct("fetched_at", "snap_id")), F.lit("")).alias("text"))
+    return tuple(standing(ends[k]).join(ids, "domain").select("file_id", "domain", "text") for k in ("a", "b"))
 
 
 def semantic_flags(spark, d):

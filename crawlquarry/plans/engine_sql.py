@@ -83,7 +83,62 @@ picked as (
 )
 """
 
+#: paths of rules with their parts: plain without one final `$` and `*`, segments, query
+RULE_PATHS = rf"""
+, paths as (
+  select *, list_filter(string_split(split_part(plain, '?', 1), '/'), lambda x: x <> '') as segs, case when contains(plain, '?') then substr(plain, instr(plain, '?') + 1) end as query
+  from (select file_id, line, path, lower(path) as low, replace(regexp_replace(lower(path), '\$$', ''), '*', '') as plain from rules where path <> '' and not regexp_matches(path, '(?i)^https?://'))
+)
+"""
+_SNAPS = r"""
+with s as (select * from site_snapshots where domain is not null), ids as (select domain, min(snap_id) as file_id from s group by 1),
+ends as (select min(run_no) as a, max(run_no) as b from s),
+standing as (select run_no, domain, coalesce(arg_max(robots_txt, struct_pack(f := fetched_at, s := snap_id)), '') as text from (select run_no, domain, coalesce(robots_txt, '') as robots_txt, fetched_at, snap_id from s) group by 1, 2),
+both_ends as (select i.file_id, p.text as a, c.text as b from standing p join ends e on p.run_no = e.a join standing c on c.run_no = e.b and c.domain = p.domain join ids i on i.domain = p.domain)
+"""
+_DIRECTIVES = r"list_filter(list_transform(regexp_split_to_array({}, '\r\n|\r|\n'), lambda x: regexp_replace(regexp_replace(split_part(x, '#', 1), '^[\s\p{{Z}}\x{{FEFF}}]+', ''), '[\s\p{{Z}}]+$', '')), lambda x: x <> '')"
+_STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
 SQL = {
+    "star_policy": BASE + """select f.file_id, s.token is not null as has_star_group, coalesce(s.n_allow, 0) as n_allow, coalesce(s.n_disallow, 0) as n_disallow,
+      case when s.whole and s.n_allow = 0 then 'blocked' when coalesce(s.n_disallow, 0) = 0 then 'open' else 'partial' end as verdict,
+      (select arg_min(g.crawl_delay, g.group_id) from groups g where g.file_id = f.file_id and g.crawl_delay is not null and exists (select 1 from agents a where a.file_id = g.file_id and a.group_id = g.group_id and a.token = '*')) as crawl_delay
+      from files f left join sums s on s.file_id = f.file_id and s.token = '*'""",
+    "clean_params": BASE + r"""select file_id, list_filter(string_split(coalesce(w[1], ''), '&'), lambda x: x <> '') as params, coalesce(w[2], '/') as path, line,
+      len(w) <= 2 and len(list_filter(string_split(coalesce(w[1], ''), '&'), lambda x: x <> '')) > 0 and regexp_matches(coalesce(w[1], ''), '^[A-Za-z0-9_.&-]+$') and regexp_matches(coalesce(w[2], '/'), '^[/*]') as valid, strlen(value) as n_bytes
+      from (select *, list_filter(regexp_split_to_array(value, '\s+'), lambda x: x <> '') as w from lines where kind = 'clean-param')""",
+    "sitemaps": BASE + r"""select file_id, value as url, line, regexp_matches(value, '(?i)^https?:/{0,2}[^/\s?#\\<>^|]+[^\s]*$') as valid from lines where kind = 'sitemap'""",
+    "environment_paths": BASE + RULE_PATHS + r"""select file_id, path, min(line) as line, arg_min(hint, line) as hint from (
+      select *, coalesce(list_filter(segs, lambda s: regexp_matches(s, '^(dev|test|staging|stage|beta|demo|sandbox|old|new|preview|draft|redesign|relaunch)$') or regexp_matches(s, '(staging|preprod|relaunch|redesign)'))[1],
+        case when len(segs) = 1 and regexp_matches(segs[1], '^v[0-9]+$') then segs[1] end) as hint from paths) where hint is not null group by 1, 2""",
+    "api_endpoints": BASE + RULE_PATHS + r"""select file_id, path, min(line) as line, arg_min(kind, line) as kind, first(list_filter(segs, lambda s: regexp_matches(s, '^v[0-9]+$'))[1] order by line) as version from (
+      select *, case when regexp_matches(low, '/graphql') then 'graphql' when regexp_matches(low, '/(swagger|openapi|api-docs|redoc)') then 'docs' when regexp_matches(low, '/(actuator|health|metrics|status)(/|$|\*|\?)') then 'ops'
+        when regexp_matches(low, '/(xmlrpc|jsonrpc|soap|rpc)') then 'rpc' when regexp_matches(low, '/(api|rest|v[0-9]+)(/|$|\*|\?)') then 'gateway' end as kind from paths)
+      where kind is not null and not (len(segs) = 1 and regexp_matches(segs[1], '^v[0-9]+$')) group by 1, 2""",
+    "portals": BASE + RULE_PATHS + r"""select file_id, path, min(line) as line, arg_min(case when regexp_matches(seg, 'partner|reseller|supplier') then 'partners' when regexp_matches(seg, 'vip|members') then 'members' else 'portal' end, line) as kind from (
+      select *, list_filter(segs, lambda s: regexp_matches(s, '^(partner|partners|dealer|dealers|vip|wholesale|b2b|reseller|members|portal|supplier)$'))[1] as seg from paths) where seg is not null group by 1, 2""",
+    "search_paths": BASE + RULE_PATHS + r"""select file_id, path, min(line) as line from paths where len(list_filter(segs, lambda s: regexp_matches(s, '^(search|suche|recherche|buscar|busca|find|catalogsearch)$'))) > 0
+      or len(list_filter(string_split(coalesce(query, ''), '&'), lambda p: contains(p, '=') and split_part(p, '=', 1) in ('q', 'query', 's', 'search', 'keyword', 'keywords', 'term'))) > 0 group by 1, 2""",
+    "search_parameters": BASE + RULE_PATHS + r"""select file_id, name, case when name in ('q', 'query', 's', 'search', 'keyword', 'keywords', 'term') then 'search' when name in ('sort', 'order', 'filter', 'page', 'color', 'size', 'price', 'limit', 'view', 'dir') then 'filter'
+      when regexp_matches(name, '^(utm_[a-z]+|gclid|fbclid|ref|__ref|sid|sessionid|affiliate|campaign)$') then 'tracking' else 'other' end as role, list(line order by line) as lines
+      from (select file_id, line, unnest(list_filter(list_transform(string_split(query, '&'), lambda p: split_part(p, '=', 1)), lambda n: regexp_matches(n, '^[A-Za-z0-9_\[\]-]+$'))) as name from paths where query is not null) group by 1, 2""",
+    "generators": BASE + rf"""select file_id, generator, min(line) as line, arg_min(text, line) as text from (
+      select file_id, line, text, unnest(list_filter([case when regexp_matches(lower(text), 'yoast') then 'Yoast SEO' end, case when regexp_matches(lower(text), 'generated (by|with|on)?|generator') then 'generic generator' end,
+        case when regexp_matches(lower(text), '\bbuild\b|^rev ') then 'build stamp' end, case when regexp_matches(lower(text), 'cache key|served from cache') then 'page cache' end], lambda x: x is not null)) as generator
+      from (select file_id, line, substr({trim('substr(comment, 2)')}, 1, 2000) as text from lines where comment is not null and {trim('substr(comment, 2)')} <> '')) group by 1, 2""",
+    "semantic_flags": _SNAPS + f"select file_id, {_DIRECTIVES.format('a')} is distinct from {_DIRECTIVES.format('b')} as is_changed, {_STRIP.format('a')} is distinct from {_STRIP.format('b')} as text_changed from both_ends",
+    "change_history": r"""with o as (
+      select distinct on (fetch_id) domain, observed_at, fetch_id as obs_id, status, text as body, content_type from fetches where fetch_id is not null
+    ), p as (
+      select *, coalesce(contains(lower(coalesce(content_type, '')), 'text/html') or starts_with(ltrim(lower(left(coalesce(body, ''), 64)), ' '), '<!doctype html') or starts_with(ltrim(lower(left(coalesce(body, ''), 64)), ' '), '<html') or status in (403, 429) or status >= 500, true) as t,
+             case when coalesce(status between 200 and 299, false) and not regexp_matches(lower(regexp_replace(left(coalesce(body, ''), 2000), '^[\t-\r \x{85}\p{Z}]+', '')), '^(<!doctype html|<html)') then coalesce(body, '') else '' end as used
+      from o where domain is not null and observed_at is not null
+    ), q as (
+      select *, """ + _DIRECTIVES.format("used") + r""" as ls, coalesce(max(case when not t then 1 end) over (partition by domain order by observed_at, obs_id rows between unbounded preceding and 1 preceding), 0) as earlier from p
+    ), r as (
+      select *, lag(ls) over w as before, row_number() over w as n from q where not t or (earlier = 0 and status in (404, 410)) window w as (partition by domain order by observed_at, obs_id)
+    )
+    select domain, observed_at, obs_id, status, case when n = 1 then 'seeded' else 'changed' end as event, len(ls) as n_lines from r where n = 1 or ls is distinct from before""",
     "parse_lines": BASE + "select file_id, line, raw, kind, case when kind in ('blank', 'comment', 'invalid') then null else coalesce(field, raw_field) end as field, value from lines",
     "parse_groups": BASE + "select file_id, cast(group_id as bigint) as group_id, start_line, end_line, crawl_delay, n_agents, n_rules from groups",
     "parse_agents": BASE + "select file_id, cast(group_id as bigint) as group_id, raw, token, line from agents",
