@@ -153,7 +153,23 @@ def fetch_findings(spark, d):
     return G.fetch_findings(P.files_of_fetches(table(spark, d, "fetches")))
 
 
+#: ids of the findings that the query `syntax_core` compares with its SQL
+SYNTAX_CORE = (
+    "tooLarge bom utf16 longLine notFieldValue misspelling emptyUserAgent invalidToken tokenTail ruleBeforeAgent emptyAllow emptyDisallow pathNoSlash wildcardOnly spaceInPath nonAsciiPath crawlDelayBeforeAgent crawlDelayHigh "
+    "crawlDelayNaN crawlDelayNonStandard hostObsolete hostDuplicate noindex noRules noSitemap emptyGroup"
+).split()
+
+
+def syntax_core(spark, d):
+    found = G.syntax_findings(_parsed(spark, d)).where(F.col("id").isin(*[f"parser.{x}" for x in SYNTAX_CORE]))
+    return found.select("file_id", "line", "id", "level")
+
+
 QUERIES = {
+    "syntax_core": syntax_core,
+    "case_notes": lambda s, d: G.seo_findings(_parsed(s, d)).where("id = 'seo.caseSensitive'").select("file_id", "line", F.col("params")["path"].alias("path")),
+    "fetch_ids": lambda s, d: fetch_findings(s, d).select("file_id", F.replace("id", F.lit("fetch.warn."), F.lit("")).alias("id")),
+    "extension_counts": lambda s, d: R.extensions(_parsed(s, d), C.load()).where("ext in ('pdf', 'doc', 'xls', 'csv', 'zip', 'gz', 'php', 'asp', 'aspx', 'json', 'xml', 'gif', 'js', 'css')").select("file_id", "ext", "n"),
     "longest_match_access": longest_match_access,
     "parse_lines": _over(P.lines),
     "parse_groups": _over(P.groups),

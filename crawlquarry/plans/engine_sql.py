@@ -139,6 +139,60 @@ SQL = {
       select *, lag(ls) over w as before, row_number() over w as n from q where not t or (earlier = 0 and status in (404, 410)) window w as (partition by domain order by observed_at, obs_id)
     )
     select domain, observed_at, obs_id, status, case when n = 1 then 'seeded' else 'changed' end as event, len(ls) as n_lines from r where n = 1 or ls is distinct from before""",
+    "syntax_core": BASE + rf"""
+      , first_group as (select file_id, min(line) as line from lines where kind = 'user-agent' group by 1),
+      placed as (select l.*, coalesce(l.line > g.line, false) as grouped from lines l left join first_group g using (file_id)),
+      delay_lines as (select d.*, case when regexp_matches(value, '^\+?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') then try_cast(value as double) when regexp_matches(value, '^-0*\.?0*$') and contains(value, '0') then 0.0 end as d from placed d where kind = 'crawl-delay')
+      select file_id, cast(line as int) as line, id, level from (
+        select file_id, null as line, 'parser.tooLarge' as id, 'warning' as level from files where strlen(text) > 512000
+        union all select file_id, 1, 'parser.bom', 'info' from files where bom
+        union all select file_id, 1, 'parser.utf16', 'error' from files where utf16
+        union all select file_id, min(line), 'parser.longLine', 'info' from lines where length(raw) > 2000 group by 1
+        union all select file_id, line, 'parser.notFieldValue', 'error' from lines where kind = 'invalid'
+        union all select file_id, line, 'parser.misspelling', 'info' from lines where field is not null and field <> raw_field
+        union all select file_id, line, case when value = '' then 'parser.emptyUserAgent' else 'parser.invalidToken' end, case when value = '' then 'error' else 'warning' end from lines where kind = 'user-agent' and token = ''
+        union all select file_id, line, 'parser.tokenTail', 'info' from lines where kind = 'user-agent' and token not in ('', '*') and token <> lower(value)
+        union all select file_id, line, 'parser.ruleBeforeAgent', 'error' from placed where kind = 'rule' and not grouped
+        union all select file_id, line, case when field = 'allow' then 'parser.emptyAllow' else 'parser.emptyDisallow' end, 'info' from placed where kind = 'rule' and grouped and value = ''
+        union all select file_id, line, 'parser.pathNoSlash', 'warning' from placed where kind = 'rule' and grouped and value <> '' and not regexp_matches(value, '^[/*]') and not regexp_matches(value, '(?i)^https?://')
+        union all select file_id, line, 'parser.wildcardOnly', 'warning' from placed where kind = 'rule' and grouped and field = 'disallow' and regexp_matches(value, '^\*+$')
+        union all select file_id, line, 'parser.spaceInPath', 'warning' from placed where kind = 'rule' and grouped and contains(value, ' ')
+        union all select file_id, line, 'parser.nonAsciiPath', 'info' from placed where kind = 'rule' and grouped and strlen(value) <> length(value)
+        union all select file_id, line, 'parser.crawlDelayBeforeAgent', 'error' from placed where kind = 'crawl-delay' and not grouped
+        union all select file_id, line, 'parser.crawlDelayHigh', 'warning' from delay_lines where grouped and d >= 60
+        union all select file_id, line, 'parser.crawlDelayNaN', 'warning' from delay_lines where grouped and d is null
+        union all select file_id, min(line), 'parser.crawlDelayNonStandard', 'info' from delay_lines where grouped group by 1
+        union all select file_id, line, case when row_number() over (partition by file_id order by line) = 1 then 'parser.hostObsolete' else 'parser.hostDuplicate' end, 'info' from lines where kind = 'host'
+        union all select file_id, line, 'parser.noindex', 'warning' from lines where kind = 'unknown' and raw_field = 'noindex'
+        union all select file_id, null, 'parser.noRules', 'info' from files f where not exists (select 1 from groups g where g.file_id = f.file_id)
+        union all select file_id, null, 'parser.noSitemap', 'info' from (select distinct file_id from groups) g where not exists (select 1 from lines l where l.file_id = g.file_id and l.kind = 'sitemap')
+        union all select file_id, start_line, 'parser.emptyGroup', 'info' from groups where n_rules = 0 and crawl_delay is null
+      )""",
+    "case_notes": BASE + "select file_id, line, path from rules where regexp_matches(path, '[A-Z]')",
+    "fetch_ids": BASE + r"""
+      , h as (
+        select *, coalesce(status between 200 and 299, false) as ok, nullif(lower(trim(split_part(content_type, ';', 1))), '') as media, headers.cache_control as cc,
+               lower(regexp_replace(regexp_extract(content_type, ';\s*(?:charset|CHARSET)=([^;]*)', 1), '^"+|"+$', '', 'g')) as cs,
+               list_transform(string_split(coalesce(headers.cache_control, ''), ','), lambda x: lower(trim(x))) as cd, regexp_extract(lower(coalesce(headers.cache_control, '')), '(?:^|,)\s*max-age=\s*"?([0-9]+)', 1) as age,
+               regexp_extract(robots_url, '^https?://([^/?#]+)', 1) as a, regexp_extract(final_url, '^https?://([^/?#]+)', 1) as b
+        from files
+      )
+      select file_id, id from (
+        select file_id, case when status between 500 and 599 then 'serverError' when status = 429 then 'rateLimited' when status in (401, 403) then 'forbidden' end as id from h
+        union all select file_id, case when ok and media is null then 'contentTypeMissing' when ok and media <> 'text/plain' then 'contentType' end from h
+        union all select file_id, 'htmlBody' from h where ok and regexp_matches(lower(regexp_replace(left(coalesce(body, ''), 2000), '^[\t-\r \x{85}\p{Z}]+', '')), '^(<!doctype html|<html)')
+        union all select file_id, 'retryAfterLong' from h where status in (429, 503) and try_cast(trim(headers.retry_after) as bigint) > 86400 and regexp_matches(trim(headers.retry_after), '^\+?[0-9]+$')
+        union all select file_id, 'charset' from h where ok and regexp_matches(coalesce(content_type, ''), ';\s*(charset|CHARSET)=') and trim(cs) not in ('utf-8', 'utf8', 'us-ascii', 'ascii')
+        union all select file_id, case when list_contains(cd, 'no-store') or list_contains(cd, 'no-cache') or age = '0' then 'cacheNoStore' when try_cast(age as bigint) > 86400 then 'cacheTooLong' end from h where ok and cc is not null
+        union all select file_id, 'xRobotsTag' from h where ok and trim(headers.x_robots_tag) <> ''
+        union all select file_id, 'varyUserAgent' from h where ok and len(list_filter(string_split(coalesce(headers.vary, ''), ','), lambda v: lower(trim(v)) in ('user-agent', '*'))) > 0
+        union all select file_id, 'redirectLimit' from h where coalesce(redirect_limit, false)
+        union all select file_id, case when regexp_replace(lower(a), '^www\.', '') = regexp_replace(lower(b), '^www\.', '') then 'redirectSameSite' else 'redirectOtherHost' end from h where not coalesce(redirect_limit, false) and a <> '' and b <> '' and lower(a) <> lower(b)
+        union all select file_id, 'notRobotsPath' from h where not coalesce(redirect_limit, false) and a <> '' and b <> '' and regexp_extract(final_url, '^https?://[^/?#]+([^?#]*)', 1) <> '/robots.txt'
+      ) where id is not null""",
+    "extension_counts": BASE + r"""select file_id, ext, count(*) as n from (
+      select file_id, line, unnest(list_distinct(list_filter(list_append(regexp_extract_all(lower(path), '\.([a-z0-9]{1,8})(?:$|[$*/?])', 1), regexp_extract(split_part(replace(regexp_replace(lower(path), '\$$', ''), '*', ''), '?', 1), '\.([a-z0-9]{1,8})$', 1)), lambda x: x <> ''))) as ext
+      from rules where path <> '') where ext in ('pdf', 'doc', 'xls', 'csv', 'zip', 'gz', 'php', 'asp', 'aspx', 'json', 'xml', 'gif', 'js', 'css') group by 1, 2""",
     "parse_lines": BASE + "select file_id, line, raw, kind, case when kind in ('blank', 'comment', 'invalid') then null else coalesce(field, raw_field) end as field, value from lines",
     "parse_groups": BASE + "select file_id, cast(group_id as bigint) as group_id, start_line, end_line, crawl_delay, n_agents, n_rules from groups",
     "parse_agents": BASE + "select file_id, cast(group_id as bigint) as group_id, raw, token, line from agents",
