@@ -8,7 +8,8 @@ found first.  Names have no grammar: which terms are names is estimated from the
    MAIL_BITS over at least MIN_TEXTS texts.
 2. Co-occurrence with contexts: each context (the words next to a pair of capitalised words) gets the odds that a
    pair in it consists of disclosing terms, against the overall odds.  Any other pair takes the overall odds plus the
-   evidence of the contexts on its two sides, averaged over its places; from CONTEXT_ODDS bits on, its terms disclose.
+   evidence of the contexts on its two sides, averaged over its places; from CONTEXT_ODDS bits on, with STRONG_CONTEXTS clear contexts, its terms
+   disclose.
    CONTEXT_ROUNDS rounds.
 3. A name is a given name or an initial with a family name, in any order: two disclosing terms side by side (particles,
    a middle initial or a comma between them), or an initial and a disclosing term.
@@ -43,6 +44,9 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 MAIL_BITS = 1.0
 MIN_TEXTS = 2
 CONTEXT_ODDS = 3.5
+#: so many different contexts of a pair have to say it clearly: a closing line stands where signatures stand, but nowhere else
+STRONG_ODDS = 6.0
+STRONG_CONTEXTS = 2
 CONTEXT_ROUNDS = 3
 #: a context counts as if seen so often at the overall rate, too
 PRIOR_WEIGHT = 4.0
@@ -349,9 +353,10 @@ def term_disclosure(docs: DataFrame, text: str = "text") -> DataFrame:
         unknown = marked.where("not person")
         for side in ("left", "right"):
             unknown = unknown.join(odds.where(F.col("side") == side).select(F.col("context").alias(side), F.col("odds").alias(f"odds_{side}")), side, "left")
+        unknown = unknown.withColumn("here", F.coalesce("odds_left", F.lit(0.0)) + F.coalesce("odds_right", F.lit(0.0)) + F.lit(base))
         evidence = unknown.groupBy("a", "b").agg(
-            (base + F.sum(F.col("n") * (F.coalesce("odds_left", F.lit(0.0)) + F.coalesce("odds_right", F.lit(0.0)))) / F.sum("n")).alias("bits"), F.sum("n").alias("n_texts")
-        ).where((F.col("bits") >= CONTEXT_ODDS) & (F.col("n_texts") >= MIN_TEXTS))
+            (F.sum(F.col("n") * F.col("here")) / F.sum("n")).alias("bits"), F.sum("n").alias("n_texts"), F.count_if(F.col("here") >= STRONG_ODDS).alias("strong")
+        ).where((F.col("bits") >= CONTEXT_ODDS) & (F.col("n_texts") >= MIN_TEXTS) & (F.col("strong") >= STRONG_CONTEXTS))
         fresh = evidence.select(F.explode(F.array("a", "b")).alias("term"), "bits", "n_texts").groupBy("term").agg(F.max("bits").alias("bits"), F.sum("n_texts").alias("n_texts"))
         fresh = fresh.join(have, "term", "left_anti").select("term", "bits", "n_texts", F.lit("context").alias("source"))
         known = cut(known.unionByName(fresh))

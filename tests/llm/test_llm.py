@@ -380,7 +380,7 @@ def corpus():
         g, f = rnd.choice(given), rnd.choice(family)
         local = pii.unicodedata.normalize("NFKD", f"{g}.{f}".lower().replace("'", "")).encode("ascii", "ignore").decode()
         rows.append((i, rnd.choice([f"Reviewed by {g} {f} last week. Mail {local}@host.example", f"I asked {g} {f} about it, see {local}@host.example.", f"Project Amber Pebble starts. {g} {f} approved the change, {local}@x.test"])))
-    return rows + [(500 + i, "Project Amber Pebble starts on 2026-01-02. The Raven Satin edition.") for i in range(60)] + [(900, "Reviewed by Иван Петров last week."), (901, "Reviewed by Иван Петров last week."), (902, None), (903, ""), (904, "KESTERMANN, Zofia and O. Vorlund; lol ask maren brånvik")]
+    return rows + [(500 + i, "Project Amber Pebble starts on 2026-01-02. The Raven Satin edition.") for i in range(60)] + [(900, "Reviewed by Иван Петров last week."), (901, "I asked Иван Петров about it, twice."), (902, None), (903, ""), (904, "KESTERMANN, Zofia and O. Vorlund; lol ask maren brånvik")]
 
 
 def test_names_are_learned_from_the_corpus(spark):
