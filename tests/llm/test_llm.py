@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from crawlquarry.llm import canondup, confusables, mixing, mojibake, packing, pii, residue, termfreq, tokens
 from crawlquarry.llm.seedtext import SEEDS
@@ -416,4 +415,3 @@ def test_queries_are_complete():
         assert f"p{n}_found" in queries.QUERIES
     assert any(q.startswith("p7_") for q in queries.QUERIES) and any(q.startswith("p8_") for q in queries.QUERIES)
     assert set(queries.SQL) <= set(queries.QUERIES)
-    assert F is not None
