@@ -190,14 +190,14 @@ class CharModel:
         for c in text + " ":
             now = char_class(c)
             value = self.log(prev, c)
-            if now in _FLOORS and value < _FLOORS[now]:
+            if now in _FLOORS and value < _FLOORS[now] and c not in "‚„‹›":
                 value = _FLOORS[now]
             elif last in _FLOORS and value < -5.0 and now in _ASCII:
                 value = -5.0
-            elif value < -5.5 and (c in LOOKALIKES and last in _LATIN or prev in LOOKALIKES and now in _LATIN):
-                value = -5.5
-            elif value < -6.0 and c in LOOKALIKES and last in _ASCII:
-                value = -6.0
+            elif value < -4.0 and (c in LOOKALIKES and last in _LATIN or prev in LOOKALIKES and now in _LATIN):
+                value = -4.0
+            elif value < -5.0 and c in LOOKALIKES and last in _ASCII:
+                value = -5.0
             total += value
             prev, last = c, now
         return total
