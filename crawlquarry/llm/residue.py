@@ -131,7 +131,7 @@ def residue_kinds(text: str | None) -> list[str]:
     score, discounted, shown, fenced = 0.0, 0, 0, False
     foreign: list[str] = []
     for line in lines:
-        bare = line.strip("﻿ \t")
+        bare = line.strip("\ufeff\ufffd \t")
         if not bare:
             continue
         shown += 1

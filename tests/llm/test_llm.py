@@ -277,7 +277,7 @@ def test_residue_is_found(text, kind):
     [
         None, "", "User-agent: *\nDisallow: /todo/\nDisallow: /lorem/\nAllow: /your-account/\nDisallow: /errors/404\nDisallow: /maintenance/", "# error pages live under /errors/x\n# forbidden means 403 here, not 404", "# the old TODO list is gone",
         "# no JavaScript is needed to read these pages", "# set {a, b} shares one rule", "Disallow: /*?m[]=\nDisallow: /__cache/\nDisallow: /%7Ea/%e2%82%ac/", "# dummy rule for x removed", "<html><body><p>Opening hours 8:00 to 18:00</p></body></html>",
-        "# write `{{ name }}` for a placeholder, for example", LONG,
+        "# write `{{ name }}` for a placeholder, for example", "\ufffd\ufffd# no JavaScript is needed to read these pages", LONG,
     ],
 )
 def test_mentions_are_no_residue(text):
