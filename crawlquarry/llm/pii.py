@@ -59,12 +59,12 @@ _FLAT = {o: o - 0xFEE0 for o in range(0xFF01, 0xFF5F)} | {0xA0: 32, 0x2007: 32,
 # -- entities with a grammar ---------------------------------------------------------------------------------------
 
 _LABEL = r"[A-Za-z0-9\u00c0-\u024f](?:[A-Za-z0-9\u00c0-\u024f-]*[A-Za-z0-9\u00c0-\u024f])?"
-_LOCAL = r"[A-Za-z0-9\u00c0-\u024f](?:[\w.+'-]*[\w+])?"
 _AT = r"(?:\s*[(\[{<]\s*(?:at|AT|At|@|ät|arroba|chez)\s*[)\]}>]\s*|\s+(?:AT|at|arroba|\(a\))\s+|_AT_|_at_|\s+@\s+|&#64;|&commat;|%40(?=[a-z]))"
 _DOT = r"(?:\s*[(\[{<]\s*(?:dot|DOT|Dot|punkt|punto|point|\.)\s*[)\]}>]\s*|\s+(?:DOT|dot|punkt|punto)\s+|_DOT_|_dot_)"
+_TLD = r"[A-Za-z\u00c0-\u024f]{2,24}"
 EMAIL = re.compile(
-    rf"(?<![\w.+%@-])(?P<plain>{_LOCAL})@(?:{_LABEL}\.)+[A-Za-z\u00c0-\u024f]{{2,24}}(?![\w@])"
-    rf"|(?<![\w.+%@-])(?P<hid>{_LOCAL})(?:{_AT}(?:{_LABEL}(?:\.|{_DOT}))+[A-Za-z]{{2,24}}|@(?:{_LABEL}(?:\.|{_DOT}))+[A-Za-z]{{2,24}})(?![\w@])"
+    rf"(?<![\w.+%@-])(?P<local>[A-Za-z0-9\u00c0-\u024f](?>[\w.+'-]*))(?<=[\w+])"
+    rf"(?:@(?:{_LABEL}(?:\.|{_DOT}))+{_TLD}|{_AT}(?:{_LABEL}(?:\.|{_DOT}))+{_TLD})(?![\w@])"
 )
 
 _PHONE_CALLED = r"(?:tel(?:\.|efon|éfono|efono|efoon|ephone)?|tél(?:\.|éphone)?|phone|call|ring|rang back on|mobile?|mob\.|fax|cell|handy|llame al|appeler le|on duty|reach (?:me|us) (?:at|on)|dial)"
@@ -171,6 +171,11 @@ def mailbox_pieces(local: str) -> set[str]:
     return out
 
 
+def mailboxes(flat: str) -> Iterator[re.Match]:
+    """Mailboxes of a flattened text, spelled out or hidden from harvesters."""
+    return EMAIL.finditer(flat) if "@" in flat or _MAYBE_AT.search(flat) else iter(())
+
+
 def grammar_spans(text: str) -> list[tuple[int, int, str]]:
     """Entities with a grammar: (start, end, kind), without overlap; mailboxes go before numbers, numbers before addresses."""
     flat = text.translate(_FLAT)
@@ -179,9 +184,7 @@ def grammar_spans(text: str) -> list[tuple[int, int, str]]:
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y, _ in taken)
 
-    if "@" in flat or _MAYBE_AT.search(flat):
-        for m in EMAIL.finditer(flat):
-            taken.append((*m.span(), "email"))
+    taken.extend((*m.span(), "email") for m in mailboxes(flat))
     if _HAS_DIGIT.search(flat):
         for m in ID_NUMBER.finditer(flat):
             kind = m.lastgroup
@@ -287,13 +290,12 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            spans = grammar_spans(text)
             flat = text.translate(_FLAT)
             pieces: set[str] = set()
-            for a, b, kind in spans:
-                if kind == "email":
-                    m = EMAIL.match(flat, a)
-                    pieces |= mailbox_pieces((m["plain"] or m["hid"]) if m else flat[a:b])
+            spans: list[tuple[int, int, str]] = []
+            for m in mailboxes(flat):
+                spans.append((*m.span(), "email"))
+                pieces |= mailbox_pieces(m["local"])
             blank = _blanked(text, spans)
             terms: set[str] = set()
             for w1, w2, left, right in candidate_pairs(blank):
