@@ -3,7 +3,8 @@
 Three detectors look at a body.  (a) Placeholders: one grammar for each kind of delimiter, and notes that something is
 still to be filled in.  A hit counts 1; in a comment or prose that explains or quotes it, or inside a code block, it
 counts a quarter, unless such hits make up most of the body.  (b) Filler copy: known filler words, keyboard mash and
-sentences repeated for length, outside directives and comments.  (c) Messages of servers, programs, guards and script
+sentences repeated for length, outside directives; a comment counts if it consists of filler, not if it mentions,
+explains or quotes some.  (c) Messages of servers, programs, guards and script
 checks, in several languages, outside directives and comments: a path or comment that mentions them is no message.
 
 Defined results: a null or empty body is no case; status and flags are never read, so they can't decide; texts of any
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 _FIELD = r"(?:user[-_ ]?agent|dis[-_ ]?allow|allow|site[-_ ]?map|crawl[-_ ]?delay|request[-_ ]?rate|visit[-_ ]?time|host|clean[-_ ]?param|noindex|nofollow|content[-_ ]?signal|cache[-_ ]?delay|indexpage|comment)"
 _DIRECTIVE = re.compile(rf"^[\s\W]{{0,6}}{_FIELD}\s*[:：=]", re.I)
 _ANY_FIELD = re.compile(r"^\s*[^\W\d][\w -]{2,24}\s*:\s*(?:/|https?://|\*|$)")
+_REMARK = re.compile(r"\s#.*")
 _UNSEEN = re.compile("[\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff]")
 
 #: delimiter -> grammar of an unfilled placeholder
@@ -70,6 +72,9 @@ _FILLER = re.compile(
     r"|(?:\b(?:asdf\w*|qwert?y?\w*|zxcv\w*|hjkl|foo|bar|baz|test|blah?|bla)\b[\s,.;]*){4,}",
     re.I,
 )
+_CLASSIC = re.compile(r"\bdolor sit amet\b|\bconsectetu?r adipisc", re.I)
+_KNOWN_FILLER = re.compile(r"\b(?:lorem|ipsum)\b", re.I)
+_MASH = re.compile(r"(?:\b(?:asdf\w*|qwert?y?\w*|zxcv\w*|hjkl|foo|bar|baz|test|blah?|bla)\b[\s,.;]*){4,}$", re.I)
 _LATIN_END = re.compile(r"(?:[aeiou][smrt]|[aeio])$")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -114,6 +119,25 @@ def _is_filler(line: str) -> bool:
     return all(len(w) > 3 for w in words) and sum(bool(_LATIN_END.search(w)) for w in words) >= 0.8 * len(words)
 
 
+def _is_filler_comment(text: str) -> bool:
+    """Does a comment consist of filler?  One with ordinary words, a path or quotes only mentions it."""
+    if _EXPLAINS.search(text):
+        return False
+    if _CLASSIC.search(text):
+        return True
+    words = _WORDS.findall(text.lower())
+    if len(words) < 4 or "/" in text or any(w in _COMMON for w in words):
+        return False
+    if _MASH.match(text):
+        return True
+    return len(words) >= (4 if _KNOWN_FILLER.search(text) else 8) and _is_made_up(words)
+
+
+def _is_made_up(words: list[str]) -> bool:
+    body = words[:-1] if len(words) > 4 and len(words[-1]) <= 7 else words  # without a trailing reference
+    return all(len(w) > 3 for w in body) and sum(bool(_LATIN_END.search(w)) for w in body) >= 0.8 * len(body)
+
+
 #: words of ordinary prose: made-up filler has none of them
 _COMMON = frozenset("the and of to in is are was for on with that this not you your we our it be as at by or an from if der die das und ist nicht für mit von zu auf le la les des est pas pour dans une un et el los las que del una con para por es o a do na nie jest się".split())
 
@@ -130,6 +154,7 @@ def residue_kinds(text: str | None) -> list[str]:
     found: set[str] = set()
     score, discounted, shown, fenced = 0.0, 0, 0, False
     foreign: list[str] = []
+    remarks: list[str] = []
     for line in lines:
         bare = line.strip("\ufeff\ufffd \t")
         if not bare:
@@ -142,6 +167,9 @@ def residue_kinds(text: str | None) -> list[str]:
             continue
         if not comment and not directive and not fenced:
             foreign.append(bare)
+        elif not fenced and "#" in bare:
+            remark = bare if comment else (_REMARK.search(bare) or [""])[0]
+            remarks.append(remark.strip("# \t"))
         if not _HINT.search(bare):
             continue
         hits = sum(1 for _ in _PLACEHOLDER.finditer(bare))
@@ -163,6 +191,8 @@ def residue_kinds(text: str | None) -> list[str]:
         score += discounted / 4
     if score >= 1:
         found.add("placeholder")
+    if any(_is_filler_comment(x) for x in remarks):
+        found.add("filler")
     if foreign:
         body = "\n".join(foreign)
         if any(_is_filler(x) for x in foreign):

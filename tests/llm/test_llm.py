@@ -284,6 +284,19 @@ def test_mentions_are_no_residue(text):
     assert residue.residue_kinds(text) == []
 
 
+FILLER = "lorem dorenim litus tenscit rutem perequa nandro viderim"
+
+
+@pytest.mark.parametrize("text", [f"# 218z4r\nUser-agent: *\n# {FILLER}", f"User-agent: *\r\nDisallow: /x # {FILLER}", f"## {FILLER.replace('lorem', 'sapta')}", "#Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod", "# asdf asdf qwer asdf test test"])
+def test_comment_of_filler_is_residue(text):
+    assert residue.residue_kinds(text) == ["filler"]
+
+
+@pytest.mark.parametrize("text", ["# the lorem ipsum paragraph was taken out", f'# "{FILLER}" is gone', f"# for example {FILLER}", "# error pages live under /errors/ember --", "# lorem ipsum removed", f"User-agent: *\nDisallow: /{FILLER.replace(' ', '/')}/#{FILLER}"])
+def test_comment_that_mentions_filler_is_none(text):
+    assert residue.residue_kinds(text) == []
+
+
 def test_residue_tables(spark):
     bodies = spark.createDataFrame([("a", 1, "Error 404: Gone", 0), ("a", 1, "Error 404: Gone", 0), ("a", 2, None, 0), ("a", 3, "", 0), ("a", 4, "Disallow: /", 0)], "src string, row_id long, body string, kinds int")
     assert [tuple(r) for r in residue.residue_rows(bodies).collect()] == [("a", 1, "message")]
