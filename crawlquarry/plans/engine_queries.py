@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crawlquarry import config as C
@@ -96,30 +97,56 @@ def _runs(spark, d):
     return tuple(standing(ends[k]).join(ids, "domain").select("file_id", "domain", "text") for k in ("a", "b"))
 
 
+def _deliveries(spark, d):
+    """Two versions of every site's standing bodies: each delivery and the site's next one.
+
+    The key file_id is a struct of the first snapshot of the site and the two run numbers; null run numbers are left out.
+    """
+    snaps = table(spark, d, "site_snapshots").where("domain is not null").repartition("domain")
+    standing = snaps.groupBy("domain", "run_no").agg(F.min("snap_id").alias("first"), F.coalesce(F.max_by("robots_txt", F.struct("fetched_at", "snap_id")), F.lit("")).alias("b"))
+    w = Window.partitionBy("domain").orderBy("run_no")
+    pairs = standing.select("domain", "b", "run_no", F.min("first").over(Window.partitionBy("domain")).alias("first"), F.lag("run_no").over(w).alias("prev_run_no"), F.lag("b").over(w).alias("a"))
+    return pairs.where("prev_run_no is not null").select(F.struct(F.col("first").alias("file_id"), "prev_run_no", "run_no").alias("file_id"), "domain", "a", "b")
+
+
+def _versions(spark, d):
+    """The older and the newer version of every pair of deliveries with different bodies: equal ones give no row in a diff."""
+    pairs = _deliveries(spark, d).where("a <> b")
+    return tuple(pairs.select("file_id", "domain", F.col(k).alias("text")) for k in ("a", "b"))
+
+
+def _by_run(diff):
+    return diff.select("file_id.file_id", "file_id.prev_run_no", "file_id.run_no", *[c for c in diff.columns if c != "file_id"])
+
+
 def semantic_flags(spark, d):
     return D.text_flags(*_runs(spark, d))
 
 
+def semantic_flags_by_run(spark, d):
+    """`semantic_flags` compares the two ends, as its SQL does; this compares every delivery with the site's next one."""
+    pairs = _deliveries(spark, d)
+    return _by_run(D.text_flags(*(pairs.select("file_id", F.col(k).alias("text")) for k in ("a", "b"))))
+
+
 def semantic_flips(spark, d):
-    old, new = _runs(spark, d)
+    old, new = _versions(spark, d)
     crawlers = table(spark, d, "crawlers")
-    return D.verdict_flips(M.crawler_verdicts(P.parse(old), crawlers), M.crawler_verdicts(P.parse(new), crawlers))
+    return _by_run(D.verdict_flips(M.crawler_verdicts(P.parse(old), crawlers), M.crawler_verdicts(P.parse(new), crawlers)))
 
 
 def semantic_sitemaps(spark, d):
-    old, new = _runs(spark, d)
-    return D.sitemap_changes(P.sitemaps(P.parse(old)), P.sitemaps(P.parse(new)))
+    old, new = _versions(spark, d)
+    return _by_run(D.sitemap_changes(P.sitemaps(P.parse(old)), P.sitemaps(P.parse(new))))
 
 
 def semantic_issues(spark, d):
-    old, new = _runs(spark, d)
-    return D.issue_changes(G.syntax_findings(P.parse(old)), G.syntax_findings(P.parse(new)))
+    old, new = _versions(spark, d)
+    return _by_run(D.issue_changes(G.syntax_findings(P.parse(old)), G.syntax_findings(P.parse(new))))
 
 
 def unified_diffs(spark, d):
-    old, new = _runs(spark, d)
-    both = old.select("file_id", F.col("text").alias("a")).join(new.select("file_id", F.col("text").alias("b")), "file_id").where("a <> b")
-    return both.select("file_id", D.unified_diff("a", "b").alias("diff"))
+    return _by_run(_deliveries(spark, d).where("a <> b").select("file_id", D.unified_diff("a", "b").alias("diff")))
 
 
 def change_history(spark, d):
@@ -221,6 +248,7 @@ QUERIES = {
     "crawl_summary": lambda s, d: U.crawl_summary(table(s, d, "audit_records")),
     "enabled_sites": lambda s, d: io.enabled_sites(table(s, d, "sites")).select("domain", "name", "category"),
     "semantic_flags": semantic_flags,
+    "semantic_flags_by_run": semantic_flags_by_run,
     "semantic_flips": semantic_flips,
     "semantic_sitemaps": semantic_sitemaps,
     "semantic_issues": semantic_issues,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crawlquarry.operators import diff as D
 from crawlquarry.operators.snapshots import diff_sorted, snapshot_changes
+from crawlquarry.plans import engine_queries as E
 from crawlquarry.sources import io
 from crawlquarry.streaming import tracker
 
@@ -80,6 +81,20 @@ def test_semantic_diff(spark):
     assert sorted(tuple(r) for r in D.sitemap_changes(old, new).collect()) == [(0, "u", "resolved"), (0, "w", "new"), (0, "w", "new")]
 
 
+def test_every_delivery_is_compared_with_the_next(spark, tmp_path):
+    shut, free = "User-agent: *\nDisallow: /\nSitemap: https://a.example/s.xml", "User-agent: *\nDisallow:"
+    rows = [snap(1, 1, "a", text=free), snap(2, 4, "a", text=shut), snap(3, 9, "a", text=free), snap(4, 4, "b", text=free), snap(5, 9, "c", text=free), snap(6, 1, "d", text=free), snap(7, 9, "d", text=shut)]
+    rows += [snap(8, 4, "a", text=free, at=-9), snap(9, 1, "e", text=None), snap(10, 4, "e", text=free), snap(11, None, "a", text=shut), snap(11, None, "a", text=shut)]
+    spark.createDataFrame(rows, SNAP).write.parquet(str(tmp_path / "site_snapshots.parquet"))
+    spark.createDataFrame([(1, "X", ["x"], "ai_training")], "ord int, name string, tokens array<string>, category string").write.parquet(str(tmp_path / "crawlers.parquet"))
+    got = {n: sorted(tuple(r) for r in E.QUERIES[n](spark, str(tmp_path)).collect()) for n in ("semantic_flags_by_run", "semantic_flips", "semantic_sitemaps", "unified_diffs", "semantic_issues")}
+    pairs = [(1, 1, 4), (1, 4, 9), (6, 1, 9), (9, 1, 4)]
+    assert [r[:3] for r in got["semantic_flags_by_run"]] == [r[:3] for r in got["unified_diffs"]] == pairs and all(r[3] and r[4] for r in got["semantic_flags_by_run"])
+    assert got["semantic_flips"] == [(1, 1, 4, "X", "ai_training", "open", "blocked"), (1, 4, 9, "X", "ai_training", "blocked", "open"), (6, 1, 9, "X", "ai_training", "open", "blocked")]
+    assert got["semantic_sitemaps"] == [(i, a, b, "https://a.example/s.xml", side) for (i, a, b), side in zip(pairs, ("new", "resolved", "new"))]
+    assert {r[:3] for r in got["semantic_issues"]} == set(pairs)
+
+
 def test_unified_lines():
     assert D.unified_lines("a\nb\nc", "a\nx\nc") == " a\n-b\n+x\n c"
     assert D.unified_lines("a", "a") == "" and D.unified_lines("", "n") == "+n" and D.unified_lines(None, "") == ""
