@@ -6,6 +6,8 @@ anti join or an inner join on keys, never a comparison of all pairs.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ from crawlquarry.operators.findings import looks_like_html
 from crawlquarry.operators.snapshots import directive_lines
 
 CONTEXT_LINES = 3
-#: longest pair of differing middles that the table of common lines is built for; longer ones are shown as replaced
-MOST_CELLS = 4_000_000
+#: lines that occur more often keep their bit row, others build it again when it is needed
+OFTEN = 64
 
 
 def text_flags(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -62,6 +64,79 @@ def high_impact(flips: DataFrame, security: DataFrame, issues: DataFrame, severi
     return flips.select("file_id").unionByName(high).unionByName(errors).distinct()
 
 
+class _CommonRows:
+    """Rows of the table of longest common subsequences of the ends of x and y, as integers.
+
+    Bit k of row r is 0 where the last k + 1 lines of y have one line more in common with the last r lines of x than the
+    last k have (bit-parallel recurrence).  About sqrt(len(x)) rows are kept and those between two of them made again.
+    """
+
+    def __init__(self, x: list[str], y: list[str]) -> None:
+        self.x, self.width, self.full = x, len(y), (1 << len(y)) - 1
+        self.places: dict[str, list[int]] = {}
+        for k, line in enumerate(reversed(y)):
+            self.places.setdefault(line, []).append(k)
+        self.often: dict[str, int] = {}
+        self.step, self.base, self.block = math.isqrt(len(x)) + 1, -1, []
+        self.kept, row = [self.full], self.full
+        for r in range(1, len(x) + 1):
+            row = self._next(row, r)
+            if r % self.step == 0:
+                self.kept.append(row)
+
+    def _next(self, row: int, r: int) -> int:
+        same = row & self._where(self.x[-r])
+        return (row + same | row - same) & self.full
+
+    def _where(self, line: str) -> int:
+        places = self.places.get(line)
+        if places is None:
+            return 0
+        if line in self.often:
+            return self.often[line]
+        bits = bytearray(self.width // 8 + 1)
+        for k in places:
+            bits[k >> 3] |= 1 << (k & 7)
+        found = int.from_bytes(bits, "little")
+        if len(places) > OFTEN:
+            self.often[line] = found
+        return found
+
+    def pair(self, r: int) -> tuple[int, int]:
+        """Rows r - 1 and r."""
+        base = (r - 1) // self.step
+        if base != self.base:
+            self.base, self.block = base, [self.kept[base]]
+            for k in range(base * self.step + 1, min((base + 1) * self.step, len(self.x)) + 1):
+                self.block.append(self._next(self.block[-1], k))
+        at = r - base * self.step
+        return self.block[at - 1], self.block[at]
+
+
+def _edits(x: list[str], y: list[str]) -> list[tuple[str, str]]:
+    """Kept, deleted and added lines by longest common subsequence of lines of any number; deletions first on ties."""
+    ops: list[tuple[str, str]] = []
+    rows = _CommonRows(x, y) if x and y else None
+    i = j = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            ops.append((" ", x[i]))
+            i, j = i + 1, j + 1
+            continue
+        below, row = rows.pair(len(x) - i)
+        rest = (1 << len(y) - j) - 1
+        gain = (below & rest).bit_count() - (row & rest).bit_count()  # of x[i:] over x[i + 1:], against y[j:]
+        while gain and j < len(y) and x[i] != y[j]:
+            k = len(y) - 1 - j
+            gain += (row >> k & 1) - (below >> k & 1)
+            ops.append(("+", y[j]))
+            j += 1
+        if not gain:
+            ops.append(("-", x[i]))
+            i += 1
+    return ops + [("-", s) for s in x[i:]] + [("+", s) for s in y[j:]]
+
+
 def unified_lines(old: str, new: str, context: int = CONTEXT_LINES) -> str:
     """Text diff by longest common subsequence: deletions before additions on ties, `...` between hunks."""
     a, b = (old or "").splitlines(), (new or "").splitlines()
@@ -72,26 +147,7 @@ def unified_lines(old: str, new: str, context: int = CONTEXT_LINES) -> str:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    ops: list[tuple[str, str]] = [(" ", s) for s in a[:head]]
-    if len(x) * len(y) > MOST_CELLS:
-        ops += [("-", s) for s in x] + [("+", s) for s in y]
-    else:
-        common = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            row, below = common[i], common[i + 1]
-            for j in range(len(y) - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-        i = j = 0
-        while i < len(x) or j < len(y):
-            if i < len(x) and j < len(y) and x[i] == y[j]:
-                ops.append((" ", x[i]))
-                i, j = i + 1, j + 1
-            elif i < len(x) and (j == len(y) or common[i + 1][j] >= common[i][j + 1]):
-                ops.append(("-", x[i]))
-                i += 1
-            else:
-                ops.append(("+", y[j]))
-                j += 1
+    ops: list[tuple[str, str]] = [(" ", s) for s in a[:head]] + _edits(x, y)
     ops += [(" ", s) for s in a[len(a) - tail :]] if tail else []
     changed = [k for k, (m, _) in enumerate(ops) if m != " "]
     if not changed:

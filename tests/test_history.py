@@ -81,6 +81,42 @@ def test_semantic_diff(spark):
     assert sorted(tuple(r) for r in D.sitemap_changes(old, new).collect()) == [(0, "u", "resolved"), (0, "w", "new"), (0, "w", "new")]
 
 
+def edits_by_table(x, y):
+    common = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            common[i][j] = common[i + 1][j + 1] + 1 if x[i] == y[j] else max(common[i + 1][j], common[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and x[i] == y[j]:
+            out.append((" ", x[i]))
+            i, j = i + 1, j + 1
+        elif i < len(x) and (j == len(y) or common[i + 1][j] >= common[i][j + 1]):
+            out.append(("-", x[i]))
+            i += 1
+        else:
+            out.append(("+", y[j]))
+            j += 1
+    return out
+
+
+def test_edits_are_those_of_the_whole_table(monkeypatch):
+    rnd = random.Random(5)
+    for often in (0, 64):
+        monkeypatch.setattr(D, "OFTEN", often)
+        for _ in range(400):
+            letters = "abcdefghijklmnop"[: rnd.choice([1, 2, 4, 16])]
+            x, y = ([rnd.choice(letters) for _ in range(rnd.randint(0, 40))] for _ in "ab")
+            assert D._edits(x, y) == edits_by_table(x, y)
+
+
+def test_long_texts_keep_their_common_lines():
+    a = [f"Disallow: /{i}" for i in range(5000)]
+    b = ["# new", *a[1:2500], "# middle", *a[2500:-1], "# end"]
+    out = D.unified_lines("\n".join(a), "\n".join(b)).split("\n")
+    assert [x for x in out if x[0] in "-+"] == ["-Disallow: /0", "+# new", "+# middle", "-Disallow: /4999", "+# end"]
+
+
 def test_every_delivery_is_compared_with_the_next(spark, tmp_path):
     shut, free = "User-agent: *\nDisallow: /\nSitemap: https://a.example/s.xml", "User-agent: *\nDisallow:"
     rows = [snap(1, 1, "a", text=free), snap(2, 4, "a", text=shut), snap(3, 9, "a", text=free), snap(4, 4, "b", text=free), snap(5, 9, "c", text=free), snap(6, 1, "d", text=free), snap(7, 9, "d", text=shut)]
