@@ -16,7 +16,7 @@ found first.  Names have no grammar: which terms are names is estimated from the
 4. Entities become typed placeholders; lone terms above the threshold are generalised too, the rest stays as it is.
 
 All counts run over all texts; the list of disclosing terms is held as a set up to MOST_TERMS, beyond that as a bit
-table of fixed size whose hits are confirmed by a join.
+table of fixed size: a text's words that hit it are confirmed by a join, and names are formed of confirmed terms only.
 
 Defined results: null and empty texts hold nothing; a corpus without mailboxes gives no names; ties and repeated texts
 count as they come (a text under two ids counts twice); texts of any length are read whole; extra columns are ignored.
@@ -381,6 +381,45 @@ class TermFilter:
         return bool(self.bits[h % FILTER_BITS >> 3] >> (h & 7) & 1) and bool(self.bits[(h >> 32) * 2654435761 % FILTER_BITS >> 3] >> (h >> 32 & 7) & 1)
 
 
+def candidate_terms(text: str, maybe: TermFilter) -> set[str]:
+    """Folded words of a text, and parts of words with hyphens, that may be disclosing terms."""
+    out = set()
+    for w in set(WORD.findall(_blanked(text, grammar_spans(text)))):
+        out.add(fold(w))
+        if "-" in w:
+            out.update(map(fold, w.split("-")))
+    return {t for t in out if len(t) >= 3 and t in maybe}
+
+
+def _with_terms(docs: DataFrame, disclosing: DataFrame, maybe: TermFilter) -> DataFrame:
+    """doc_id, text and the disclosing terms of each text: hits of the bit table that are in the list."""
+    keyed = docs.select("doc_id", "text", F.sha2("text", 256).alias("key"))  # equal texts hold equal terms
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, t) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in candidate_terms(text, maybe)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["key", "term"])
+
+    hits = keyed.where("text is not null and text <> ''").select("key", "text").mapInArrow(work, "key string, term string").distinct()
+    sure = hits.join(disclosing.select("term").distinct(), "term", "left_semi").groupBy("key").agg(F.collect_set("term").alias("terms"))
+    return keyed.join(sure, "key", "left").select("doc_id", "text", "terms")
+
+
+def _labelled(docs: DataFrame, disclosing: DataFrame, work, schema: str) -> DataFrame:
+    """work(known terms of each row or of all, batches) over doc_id and text."""
+    known = term_filter(disclosing)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if known.terms is None:
+        docs = _with_terms(docs, disclosing, known)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, text, *terms = (c.to_pylist() for c in batch.columns)
+            yield work(doc, text, [frozenset(t or ()) for t in terms[0]] if terms else [known] * len(doc))
+
+    return docs.mapInArrow(rows, schema)
+
+
 def term_filter(disclosing: DataFrame) -> TermFilter:
     terms = disclosing.select("term").distinct()
     if terms.count() <= MOST_TERMS:
@@ -401,7 +440,7 @@ def term_filter(disclosing: DataFrame) -> TermFilter:
     return TermFilter(None, table)
 
 
-def name_spans(text: str, known: TermFilter) -> list[tuple[int, int, tuple[str, ...]]]:
+def name_spans(text: str, known: TermFilter | frozenset[str]) -> list[tuple[int, int, tuple[str, ...]]]:
     """(start, end, disclosing terms) of the names of persons in a text whose other entities are blanked."""
     words = list(WORD.finditer(text))
     hits: list[str | None] = []
@@ -459,13 +498,13 @@ def name_spans(text: str, known: TermFilter) -> list[tuple[int, int, tuple[str,
     return out
 
 
-def all_spans(text: str, known: TermFilter) -> list[tuple[int, int, str, tuple[str, ...]]]:
+def all_spans(text: str, known: TermFilter | frozenset[str]) -> list[tuple[int, int, str, tuple[str, ...]]]:
     grammar = grammar_spans(text)
     names = name_spans(_blanked(text, grammar), known)
     return sorted([(a, b, k, ()) for a, b, k in grammar] + [(a, b, "name", t) for a, b, t in names])
 
 
-def sanitise(text: str, known: TermFilter, lone_terms: bool = True) -> str:
+def sanitise(text: str, known: TermFilter | frozenset[str], lone_terms: bool = True) -> str:
     """Entities as typed placeholders; lone capitalised terms above the threshold generalised as well."""
     parts, at = [], 0
     spans = all_spans(text, known)
@@ -479,51 +518,27 @@ def sanitise(text: str, known: TermFilter, lone_terms: bool = True) -> str:
     return "".join((*parts, text[at:]))
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("terms", pa.list_(pa.string()))])
-
-
-def _find(known: TermFilter):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = set()
-                for _, _, kind, terms in all_spans(text, known):
-                    if kind not in seen or (kind == "name" and known.terms is None):
-                        seen.add(kind)
-                        for c, v in zip(out, (doc, kind, list(terms))):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _FOUND)], schema=_FOUND)
-
-    return work
+_FOUND = pa.schema([("doc_id", pa.int64()), ("kind", pa.string())])
+_TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 
 def found_kinds(docs: DataFrame, disclosing: DataFrame | None = None) -> DataFrame:
     """doc_id, kind: one row for each text and kind of personal information in it."""
     disclosing = term_disclosure(docs) if disclosing is None else disclosing
-    known = term_filter(disclosing)
-    rows = docs.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find(known), "doc_id long, kind string, terms array<string>")
-    if known.terms is not None:
-        return rows.select("doc_id", "kind").distinct()
-    # hits of the bit table are confirmed against the exact list
-    names = rows.where("kind = 'name'").withColumn("mention", F.monotonically_increasing_id())
-    each = names.select("doc_id", "mention", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    sure = each.join(disclosing.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "mention", "n").agg(F.countDistinct("term").alias("k")).where("k = n")
-    return rows.where("kind <> 'name'").select("doc_id", "kind").unionByName(sure.select("doc_id", F.lit("name").alias("kind"))).distinct()
 
+    def work(docs: list, texts: list, known: list) -> pa.RecordBatch:
+        out = [(doc, kind) for doc, text, terms in zip(docs, texts, known) for kind in dict.fromkeys(k for _, _, k, _ in all_spans(text, terms))]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t.type) for i, t in enumerate(_FOUND)], schema=_FOUND)
 
-def sanitised(docs: DataFrame, disclosing: DataFrame | None = None, lone_terms: bool = True) -> DataFrame:
-    """doc_id and the text with typed placeholders; null and empty texts stay as they are.
+    return _labelled(docs.where("text is not null and text <> ''"), disclosing, work, "doc_id long, kind string").distinct()
 
-    Where the terms are too many to be held exactly, a hit of the bit table that isn't a term (about one in a million)
-    is generalised too: the text never says more than it should.
-    """
-    known = term_filter(term_disclosure(docs) if disclosing is None else disclosing)
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [sanitise(t, known, lone_terms) if t else t for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=schema)
+def sanitised(docs: DataFrame, disclosing: DataFrame | None = None, lone_terms: bool = True) -> DataFrame:
+    """doc_id and the text with typed placeholders; null and empty texts stay as they are."""
+    disclosing = term_disclosure(docs) if disclosing is None else disclosing
+
+    def work(docs: list, texts: list, known: list) -> pa.RecordBatch:
+        clean = [sanitise(t, terms, lone_terms) if t else t for t, terms in zip(texts, known)]
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(clean, pa.string())], schema=_TEXTS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, text string")
+    return _labelled(docs, disclosing, work, "doc_id long, text string")

@@ -416,6 +416,16 @@ def test_bit_table_is_confirmed(spark, monkeypatch):
     assert sorted(tuple(r) for r in pii.found_kinds(docs, terms).collect()) == want
 
 
+def test_false_hits_of_the_bit_table_change_nothing(spark, monkeypatch):
+    rows = [*corpus(), (904, "Twice under one key: Zofia Vorlund"), (None, "Maren Brånvik-Vorlund, without a key")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = pii.term_disclosure(docs)
+    results = lambda: [sorted(map(repr, f(docs, terms).collect())) for f in (pii.found_kinds, pii.sanitised)]
+    want = results()
+    monkeypatch.setattr(pii, "term_filter", lambda _: pii.TermFilter(None, np.full(pii.FILTER_BITS >> 3, 255, dtype=np.uint8)))
+    assert results() == want and len(want[1]) == len(rows)
+
+
 def test_no_names_without_mailboxes(spark):
     docs = spark.createDataFrame([(1, "Anna Berg and Carl Dahl")], "doc_id long, text string")
     assert pii.found_kinds(docs).count() == 0 and pii.found_kinds(docs.limit(0)).count() == 0
