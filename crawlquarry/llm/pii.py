@@ -215,7 +215,8 @@ def grammar_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
-_MAYBE_AT = re.compile(r"\bat\b|arroba|&#64;|%40|&commat;|_at_", re.I)
+#: every form of _AT without a plain @ holds one of these
+_MAYBE_AT = re.compile(r"\bat\b|arroba|&#64;|%40|&commat;|_at_|[(\[{<]\s*(?:ät|chez)\s*[)\]}>]|\(a\)", re.I)
 _HAS_DIGIT = re.compile(r"\d")
 
 # -- candidate pairs and their contexts ----------------------------------------------------------------------------

@@ -379,6 +379,11 @@ def test_grammars(text, kind):
     assert [k for _, _, k in pii.grammar_spans(text)] == [kind]
 
 
+@pytest.mark.parametrize("at", ["(at)", "[AT]", "{ at }", "<At>", " at ", " AT ", "(ät)", " (ät) ", "[chez]", "(arroba)", " arroba ", " (a) ", "&#64;", "&commat;", "%40"])
+def test_mailboxes_pass_the_gate(at):
+    assert [k for _, _, k in pii.grammar_spans(f"Fragen: maren{at}moos.example")] == ["email"]
+
+
 @pytest.mark.parametrize("text", ["", "robots-lint@8.0.5", "%u@%h and @SoundSkua", "Log export 2841725868901", "Serial 4188-1541-48", "45.893.38/2 and 20260936-1510", "2026-01-18, 18.01.2026", "from 203.0.113.180", "Build 4.9.7.830", "See section 30, Chart Street edition", "Hall 48. Lane 17 of x", "0x50C4FF5BE8", "Ticket OPS-15061 at 05:42", "Body hash f6a49c3ac63d0123"])
 def test_look_alikes_of_numbers(text):
     assert pii.grammar_spans(text) == []
