@@ -154,7 +154,7 @@ def packed(docs: DataFrame, limits: DataFrame, vocabulary: str = tokens.DEFAULT_
         )
         level = step.where("still_open").select("pack_id", F.col("to_part").alias("part"), F.col("to_win").alias("win"), F.col("to_used").alias("used")).distinct()
         groups = 0 if last else groups_next
-    items = placed.where("doc_id is not null").join(moved, ["pack_id", "part", "win"], "left")
+    items = placed.where("used is null").join(moved, ["pack_id", "part", "win"], "left")
     name = F.concat_ws("-", F.coalesce("round", F.lit(0)), F.coalesce("at_part", "part"), F.coalesce("at_win", "win"))
     return items.select("pack_id", name.alias("container"), "doc_id", "piece", "first_token", "n_tokens")
 

@@ -345,6 +345,13 @@ def test_packed(spark):
     assert packing.packed(df.limit(0), limits).count() == 0
 
 
+def test_texts_without_an_id_are_packed(spark):
+    docs = spark.createDataFrame([(None, "s", "word word word"), (1, "s", "word word"), (None, "s", None)], "doc_id long, source string, text string")
+    limits = spark.createDataFrame([(1, 64, None)], "pack_id int, capacity_tokens int, source string")
+    rows = packing.packed(docs, limits).collect()
+    assert sorted(r["n_tokens"] for r in rows) == sorted(tokens.count(t) for t in ("word word word", "word word")) and {r["doc_id"] for r in rows} == {None, 1}
+
+
 def test_mixed(spark):
     docs = [(i, "big", f"text number {i} " + "word " * (i % 7), 0) for i in range(600)] + [(1000 + i, "small", f"small text {i} " + "word " * 5, 0) for i in range(60)] + [(2000, "small", "small text 0 word word word word word ", 0), (3000, None, "x", 0), (3001, "big", None, 0), (3002, "unused", "y", 0)]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string, copies int")
