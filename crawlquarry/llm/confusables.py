@@ -76,7 +76,7 @@ class UnionFind:
 
 @functools.lru_cache(maxsize=1)
 def edges() -> tuple[tuple[str, str, str], ...]:
-    """(variant, ordinary spelling, kind), from the Unicode data and the fixed pairs above."""
+    """(variant, ordinary spelling, kind), from the Unicode data and the fixed pairs above; without Hangul syllables and their jamo."""
     out: list[tuple[str, str, str]] = []
     for o in range(0x80, sys.maxunicode + 1):
         if 0xAC00 <= o < 0xD7B0 or 0xD800 <= o < 0xE000 or 0x3400 <= o < 0xA000 or 0x20000 <= o < 0xE0000:
