@@ -91,6 +91,10 @@ def p8_shares(spark, d):
     return mixing.share_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p9_method(spark, d):
+    return pii.disclosing_texts(table(spark, d, "documents"))
+
+
 def p9_found(spark, d):
     return pii.found_kinds(table(spark, d, "documents"))
 
@@ -121,6 +125,7 @@ QUERIES = {
     "p7_fill": p7_fill,
     "p8_mixed": p8_mixed,
     "p8_shares": p8_shares,
+    "p9_method": p9_method,
     "p9_found": p9_found,
     "p9_disclosing_terms": p9_disclosing_terms,
     "p9_sanitised": p9_sanitised,

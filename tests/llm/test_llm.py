@@ -4,11 +4,13 @@ import itertools
 import json
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from crawlquarry.llm import canondup, confusables, mixing, mojibake, packing, pii, residue, termfreq, tokens
 from crawlquarry.llm.seedtext import SEEDS
@@ -420,25 +422,74 @@ def test_names_are_learned_from_the_corpus(spark):
     assert clean[904] == "[NAME] and [NAME]; lol ask [NAME]" and clean[500] == corpus()[160][1] and clean[902] is None and clean[903] == ""
 
 
-def test_bit_table_is_confirmed(spark, monkeypatch):
-    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
-    terms = pii.term_disclosure(docs)
-    want = sorted(tuple(r) for r in pii.found_kinds(docs, terms).collect())
-    monkeypatch.setattr(pii, "MOST_TERMS", 1)
-    assert sorted(tuple(r) for r in pii.found_kinds(docs, terms).collect()) == want
-
-
 def test_false_hits_of_the_bit_table_change_nothing(spark, monkeypatch):
     rows = [*corpus(), (904, "Twice under one key: Zofia Vorlund"), (None, "Maren Brånvik-Vorlund, without a key")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     terms = pii.term_disclosure(docs)
-    results = lambda: [sorted(map(repr, f(docs, terms).collect())) for f in (pii.found_kinds, pii.sanitised)]
+    results = lambda: [sorted(map(repr, f(docs, terms).collect())) for f in (pii.found_kinds, pii.sanitised, pii.disclosing_texts)]
     want = results()
-    monkeypatch.setattr(pii, "term_filter", lambda _: pii.TermFilter(None, np.full(pii.FILTER_BITS >> 3, 255, dtype=np.uint8)))
+    monkeypatch.setattr(pii, "term_table", lambda _: pii.TermTable(b"\xff" * (pii.TABLE_BITS >> 3)))
     assert results() == want and len(want[1]) == len(rows)
 
 
-def test_no_names_without_mailboxes(spark):
+def test_tables_follow_the_plain_form(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    terms = pii.term_disclosure(docs)
+    known = frozenset(r["term"] for r in terms.collect())
+    want = {(i, k) for i, t in corpus() if t for _, _, k in pii.all_spans(t, known)}
+    assert {(r["doc_id"], r["kind"]) for r in pii.found_kinds(docs, terms).collect()} == want
+    method = pii.disclosing_texts(docs, terms).collect()
+    assert {r["doc_id"] for r in method if r["in_name"]} == {i for i, k in want if k == "name"} and {r["term"] for r in method} <= known
+    assert all(r["bits"] >= 1 and r["source"] in ("mailbox", "context") for r in method)
+
+
+def test_method_on_empty_and_null_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "x")], "doc_id long, text string").withColumn("term", F.lit("clash"))
+    for f in (pii.term_disclosure, pii.disclosing_texts, pii.found_kinds):
+        assert f(docs).count() == 0 and f(docs.limit(0)).count() == 0
+
+
+def test_names_of_one_text_only(spark):
+    """One text each, no term twice: a title, a closing, a label, an author with a deed, a mailbox of both terms."""
+    texts = [
+        "Dr. Alma Reuther approved the list.", "Please look at it.\nBest regards,\nIngo Falkner", "Owner of the rule: Petra Holm", "I asked Sven Adler, he wrote that rule", "Bo Li wrote it, bo.li@host.example",
+        "Nils Krag | nkrag@host.example", "Reviewed by Dr. Xu Wei last week.", "Liebe Grüße\nJana Moor",
+    ]
+    plain = [f"Project Amber Pebble{i} starts on 2026-01-02. The Raven Satin edition, see Hall {i}. Crawler Desk asked for /x." for i in range(40)]
+    rows = list(enumerate([*texts, *plain]))
+    found = {r["doc_id"] for r in pii.found_kinds(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["kind"] == "name"}
+    assert found == set(range(len(texts)))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1/documents.parquet").exists(), reason="needs the test data")
+def test_names_at_a_small_scale(spark):
+    """Of the names that the terms of a ten times larger table show, nine in ten are found from the small table alone."""
+    large, small = (spark.read.parquet(f"/root/testdata/sf{x}/documents.parquet") for x in ("0.1", "0.01"))
+    want = {r["doc_id"] for r in pii.found_kinds(small, pii.term_disclosure(large)).collect() if r["kind"] == "name"}
+    got = {r["doc_id"] for r in pii.found_kinds(small).collect() if r["kind"] == "name"}
+    assert len(want) > 100 and len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(got)
+
+
+def test_long_contexts_and_long_names():
+    word = "x" * 60
+    assert pii.left_context(f"{word} {word} ", 122) == f"{word} {word}" and pii.right_context(f" {word} {word} b", 0) == f"{word} {word}"
+    assert [(a, b) for a, b, _, _ in pii.candidate_pairs("by Bo Li, Xu Wei")] == [("Bo", "Li"), ("Li", "Xu"), ("Xu", "Wei")]
+
+
+@pytest.mark.parametrize(
+    ("text", "street"),
+    [("Jl. Sudirman 5", "Jl. Sudirman 5"), ("in der Langen Straße 7a.", "Langen Straße 7a"), ("Paseo de las Flores, 18", "Paseo de las Flores, 18"), ("ul. Nowy Świat 12/3", "ul. Nowy Świat 12/3"), ("ул. Ленина, д. 4", "ул. Ленина, д. 4"), ("(C/ Mayor 3)", "C/ Mayor 3"), ("x Hauptstraße 5 y", "Hauptstraße 5")],
+)
+def test_addresses(text, street):
+    assert [text[a:b] for a, b in pii.addresses(text)] == [street]
+
+
+@pytest.mark.parametrize("text", ["line 12", "Version 4 ab", "Regel 7", "Zeile 3\n4", "x", "5", "12 rules", "Der Weg 400000", "am 5", "Die Straße 5 Sekunden"])
+def test_no_addresses(text):
+    assert list(pii.addresses(text)) == []
+
+
+def test_no_names_without_evidence(spark):
     docs = spark.createDataFrame([(1, "Anna Berg and Carl Dahl")], "doc_id long, text string")
     assert pii.found_kinds(docs).count() == 0 and pii.found_kinds(docs.limit(0)).count() == 0
 
