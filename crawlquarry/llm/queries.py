@@ -62,6 +62,10 @@ def _bodies(spark, d):
     return residue.bodies_of(table(spark, d, "fetches"), table(spark, d, "site_snapshots"))
 
 
+def p6_method(spark, d):
+    return residue.placeholder_rows(_bodies(spark, d))
+
+
 def p6_found(spark, d):
     return residue.residue_rows(_bodies(spark, d)).select("src", "row_id")
 
@@ -118,6 +122,7 @@ QUERIES = {
     "p3_fetch_contents": p3_fetch_contents,
     "p4_found": p4_found,
     "p4_term_counts": p4_term_counts,
+    "p6_method": p6_method,
     "p6_found": p6_found,
     "p6_kinds": p6_kinds,
     "p6_kept": p6_kept,

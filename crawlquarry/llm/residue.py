@@ -1,11 +1,15 @@
 """Template residue, filler copy, error and refusal messages, and script notices in place of real content.
 
-Three detectors look at a body.  (a) Placeholders: one grammar for each kind of delimiter, and notes that something is
-still to be filled in.  A hit counts 1; in a comment or prose that explains or quotes it, or inside a code block, it
-counts a quarter, unless such hits make up most of the body.  (b) Filler copy: known filler words, keyboard mash and
+Detectors look at a whole body.  (a) Placeholders: one grammar for each kind of delimiter, and notes that something is
+still to be filled in.  Delimiters in pairs are scanned over the whole text, across lines and at any length; signs
+around one word by patterns.  A hit counts 1; in a comment or prose that explains or quotes it, or inside a code block,
+it counts a quarter, unless such hits make up most of the body.  (b) Filler copy: known filler words, keyboard mash and
 sentences repeated for length, outside directives; a comment counts if it consists of filler, not if it mentions,
-explains or quotes some.  (c) Messages of servers, programs, guards and script
-checks, in several languages, outside directives and comments: a path or comment that mentions them is no message.
+explains or quotes some.  (c) Messages of servers, programs, guards and script checks, outside directives and comments:
+phrases of several languages, and sentences in which words of failure (or of switching on) and words of what failed (or
+of scripts) make up the density DENSE of all words.  A path or comment that mentions them is no message.
+
+(a) is the method named for the problem; filler and messages have no delimiters, so (b) and (c) are rules of their own.
 
 Defined results: a null or empty body is no case; status and flags are never read, so they can't decide; texts of any
 length are looked at whole; rows delivered twice come out once.
@@ -27,30 +31,39 @@ _ANY_FIELD = re.compile(r"^\s*[^\W\d][\w -]{2,24}\s*:\s*(?:/|https?://|\*|$)")
 _REMARK = re.compile(r"\s#.*")
 _UNSEEN = re.compile("[\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff]")
 
-#: delimiter -> grammar of an unfilled placeholder
-GRAMMARS: dict[str, str] = {
-    "double brace": r"\{\{[#/^&>!~]?\s*[A-Za-z_$][^{}\n]{0,80}\}\}",
-    "brace percent": r"\{%-?\s*[A-Za-z_][^\n]{0,120}?-?%\}",
-    "brace hash": r"\{#\s*[A-Za-z_][^\n]{0,80}?\s#\}",
-    "dollar brace": r"\$\{[A-Za-z_][\w.:\-]{0,60}\}",
-    "dollar paren": r"\$\([A-Z_][A-Z0-9_]{2,40}\)",
-    "hash brace": r"#\{[A-Za-z_@][\w.\[\]'\"]{0,60}\}",
-    "server tag": r"<%[=#@!-]?[^\n]{1,160}?%>|<\?(?:php\b|=)[^\n]{0,160}?(?:\?>|$)|<cf[a-z]+ ",
-    "double percent": r"%%[A-Za-z_][\w.\-]{1,60}%%",
-    "percent": r"(?<![\w%])%(?=[A-Z_]*[G-Z_])[A-Z][A-Z_]{3,40}%(?![0-9A-Fa-f]{2})",
-    "percent paren": r"%\([A-Za-z_]\w{0,40}\)[sdif]",
-    "percent letter": r"(?<=[/=:@. -])%[sd](?=[/?&.\s]|$)(?![^\n]*\b(?:log|print|format)s?\b)",
-    "double at": r"@@[A-Za-z_][\w.\-]{1,60}@@",
-    "at": r"(?<![\w.@])@[A-Z][A-Z_]{3,40}@",
-    "double bracket": r"\[\[\s*[A-Za-z_][\w .:\-]{1,60}\s*\]\]",
-    "bracket": r"\[(?:your|insert|enter|add|put|type|replace|site|domain|company|website|name of|url of|todo)\b[\w '\-./]{0,60}\]",
-    "angle": r"<(?:your|insert|enter|add|put|type|replace|site|domain|company|website|name of|url of|the|todo)(?:[ _-][\w'./-]+){1,8}>",
-    "underscores": r"(?<![\w])__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+__(?!\w)|(?<!\w)__[A-Z][A-Z0-9]{2,}__(?!\w)",
-    "numbered brace": r"(?<=[/=:?&.\- ])\{[0-9]{1,2}\}",
-    "x run": r"\bX{3,}(?:[-_][A-Z0-9]+)*[-_]X{3,}\b|\bX{5,}\b",
+#: paired delimiters: opening, closing, what an unfilled placeholder begins with, signs it can't hold
+PAIRED: dict[str, tuple[str, str, re.Pattern[str], str]] = {
+    "double brace": ("{{", "}}", re.compile(r"[#/^&>!~]?\s*[A-Za-z_$]"), "{}"),
+    "brace percent": ("{%", "%}", re.compile(r"-?\s*[A-Za-z_]"), ""),
+    "brace hash": ("{#", "#}", re.compile(r"\s*[A-Za-z_][^#]*\s\Z"), ""),
+    "dollar brace": ("${", "}", re.compile(r"[A-Za-z_][\w.:\-]*\Z"), "{\n"),
+    "dollar paren": ("$(", ")", re.compile(r"[A-Z_][A-Z0-9_]{2,}\Z"), "(\n"),
+    "hash brace": ("#{", "}", re.compile(r"[A-Za-z_@][\w.\[\]'\"]*\Z"), "{\n"),
+    "server tag": ("<%", "%>", re.compile(r"[=#@!-]?\s*\S"), ""),
+    "program tag": ("<?php", "?>", re.compile(r"\s"), ""),
+    "echo tag": ("<?=", "?>", re.compile(r"\s*\S"), ""),
+    "double bracket": ("[[", "]]", re.compile(r"\s*[A-Za-z_][\w .:\-]+\s*\Z"), "[]\n"),
+}
+#: delimiters around one word, and spellings of a whole placeholder: the sign that must be there, and the grammar
+SINGLE: dict[str, tuple[str, str]] = {
+    "open program tag": ("<?php", r"<\?php\b(?![\s\S]*\?>)"),
+    "cold tag": ("<cf", r"<cf[a-z]+ "),
+    "double percent": ("%%", r"%%[A-Za-z_][\w.\-]+%%"),
+    "percent": ("%", r"(?<![\w%])%(?=[A-Z_]*[G-Z_])[A-Z][A-Z_]{3,}%(?![0-9A-Fa-f]{2})"),
+    "percent paren": ("%(", r"%\([A-Za-z_]\w*\)[sdif]"),
+    "percent letter": ("%", r"(?<=[/=:@. -])%[sd](?=[/?&.\s]|$)(?![^\n]*\b(?:log|print|format)s?\b)"),
+    "double at": ("@@", r"@@[A-Za-z_][\w.\-]+@@"),
+    "at": ("@", r"(?<![\w.@])@[A-Z][A-Z_]{3,}@"),
+    "bracket": ("[", r"(?i:\[(?:your|insert|enter|add|put|type|replace|site|domain|company|website|name of|url of|todo)\b[\w '\-./]*\])"),
+    "angle": ("<", r"(?i:<(?:your|insert|enter|add|put|type|replace|site|domain|company|website|name of|url of|the|todo)(?:[ _-][\w'./-]+){1,8}>)"),
+    "underscores": ("__", r"(?<![\w])__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+__(?!\w)|(?<!\w)__[A-Z][A-Z0-9]{2,}__(?!\w)"),
+    "numbered brace": ("{", r"(?<=[/=:?&.\- ])\{[0-9]{1,2}\}"),
+    "x run": ("XXX", r"\bX{3,}(?:[-_][A-Z0-9]+)*[-_]X{3,}\b|\bX{5,}\b"),
 }
-#: single braces only in the value of a directive, where no list or quantifier can stand
-_SINGLE_BRACE = re.compile(r"(?<=[/=?&.: \-])\{[A-Za-z_][\w.-]{1,40}\}")
+_SINGLE = {k: (sign, re.compile(g, re.M)) for k, (sign, g) in SINGLE.items()}
+#: single braces around one word: in the value of a directive, or in prose after a word that asks for a name
+_SINGLE_BRACE = re.compile(r"(?<=[/=?&.: \-])\{[A-Za-z_][\w.-]*\}")
+_PROSE_BRACE = re.compile(r"(?<=[\w,.] )\{[A-Za-z_][\w.-]*\}(?=[\s.,!?;]|$)|(?<=@)\{[A-Za-z_][\w.-]*\}")
 _NOTES = re.compile(
     r"replace[-_ ]me\b|change[-_ ]?me\b|\bfill[- ]?(?:me[- ])?in\b(?! the (?:gap|form))|\bto be (?:filled|completed|replaced|added|defined|written)\b|\bTB[DA]\b|\bFIXME\b"
     r"|\b(?:TODO|XXX|HACK)\b\s*[:\-(]?\s*(?:insert|add|fill|replace|write|put|set|update|complete|define|change|enter|provide|remove|check|edit)\b|\bTODO\s*:"
@@ -58,9 +71,7 @@ _NOTES = re.compile(
     r"|\b(?:goes|go) here\b|\breplace (?:this|it|the above|with)\b[^\n]{0,40}\b(?:before|with your|launch)\b|\b(?:noch|bitte) (?:auszufüllen|ausfüllen|ersetzen|eintragen)\b|\bà (?:compléter|remplacer|remplir)\b|\bpor (?:completar|rellenar)\b|\b(?:da completare|do uzupełnienia)\b",
     re.I,
 )
-_PLACEHOLDER = re.compile("|".join(f"(?P<{k.replace(' ', '_')}>{g})" for k, g in GRAMMARS.items()), re.M)
-_PLACEHOLDER_CI = re.compile("|".join(GRAMMARS[k] for k in ("bracket", "angle")), re.I)
-_HINT = re.compile(r"[{<\[@%$]|XXX|__|(?i:todo|fixme|fill|replac|chang|insert|your|\btb[ad]\b|here|here\b|to be|ausf|ersetz|eintrag|auszu|compl|rempl|rellen|uzupe)")
+_NOTE_HINT = re.compile(r"XXX|(?i:todo|fixme|fill|replac|chang|insert|your|\btb[ad]\b|here\b|to be|ausf|ersetz|eintrag|auszu|compl|rempl|rellen|uzupe)")
 _EXPLAINS = re.compile(r"`|\"[^\"\n]*\"|'[^'\n]*'|\b(?:e\.g|i\.e|for example|for instance|such as|syntax|placeholders?|templates?|tutorial|documentation|docs|manual|means|stands? for|is replaced|are replaced|replaced by|matches|variables?|escape[ds]?|never|don't|do not|instead of|zum Beispiel|par exemple|por ejemplo)\b", re.I)
 
 # -- filler --------------------------------------------------------------------------------------------------------
@@ -105,6 +116,32 @@ _SCRIPTS = re.compile(
     r"|\b(?:ative|habilite|precisa|requer|sem)\b[^\n<]{0,40}\bjavascript\b|\b(?:abilita|attiva|richiede|senza)\w*[^\n<]{0,40}\bjavascript\b|\b(?:w.{1,4}cz|wymaga|bez)\w*[^\n<]{0,40}\bjavascript\w*|\b(?:zapn|povol|vy.{1,4}aduje)\w*[^\n<]{0,40}\bjavascript\w*|\b(?:aktivera|kr.{1,4}ver)\b[^\n<]{0,40}\bjavascript\b|включите\s+javascript|javascript\s*を有効|启用\s*javascript",
     re.I,
 )
+# beginnings of words (fixed values): of failure or refusal, of what fails; of switching on, of scripts; of robots rules
+_FAILS = re.compile(r"\b(?:error|errno|fail|den(?:ied|y)|refus|reject|forbid|block|unavailable|unreachable|invalid|missing|broken|crash|abort|expired|exceed|timeout|timed|sorry|oops|nothing|no|not|cannot|can't|couldn't|unable|never|gone|lost|down|closed|offline|fehl|verweiger|gesperrt|nicht|kein\w*|leider|tut uns leid|erreur|échec|refusé|introuvable|désolé|impossible|aucun\w*|rien|no|error|fallo|denegad|lo sentimos|imposible|ning\w+|nada|erro|negad|desculp|errore|negat|spiacent|nessun\w*|błąd|nie|brak|przepraszamy|ошибк|нет|извините|невозможно|запрещ)", re.I)
+_THINGS = re.compile(r"\b(?:server|page|site|website|request|address|connection|database|access|resource|host|service|document|gateway|session|permission|memory|disk|process|file|url|seite|adresse|anfrage|verbindung|datenbank|zugriff|dienst|dokument|serveur|adresse|requête|connexion|base de données|accès|ressource|fichier|página|pagina|sitio|servidor|solicitud|dirección|conexión|acceso|recurso|servizio|richiesta|strona|serwer|adres|połączenie|страниц|сервер|сайт|доступ|запрос|адрес)", re.I)
+_SWITCHES = re.compile(r"\b(?:enabl|activat|allow|turn|switch|need|requir|disabl|support|run|aktivier|einschalt|schalten|zulassen|erlaub|benötig|brauch|activ|autoris|nécessit|requier|habilit|permit|necesit|ativ|precis|abilit|attiv|richied|włącz|wymag|zapn|povol|aktiver|включ|разреш)", re.I)
+_SCRIPTING = re.compile(r"\b(?:javascript|scripts?|scripting|skript\w*|js|cookies?|скрипт\w*)\b", re.I)
+_OF_ROBOTS = re.compile(r"\b(?:crawl\w*|robots?|bots?|spiders?|index\w*|disallow\w*|sitemaps?|user-?agents?|rules?|allow)\b", re.I)
+#: part of a sentence's words that cues have to make up
+DENSE = 0.3
+_TAG = re.compile(r"<[^>]*>")
+_SENTENCE = re.compile(r"[.!?;]+(?:\s|$)|\n")
+
+
+def dense_kind(body: str) -> str | None:
+    """`message` or `script notice` if a sentence of the body is dense in both kinds of cues, and none of robots rules."""
+    for part in _SENTENCE.split(_TAG.sub("\n", body)):
+        words = len(_WORDS.findall(part))
+        if not 3 <= words <= 40 or _OF_ROBOTS.search(part):
+            continue
+        scripts, things = len(_SCRIPTING.findall(part)), len(_THINGS.findall(part))
+        if scripts and (n := len(_SWITCHES.findall(part))) and n + scripts >= DENSE * words:
+            return "script notice"
+        if things and (n := len(_FAILS.findall(part))) and n + things >= DENSE * words:
+            return "message"
+    return None
+
+
 KINDS = ("placeholder", "filler", "message", "script notice")
 
 
@@ -142,57 +179,105 @@ def _is_made_up(words: list[str]) -> bool:
 _COMMON = frozenset("the and of to in is are was for on with that this not you your we our it be as at by or an from if der die das und ist nicht für mit von zu auf le la les des est pas pour dans une un et el los las que del una con para por es o a do na nie jest się".split())
 
 
-def residue_kinds(text: str | None) -> list[str]:
-    """The kinds of residue in a body, in the order of KINDS; none for a null or empty body."""
-    if not text:
-        return []
-    if "\x00" in text:
-        text = text.replace("\x00", "")
-    if not text.isascii():
-        text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
-    lines = re.split(r"\r\n|\r|\n", text)
-    found: set[str] = set()
-    score, discounted, shown, fenced = 0.0, 0, 0, False
-    foreign: list[str] = []
-    remarks: list[str] = []
-    for line in lines:
-        bare = line.strip("\ufeff\ufffd \t")
+def placeholders(text: str) -> list[tuple[int, str]]:
+    """(place, grammar) of the unfilled placeholders of a text, whatever stands around them."""
+    out: list[tuple[int, str]] = []
+    for name, (opening, closing, begins, banned) in PAIRED.items():
+        at = text.find(opening)
+        while at >= 0:
+            start = at + len(opening)
+            end = text.find(closing, start)
+            if end < 0:
+                break
+            again = text.rfind(opening, start, end)  # the innermost opening counts
+            if again >= 0:
+                at, start = again, again + len(opening)
+            inner = text[start:end]
+            if begins.match(inner) and not any(c in inner for c in banned):
+                out.append((at, name))
+            at = text.find(opening, end + len(closing) if not banned else start)
+    for name, (sign, grammar) in _SINGLE.items():
+        if sign in text:
+            out.extend((m.start(), name) for m in grammar.finditer(text))
+    return out
+
+
+def marked_lines(text: str) -> list[tuple[str, str, bool, int, bool]]:
+    """(line, kind, fenced, hits, note) of the non-blank lines: kind is comment, directive or foreign; hits are
+    placeholders that begin in the line, note tells that something is still to be filled in."""
+    out = []
+    hits = sorted(p for p, _ in placeholders(text))
+    fenced, nth, at = False, 0, 0
+    for line in _LINE.findall(text):
+        end = at + len(line)
+        found = nth
+        while nth < len(hits) and hits[nth] < end:
+            nth += 1
+        found = nth - found
+        at = end
+        bare = line.strip("\ufeff\ufffd \t\r\n")
         if not bare:
             continue
-        shown += 1
         comment = bare[0] == "#" and not bare.startswith("#{")
         directive = not comment and bool(_DIRECTIVE.match(bare) or _ANY_FIELD.match(bare))
         if bare.startswith("```") or bare.startswith("~~~"):
             fenced = not fenced
             continue
-        if not comment and not directive and not fenced:
-            foreign.append(bare)
-        elif not fenced and "#" in bare:
-            remark = bare if comment else (_REMARK.search(bare) or [""])[0]
-            remarks.append(remark.strip("# \t"))
-        if not _HINT.search(bare):
-            continue
-        hits = sum(1 for _ in _PLACEHOLDER.finditer(bare))
-        if not hits:
-            hits = sum(1 for _ in _PLACEHOLDER_CI.finditer(bare))
-        if not hits and directive:
-            hits = len(_SINGLE_BRACE.findall(bare))
-        value = bare.split("#", 1)[0] if directive else bare
-        notes = _NOTES.findall(value if directive and value.strip() else bare)
-        if directive and notes and not hits:
-            path = value.split(":", 1)[-1].strip()
-            notes = [] if path.startswith(("/", "*")) else notes  # a path that happens to be called so
-        if hits or notes:
-            if fenced or (comment and hits and _EXPLAINS.search(bare)):
+        if not found and "{" in bare:
+            found = len((_SINGLE_BRACE if directive else _PROSE_BRACE).findall(bare))
+        note = False
+        if _NOTE_HINT.search(bare):
+            value = bare.split("#", 1)[0] if directive else bare
+            note = bool(_NOTES.search(value if directive and value.strip() else bare))
+            if directive and note and not found and value.split(":", 1)[-1].strip().startswith(("/", "*")):
+                note = False  # a path that happens to be called so
+        out.append((bare, "comment" if comment else "directive" if directive else "foreign", fenced, found, note))
+    return out
+
+
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z")
+
+
+def readable(text: str) -> str:
+    """A body without NUL and invisible characters, compatibility forms folded."""
+    if "\x00" in text:
+        text = text.replace("\x00", "")
+    return text if text.isascii() else _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
+
+
+def placeholder_weight(lines: list[tuple[str, str, bool, int, bool]]) -> tuple[int, int, float]:
+    """(counted in full, discounted, weight): discounted hits count only if they make up most of the body."""
+    full = discounted = 0
+    for bare, kind, fenced, hits, note in lines:
+        if hits or note:
+            if fenced or kind == "comment" and hits and _EXPLAINS.search(bare):
                 discounted += 1
             else:
-                score += 1
-    if discounted and discounted >= 4 and discounted > shown / 2:
-        score += discounted / 4
-    if score >= 1:
+                full += 1
+    weight = float(full)
+    if discounted >= 4 and discounted > len(lines) / 2:
+        weight += discounted / 4
+    return full, discounted, weight
+
+
+def residue_kinds(text: str | None) -> list[str]:
+    """The kinds of residue in a body, in the order of KINDS; none for a null or empty body."""
+    if not text:
+        return []
+    lines = marked_lines(readable(text))
+    found: set[str] = set()
+    if placeholder_weight(lines)[2] >= 1:
         found.add("placeholder")
-    if any(_is_filler_comment(x) for x in remarks):
-        found.add("filler")
+    foreign: list[str] = []
+    for bare, kind, fenced, _, _ in lines:
+        if fenced:
+            continue
+        if kind == "foreign":
+            foreign.append(bare)
+        elif "#" in bare:
+            remark = bare if kind == "comment" else (_REMARK.search(bare) or [""])[0]
+            if _is_filler_comment(remark.strip("# \t")):
+                found.add("filler")
     if foreign:
         body = "\n".join(foreign)
         if any(_is_filler(x) for x in foreign):
@@ -201,6 +286,8 @@ def residue_kinds(text: str | None) -> list[str]:
             found.add("message")
         if _SCRIPTS.search(body):
             found.add("script notice")
+        if not found:
+            found.update(filter(None, [dense_kind(body)]))
     return [k for k in KINDS if k in found]
 
 
@@ -218,6 +305,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _SCHEMA)], schema=_SCHEMA)
 
 
+_WEIGHTS = pa.schema([("src", pa.string()), ("row_id", pa.int64()), ("n_full", pa.int32()), ("n_discounted", pa.int32()), ("weight", pa.float64()), ("grammars", pa.list_(pa.string()))])
+
+
+def placeholder_rows(bodies: DataFrame) -> DataFrame:
+    """src, row_id, n_full, n_discounted, weight, grammars: the method alone, for every body with a placeholder or note."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for src, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                text = readable(text)
+                full, discounted, weight = placeholder_weight(marked_lines(text))
+                if full or discounted:
+                    out.append((src, row, full, discounted, weight, sorted({name for _, name in placeholders(text)})))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t.type) for i, t in enumerate(_WEIGHTS)], schema=_WEIGHTS)
+
+    return bodies.where("body is not null and body <> ''").mapInArrow(work, "src string, row_id long, n_full int, n_discounted int, weight double, grammars array<string>").distinct()
+
+
 def bodies_of(fetches: DataFrame, snapshots: DataFrame) -> DataFrame:
     return fetches.select(F.lit("fetches").alias("src"), F.col("fetch_id").cast("long").alias("row_id"), F.col("text").alias("body")).unionByName(
         snapshots.select(F.lit("site_snapshots").alias("src"), F.col("snap_id").cast("long").alias("row_id"), F.col("robots_txt").alias("body"))

@@ -299,6 +299,44 @@ def test_comment_that_mentions_filler_is_none(text):
     assert residue.residue_kinds(text) == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["Sitemap: https://{{ " + "a" * 500 + " }}/x", "x <%\n foo\n%> y", "{{#if\n x}}", "<?php echo\n 1 ?>", "<?php open", "${" + "a" * 200 + "}", "Welcome to {company}", "Host: [[" + "site_" * 40 + "]]", "{{ a {{ b }}", "%%" + "A" * 100 + "%%"],
+)
+def test_placeholders_of_any_length_and_across_lines(text):
+    assert residue.residue_kinds(text) == ["placeholder"]
+
+
+@pytest.mark.parametrize("text", ["{{", "{{ }}", "{% %", "<% " * 20_000, "{{ " * 20_000, "${" * 20_000 + "}", "[[1]]", "${a b}", "Disallow: /{a,b}/", "# set {opal, fable} shares one rule", "# {lower} then {upper}, for example"])
+def test_open_delimiters_are_no_placeholders(text):
+    assert residue.residue_kinds(text) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("Error establishing a database connection", "message"), ("Sorry, nothing lives at this address.", "message"), ("Server said no.", "message"), ("Der Server antwortet leider nicht", "message"),
+        ("Bitte schalten Sie Skripte ein", "script notice"), ("Scripts need to run here", "script notice"),
+    ],
+)
+def test_sentences_dense_in_cues(text, kind):
+    assert residue.residue_kinds(text) == [kind] and residue.residue_kinds(f"<html><body><p>{text}</p></body></html>") == [kind]
+
+
+@pytest.mark.parametrize("text", ["do not crawl this site", "We are closed on Sundays, but our shop has many pages with goods of all kinds.", "# the server said no", "Disallow: /server-error", "no", "<p>Our site shows maps and tours; no guide is needed for most of them.</p>"])
+def test_ordinary_sentences_are_not_dense(text):
+    assert residue.residue_kinds(text) == []
+
+
+def test_placeholders_alone(spark):
+    bodies = spark.createDataFrame(
+        [("a", 1, "x {{ y }}\n${z}", 0), ("a", 1, "x {{ y }}\n${z}", 0), ("a", 2, "# for example {{ y }}", 0), ("a", 3, "Internal Server Error", 0), ("a", 4, None, 0), ("a", 5, "", 0), ("a", 6, "Disallow: /", 0)], "src string, row_id long, body string, weight int"
+    )
+    got = {r["row_id"]: (r["n_full"], r["n_discounted"], r["weight"], r["grammars"]) for r in residue.placeholder_rows(bodies).collect()}
+    assert got == {1: (2, 0, 2.0, ["dollar brace", "double brace"]), 2: (0, 1, 0.0, ["double brace"])}
+    assert residue.placeholder_rows(bodies.limit(0)).count() == 0
+
+
 def test_residue_tables(spark):
     bodies = spark.createDataFrame([("a", 1, "Error 404: Gone", 0), ("a", 1, "Error 404: Gone", 0), ("a", 2, None, 0), ("a", 3, "", 0), ("a", 4, "Disallow: /", 0)], "src string, row_id long, body string, kinds int")
     assert [tuple(r) for r in residue.residue_rows(bodies).collect()] == [("a", 1, "message")]
