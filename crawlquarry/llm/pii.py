@@ -54,7 +54,7 @@ CONTEXT_ODDS = 3.5
 STRONG_ODDS = 6.0
 CLASS_ODDS = 2.0
 STRONG_CONTEXTS = 2
-CONTEXT_ROUNDS = 4
+CONTEXT_ROUNDS = 3
 #: part of a term's places that has to look like a person, on average
 TERM_SHARE = 0.25
 #: a context counts as if seen so often at the overall rate (of its class), too
@@ -66,6 +66,8 @@ TABLE_BITS = 1 << 24
 #: full-width signs and odd spaces, each to one ordinary character: positions stay
 _FLAT = {o: o - 0xFEE0 for o in range(0xFF01, 0xFF5F)} | {0xA0: 32, 0x2007: 32, 0x2009: 32, 0x202F: 32, 0x3000: 32, 0x2010: 45, 0x2011: 45, 0x2012: 45, 0x2013: 45, 0x2212: 45}
 
+_ODD = re.compile("[" + "".join(map(chr, _FLAT)) + "]")
+
 # -- entities with a grammar ---------------------------------------------------------------------------------------
 
 _LABEL = r"[A-Za-z0-9\u00c0-\u024f](?:[A-Za-z0-9\u00c0-\u024f-]*[A-Za-z0-9\u00c0-\u024f])?"
@@ -263,7 +265,7 @@ def mailboxes(flat: str) -> Iterator[re.Match]:
 
 
 def _flat(text: str) -> str:
-    return text if text.isascii() else text.translate(_FLAT)
+    return text if text.isascii() or not _ODD.search(text) else text.translate(_FLAT)
 
 
 def grammar_spans(text: str) -> list[tuple[int, int, str]]:
@@ -311,7 +313,7 @@ _HAS_DIGIT = re.compile(r"\d")
 _NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _PARTICLE = "|".join(sorted(_PARTICLES))
 #: a word that begins like a name: a capital (or a letter without case), or a clipped article before one (d'Orvane)
-_FIRST = re.compile(rf"\b(?:[^\W\d_a-z]|[a-z]{{1,2}}['’](?=[^\W\d_a-z]))[^\W\d_]*(?:['’-][^\W\d_]+)*")
+_FIRST = re.compile(rf"\b(?:[^\W\d_a-z]|[a-z]{{1,2}}['’](?=[^\W\d_a-z]))[^\W\d_]*(?:['’-][^\W\d_]+)*(?=\. |,? (?:[^\W\d_a-z]|[a-z]{{1,2}}['’]|(?:{_PARTICLE}) ))")
 _SECOND = re.compile(rf"(?:, | )((?:(?:(?i:{_PARTICLE})|[^\W\d_a-z]\.) )*)({_NAME})")
 _SMALL = re.compile(r"\b[a-zß-ÿ][^\W\d_]+")
 
