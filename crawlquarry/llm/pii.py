@@ -102,7 +102,7 @@ _ID_WORDS = re.compile(
     re.I,
 )
 #: a label behind the number, in the same sentence
-_ID_AFTER = re.compile(r"[^.\n]{0,24}\b(?:proof of identity|identity|Ausweis|identité|identidad)", re.I)
+_ID_AFTER = re.compile(r"[^.\n]{0,24}\b(?:proof of identity|identity|Ausweis|identité|identidad)\b(?![^.\n]{0,24}[:#\d])", re.I)
 _NOT_ID = re.compile(r"\b(?:serial|export(?:ación)?|counters?|hash|ticket|build|version|order|invoice|tracking|isbn|ean|sku|part|batch|request|session)\b[\s:#.]*$", re.I)
 ID_NUMBER = re.compile(
     r"(?<![\w.+/-])(?:"
@@ -148,7 +148,7 @@ _BEFORE = frozenset("calle avda. avda avenida plaza pza. pza paseo p.º camino r
 _LINKS = frozenset("del de la las los el da do dos di della dello degli der den van".split())
 _W = r"[^\W\d_][\w'\u2019.-]*"
 _NUMBER_FIRST = re.compile(
-    rf"\d{{1,5}}(?:[a-z]|-\d{{1,4}})?\s(?:(?:[NSEW]|North|South|East|West)\.?\s)?(?-i:(?:[^\W\d_a-z][\w'\u2019.-]*\s){{1,4}}){_TYPE_EN}\b\.?(?!\s+(?:edition|\d))(?:,?\s(?:Apt|Suite|Unit|Flat|#)\.?\s?\w{{1,5}})?"
+    rf"\d{{1,5}}(?:[a-z]|-\d{{1,4}})?\s(?:(?:[NSEW]|North|South|East|West)\.?\s)?(?-i:(?:[^\W\d_a-z](?:\w{{0,2}}\.|[\w'\u2019-]*)\s){{1,4}}){_TYPE_EN}\b\.?(?!\s+(?:edition|\d))(?:,?\s(?:Apt|Suite|Unit|Flat|#)\.?\s?\w{{1,5}})?"
     rf"|\d{{1,4}}\s?(?:bis|ter|quater|[a-d]\b)?,?\s(?:rue|avenue|av\.|boulevard|bd\.?|place|chemin|impasse|allée|quai|cours|route|passage|square)\s(?:(?:de|du|des|la|le|les|l'|d')\s?){{0,3}}{_W}(?:\s(?-i:[^\W\d_a-z]){_W}){{0,3}}",
     re.I,
 )

@@ -508,6 +508,11 @@ def test_names_at_a_small_scale(spark):
     assert len(want) > 100 and len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(got)
 
 
+def test_a_label_belongs_to_the_number_behind_it():
+    text = "Tél. +44 7700 900427 Pièce d'identité : 9625075033, and 7712345678 serves as proof of identity"
+    assert [k for _, _, k in pii.grammar_spans(text)] == ["phone", "id_number", "id_number"]
+
+
 def test_long_contexts_and_long_names():
     word = "x" * 60
     assert pii.left_context(f"{word} {word} ", 122) == f"{word} {word}" and pii.right_context(f" {word} {word} b", 0) == f"{word} {word}"
@@ -522,7 +527,7 @@ def test_addresses(text, street):
     assert [text[a:b] for a, b in pii.addresses(text)] == [street]
 
 
-@pytest.mark.parametrize("text", ["line 12", "Version 4 ab", "Regel 7", "Zeile 3\n4", "x", "5", "12 rules", "Der Weg 400000", "am 5", "Die Straße 5 Sekunden"])
+@pytest.mark.parametrize("text", ["line 12", "Version 4 ab", "Regel 7", "Zeile 3\n4", "x", "5", "12 rules", "Der Weg 400000", "am 5", "Die Straße 5 Sekunden", "zählt 25 Gruppen. Projekt Grove Quartz beginnt"])
 def test_no_addresses(text):
     assert list(pii.addresses(text)) == []
 
