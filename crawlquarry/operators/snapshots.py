@@ -3,7 +3,9 @@
 Method: every standing row is reduced to a compact key hash (2 x 64 bit), a row hash and a hash of its map of
 verdicts.  The hashes are spread over buckets by key; inside a bucket numpy sorts the key arrays of each
 delivery and set differences come from `searchsorted`.  Full values are fetched afterwards, for differing keys
-only, and decide exactly.
+only, and decide exactly: a bit table of the rows wanted drops all others in the scan, before any value is computed or
+shuffled.  The table has 16 bits a wanted row, at most TABLE_MOST in all; beyond that more other rows pass it, and the join
+behind it drops them.
 
 Defined results
 * Rows whose run number or key is null belong to no delivery and are left out.
@@ -15,7 +17,6 @@ Defined results
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,7 @@ from crawlquarry.session import cut, shuffle_partitions
 VALUE_COLUMNS = ("http_status", "final_url", "unavailable", "html")
 #: about so many standing rows go into one bucket (two 8-byte keys and two 8-byte hashes a row)
 BUCKET_ROWS = 400_000
+TABLE_LEAST, TABLE_MOST = 1 << 16, 1 << 26
 
 
 def directive_lines(text: Column) -> Column:
@@ -81,6 +83,9 @@ def diff_sorted(prev: tuple[np.ndarray, ...], cur: tuple[np.ndarray, ...]) -> tu
     return ck[~hit], pk[~kept], ck[hit][differs]
 
 
+_PART = "run_no int, prev_run_no int, kind string, domain string, at int, id_hash long, row_hash long, map_hash long"
+
+
 def _bucket_diff(runs: list[int]):
     previous = dict(zip(runs[1:], runs[:-1]))
 
@@ -92,27 +97,50 @@ def _bucket_diff(runs: list[int]):
             fresh[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
         dense = np.empty(len(order), dtype=np.int64)
         dense[order] = np.cumsum(fresh) - 1  # one small integer for each 128-bit key
-        first = order[fresh]
         run = pdf["run_no"].to_numpy(np.int64)
         row, mp = pdf["row_hash"].to_numpy(np.int64), pdf["map_hash"].to_numpy(np.int64)
-        arrays = {}
+        arrays, places = {}, {}
         for r in runs:
             at = np.flatnonzero(run == r)
-            at = at[np.argsort(dense[at], kind="stable")]
+            at = places[r] = at[np.argsort(dense[at], kind="stable")]
             arrays[r] = (dense[at], row[at], mp[at])
         out = []
+
+        def take(kind: str, r: int, p: int, side: int, keys: np.ndarray) -> None:
+            if len(keys):
+                rows = places[side][np.searchsorted(arrays[side][0], keys)]
+                out.append(pdf.iloc[rows][["domain", "id_hash", "row_hash", "map_hash"]].assign(run_no=np.int32(r), prev_run_no=np.int32(p), kind=kind, at=np.int32(side)))
+
         for r, p in previous.items():
             added, removed, differs = diff_sorted(arrays[p], arrays[r])
-            for kind, keys in (("added", added), ("removed", removed), ("differs", differs)):
-                if len(keys):
-                    out.append(pd.DataFrame({"run_no": np.int32(r), "prev_run_no": np.int32(p), "k1": k1[first[keys]], "k2": k2[first[keys]], "kind": kind}))
+            take("added", r, p, r, added)
+            take("removed", r, p, p, removed)
+            take("differs", r, p, r, differs)
+            take("differs", r, p, p, differs)
+        names = [c.split(" ")[0] for c in _PART.split(", ")]
         if not out:
-            return pd.DataFrame({"run_no": pd.Series(dtype="int32"), "prev_run_no": pd.Series(dtype="int32"), "k1": pd.Series(dtype="int64"), "k2": pd.Series(dtype="int64"), "kind": pd.Series(dtype="object")})
-        return pd.concat(out, ignore_index=True)
+            return pdf.iloc[:0].assign(prev_run_no=np.int32(0), kind="", at=np.int32(0))[names]
+        return pd.concat(out, ignore_index=True)[names]
 
     return work
 
 
+def _passes(wanted: DataFrame, run: Column, key: Column, id_hash: Column) -> Column:
+    """May a row be one of those wanted (at, domain, id_hash)?  Looked up in a bit table that is a literal."""
+    n = wanted.count()
+    bits = TABLE_LEAST
+    while bits < min(16 * n, TABLE_MOST):
+        bits *= 2
+    place = F.pmod(F.xxhash64("at", "domain", "id_hash"), F.lit(bits))
+    rows = wanted.select(place.alias("p")).groupBy((F.col("p") / 32768).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect()  # at most `bits` bits
+    table = bytearray(bits >> 3)
+    for r in rows:
+        table[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = r["bits"]
+    here = F.pmod(F.xxhash64(run, key, id_hash), F.lit(bits))
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(table)), F.shiftright(here, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.pow(F.lit(2.0), F.pmod(here, F.lit(8))).cast("int")) > 0
+
+
 def snapshot_changes(snapshots: DataFrame, key: str = "domain", run: str = "run_no", detail: bool = False) -> DataFrame:
     """Keys added, removed and changed from each delivery to the next one that exists.
 
@@ -122,44 +150,30 @@ def snapshot_changes(snapshots: DataFrame, key: str = "domain", run: str = "run_
     """
     spark = snapshots.sparkSession
     keys = [F.xxhash64(F.col("domain")).alias("k1"), F.xxhash64(F.lit(7), F.col("domain")).alias("k2")]
-    standing = cut(standing_rows(snapshots, key, run).select("*", *keys))
+    standing = cut(standing_rows(snapshots, key, run).select("run_no", "domain", _wide_hash(F.col("snap_id"), F.col("fetched_at")).alias("id_hash"), "row_hash", "map_hash", *keys))
     per_run = {r["run_no"]: r["n"] for r in standing.groupBy("run_no").agg(F.count("*").alias("n")).collect()}  # one row a delivery
     runs = sorted(per_run)
-    schema = "run_no int, prev_run_no int, k1 long, k2 long, kind string"
     buckets = max(1, min(sum(per_run.values()) // BUCKET_ROWS + 1, 1_000_000))
     buckets = max(buckets, min(shuffle_partitions(spark), sum(per_run.values()) // 20_000 + 1))
-    compact = standing.select("run_no", "k1", "k2", "row_hash", "map_hash", F.pmod(F.xxhash64(F.lit(11), "k1", "k2"), F.lit(buckets)).alias("bucket"))
-    diffs = compact.groupBy("bucket").applyInPandas(_bucket_diff(runs), schema)
+    compact = standing.withColumn("bucket", F.pmod(F.xxhash64(F.lit(11), "k1", "k2"), F.lit(buckets)))
+    diffs = cut(compact.groupBy("bucket").applyInPandas(_bucket_diff(runs), _PART))
+    entry = "array<struct<name:string,old_verdict:string,new_verdict:string>>"
+    one_sided = diffs.where("kind <> 'differs'").select("run_no", "prev_run_no", "domain", F.col("kind").alias("change_kind"), F.lit(None).cast("boolean").alias("is_changed"), F.lit(None).cast(entry).alias("bot_changes"))
 
     # full values of the differing keys only
-    ids = standing.select("run_no", "domain", "fetched_at", "snap_id", "row_hash", "map_hash", "k1", "k2")
-    cur = ids.select("run_no", "k1", "k2", F.col("domain").alias("cur_domain"), F.struct("fetched_at", "snap_id", "row_hash", "map_hash").alias("cur"))
-    prv = ids.select(F.col("run_no").alias("prev_run_no"), "k1", "k2", F.col("domain").alias("prev_domain"), F.struct("fetched_at", "snap_id", "row_hash", "map_hash").alias("prv"))
-    named = diffs.join(cur, ["run_no", "k1", "k2"], "left").join(prv, ["prev_run_no", "k1", "k2"], "left").withColumn("domain", F.coalesce("cur_domain", "prev_domain"))
-    one_sided = named.where("kind <> 'differs'").select("run_no", "prev_run_no", "domain", F.col("kind").alias("change_kind"), F.lit(None).cast("boolean").alias("is_changed"), F.lit(None).cast("array<struct<name:string,old_verdict:string,new_verdict:string>>").alias("bot_changes"))
-
-    both = named.where("kind = 'differs'").select("run_no", "prev_run_no", "domain", "cur", "prv")
-    wanted = both.select(F.explode(F.array(F.struct(F.col("run_no").alias("at"), F.col("cur").alias("id")), F.struct(F.col("prev_run_no").alias("at"), F.col("prv").alias("id")))).alias("w"), "domain").select(
-        F.col("w.at").alias("w_run"), F.col("domain").alias("w_domain"), F.col("w.id.fetched_at").alias("w_at"), F.col("w.id.snap_id").alias("w_snap"), F.col("w.id.row_hash").alias("w_row"), F.col("w.id.map_hash").alias("w_map")
-    ).distinct()
-    src = snapshots.select(
-        F.col(run).cast("int").alias("s_run"),
-        F.col(key).alias("s_domain"),
-        F.col("fetched_at").alias("s_at"),
-        F.col("snap_id").alias("s_snap"),
+    wanted = diffs.where("kind = 'differs'").select("run_no", "prev_run_no", "domain", "at", "id_hash", "row_hash", "map_hash")
+    its_run = F.col(run).cast("int")
+    its_id = _wide_hash(F.col("snap_id"), F.col("fetched_at"))
+    src = snapshots.where(_passes(wanted, its_run, F.col(key), its_id)).select(
+        its_run.alias("s_run"), F.col(key).alias("s_domain"), its_id.alias("s_id"),
         *[F.col(c).alias(f"s_{c}") for c in VALUE_COLUMNS],
-        directive_lines(F.col("robots_txt")).alias("s_lines"),
-        F.col("verdicts").alias("s_verdicts"),
-    ).withColumn("s_row", _wide_hash(*[F.col(f"s_{c}") for c in VALUE_COLUMNS], F.array_join("s_lines", "\n"))).withColumn("s_map", F.xxhash64(F.to_json(F.array_sort(F.map_entries("s_verdicts")))))
-    values = (
-        src.join(wanted, (F.col("s_run") == F.col("w_run")) & (F.col("s_domain") == F.col("w_domain")) & F.col("s_snap").eqNullSafe(F.col("w_snap")) & F.col("s_at").eqNullSafe(F.col("w_at")) & (F.col("s_row") == F.col("w_row")) & (F.col("s_map") == F.col("w_map")))
-        .groupBy("s_run", "s_domain")
-        .agg(F.first(F.struct(*[F.col(f"s_{c}").alias(c) for c in VALUE_COLUMNS], F.col("s_lines").alias("lines"), F.map_entries("s_verdicts").alias("verdicts"))).alias("v"))
+        directive_lines(F.col("robots_txt")).alias("s_lines"), F.array_sort(F.map_entries("verdicts")).alias("s_verdicts"),
     )
-    v_cur = values.select(F.col("s_run").alias("run_no"), F.col("s_domain").alias("domain"), F.col("v").alias("c"))
-    v_prv = values.select(F.col("s_run").alias("prev_run_no"), F.col("s_domain").alias("domain"), F.col("v").alias("p"))
-    pair = both.select("run_no", "prev_run_no", "domain").join(v_cur, ["run_no", "domain"]).join(v_prv, ["prev_run_no", "domain"])
-    entry = "array<struct<name:string,old_verdict:string,new_verdict:string>>"
+    src = src.withColumn("s_row", _wide_hash(*[F.col(f"s_{c}") for c in VALUE_COLUMNS], F.array_join("s_lines", "\n"))).withColumn("s_map", F.xxhash64(F.to_json("s_verdicts")))
+    value = F.struct(*[F.col(f"s_{c}").alias(c) for c in VALUE_COLUMNS], F.col("s_lines").alias("lines"), F.col("s_verdicts").alias("verdicts"))
+    same = (F.col("s_run") == F.col("at")) & (F.col("s_domain") == F.col("domain")) & (F.col("s_id") == F.col("id_hash"))
+    held = wanted.join(src, same & (F.col("s_row") == F.col("row_hash")) & (F.col("s_map") == F.col("map_hash")))
+    pair = held.groupBy("run_no", "prev_run_no", "domain").agg(F.max(F.when(F.col("at") == F.col("run_no"), value)).alias("c"), F.max(F.when(F.col("at") == F.col("prev_run_no"), value)).alias("p"))
     flips = F.expr(
         "array_sort(flatten(transform(coalesce(c.verdicts, array()), x -> transform(filter(coalesce(p.verdicts, array()), y -> y.key = x.key and not (y.value <=> x.value)), "
         "y -> named_struct('name', x.key, 'old_verdict', y.value, 'new_verdict', x.value)))))"
