@@ -1,12 +1,15 @@
 """Occurrences and distinct records of every distinct value, by burst-trie counting.
 
-1. A census counts rows by value prefixes of four lengths (one pass, aggregated map-side).  Prefixes that hold more
-   than a fair share of the rows are `hot`; there are at most a few per partition, so that list is bounded.
+1. A census counts rows by value prefixes of four lengths: one pass aggregates the longest prefixes map-side, the
+   shorter ones are summed from these.  Prefixes that hold more than a fair share of the rows are `hot`; there are at
+   most HOT_SHARES a partition for each length, so that list is bounded.
 2. Every map task collects its rows in a burst trie: values are stored as suffixes in containers, and a container
    that grows too large bursts into one child for each next character.  A leaf holds the occurrence count and the
-   record ids.  The trie is written out whenever it holds `flush_records` ids, so a task's memory is bounded.
+   record ids, sorted and merged again whenever as many new ones have come.  The trie is written out whenever it holds
+   `flush_records` ids and values, so a task's memory is bounded.
 3. Subtrees are routed by adaptive prefixes: the shortest prefix that isn't hot.  A value that is hot itself is
-   additionally salted by record, so a value of a third of all rows is counted by many workers.
+   additionally salted by record, with as many salts as it holds fair shares of the rows, so a value of a third of all
+   rows is counted by a third of all workers.
 4. Each worker rebuilds the trie of a route, drops repeated records and emits (value, occurrences, records); counters
    of matching subtrees of different salts have disjoint records and are added.
 
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from crawlquarry.session import shuffle_partitions
@@ -29,7 +32,8 @@ from crawlquarry.session import shuffle_partitions
 PREFIX_LENGTHS = (2, 4, 8, 16)
 #: a prefix is hot if it holds more than 1 / (HOT_SHARES x partitions) of the rows
 HOT_SHARES = 4
-SALTS = 32
+#: ids of a leaf are merged when at least so many new ones wait
+MERGE_AT = 4_096
 BURST_AT = 64
 FLUSH_RECORDS = 2_000_000
 RARE_AT_MOST = 2
@@ -46,12 +50,12 @@ class BurstTrie:
     order of the values.
     """
 
-    __slots__ = ("root", "burst_at", "ids_held", "bursts")
+    __slots__ = ("root", "burst_at", "held", "bursts")
 
     def __init__(self, burst_at: int = BURST_AT) -> None:
         self.root: dict = {}
         self.burst_at = burst_at
-        self.ids_held = 0
+        self.held = 0
         self.bursts = 0
 
     def add(self, term: str, n: int, ids: np.ndarray) -> None:
@@ -67,14 +71,20 @@ class BurstTrie:
             break
         suffix = term[depth + 1 :]
         entry = child.get(suffix)
+        self.held += len(ids)
         if entry is None:
-            child[suffix] = [n, [ids]]
+            child[suffix] = [n, [ids], 0]
+            self.held += 1
             if len(child) > self.burst_at and head:
                 node[head] = self._burst(child)
         else:
             entry[0] += n
             entry[1].append(ids)
-        self.ids_held += len(ids)
+            entry[2] += len(ids)
+            if entry[2] > MERGE_AT and entry[2] > len(entry[1][0]):
+                before = len(entry[1][0]) + entry[2]
+                entry[1:] = [np.unique(np.concatenate(entry[1]))], 0
+                self.held -= before - len(entry[1][0])
 
     def _burst(self, container: dict) -> dict:
         self.bursts += 1
@@ -97,7 +107,7 @@ class BurstTrie:
                     stack.append((prefix + head, child))
                     continue
                 for suffix in child:
-                    n, parts = child[suffix]
+                    n, parts, _ = child[suffix]
                     ids = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
                     yield prefix + head + suffix, n, ids
 
@@ -108,23 +118,24 @@ class _Container(dict):
     __slots__ = ()
 
 
-def _salt_of(ids: np.ndarray) -> np.ndarray:
+def _salt_of(ids: np.ndarray, salts: int) -> np.ndarray:
     mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(40)) % np.uint64(SALTS)).astype(np.int32)
+    return ((mixed >> np.uint64(32)) % np.uint64(salts)).astype(np.int32)
 
 
-def route_of(field: str, term: str, hot: frozenset[tuple[str, str]]) -> tuple[str, bool]:
-    """The adaptive prefix that a value is routed by, and whether the whole value is hot."""
+def route_of(field: str, term: str, hot: dict[tuple[str, str], int]) -> tuple[str, int]:
+    """The adaptive prefix that a value is routed by, and its number of salts (1 unless the whole value is hot)."""
     for n in PREFIX_LENGTHS:
         prefix = term[:n]
-        if (field, prefix) not in hot:
-            return prefix, False
+        shares = hot.get((field, prefix))
+        if shares is None:
+            return prefix, 1
         if len(term) <= n:
-            return term, True
-    return term, True
+            return term, shares
+    return term, hot[field, term[: PREFIX_LENGTHS[-1]]]
 
 
-def _map_side(hot: frozenset[tuple[str, str]], flush_records: int):
+def _map_side(hot: dict[tuple[str, str], int], flush_records: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, BurstTrie] = {}
 
@@ -133,9 +144,9 @@ def _map_side(hot: frozenset[tuple[str, str]], flush_records: int):
             held = 0
             for field, trie in tries.items():
                 for term, n, ids in trie.items():
-                    route, salted = route_of(field, term, hot)
-                    if salted and len(ids):
-                        salts = _salt_of(ids)
+                    route, shares = route_of(field, term, hot)
+                    if shares > 1 and len(ids):
+                        salts = _salt_of(ids, shares)
                         order = np.argsort(salts, kind="stable")
                         edges = np.flatnonzero(np.diff(salts[order])) + 1
                         groups = [(int(salts[g[0]]), ids[g]) for g in np.split(order, edges)]
@@ -176,7 +187,7 @@ def _map_side(hot: frozenset[tuple[str, str]], flush_records: int):
                 if trie is None:
                     trie = tries[names[f]] = BurstTrie()
                 trie.add(values[t], b - a, own)
-            if sum(t.ids_held for t in tries.values()) > flush_records:
+            if sum(t.held for t in tries.values()) > flush_records:
                 yield from emit()
         yield from emit()
 
@@ -219,13 +230,20 @@ def _reduce_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def hot_prefixes(values: DataFrame, partitions: int) -> frozenset[tuple[str, str]]:
-    """Prefixes that hold more than a fair share of the rows; at most HOT_SHARES x partitions for each length."""
-    prefixes = F.array_distinct(F.array(*[F.substring("term", 1, n) for n in PREFIX_LENGTHS]))
-    counted = values.select("field", F.explode(prefixes).alias("prefix")).groupBy("field", "prefix").agg(F.count("*").alias("n"))
-    total = values.count()
-    rows = counted.where(F.col("n") > F.lit(max(1, total // (HOT_SHARES * partitions)))).select("field", "prefix").collect()
-    return frozenset((r[0], r[1]) for r in rows)
+def hot_prefixes(values: DataFrame, partitions: int) -> dict[tuple[str, str], int]:
+    """Prefixes that hold more than a fair share of the rows, with the number of fair shares they hold (rounded up).
+
+    One pass: at most HOT_SHARES x partitions prefixes of a length can exceed a fair share, so that many of the largest
+    are fetched and the share, known from the same pass, is applied to them.
+    """
+    most = HOT_SHARES * partitions * len(PREFIX_LENGTHS)
+    seen = Observation()
+    longest = values.observe(seen, F.count(F.lit(1)).alias("n")).groupBy("field", F.substring("term", 1, PREFIX_LENGTHS[-1]).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    prefixes = F.array_distinct(F.array(*[F.substring("start", 1, n) for n in PREFIX_LENGTHS]))
+    counted = longest.select("field", "n", F.explode(prefixes).alias("prefix")).groupBy("field", "prefix").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "field", "prefix").limit(most).collect()
+    share = max(1, (seen.get["n"] if rows else 0) // (HOT_SHARES * partitions))
+    return {(r["field"], r["prefix"]): -(-r["n"] // share) for r in rows if r["n"] > share}
 
 
 def term_counts(values: DataFrame, flush_records: int = FLUSH_RECORDS) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -249,6 +250,34 @@ def test_burst_trie():
     assert trie.bursts > 1 and sorted(t for t, _, _ in got) == sorted(words) and all(n == 2 and list(ids) == [len(t)] for t, n, ids in got)
 
 
+def test_ids_of_a_leaf_are_merged(monkeypatch):
+    monkeypatch.setattr(termfreq, "MERGE_AT", 8)
+    trie = termfreq.BurstTrie()
+    for i in range(1000):
+        trie.add("hot", 1, np.array([i % 50]))
+        assert trie.held <= 120
+    [(term, n, ids)] = trie.items()
+    assert (term, n, list(ids)) == ("hot", 1000, list(range(50)))
+
+
+def test_values_without_records_are_written_out(spark):
+    """Null record ids hold no ids, but their values fill the trie as well."""
+    rows = [("f", f"v{i}", None) for i in range(500)]
+    work = termfreq._map_side({}, 10)
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), pa.array([r[2] for r in part], pa.int64())], names=["field", "term", "record_id"])
+    out = list(work(iter([batch(rows[i : i + 20]) for i in range(0, 500, 20)])))
+    assert len(out) == 25 and sum(b.num_rows for b in out) == 500
+
+
+def test_salts_follow_the_share_of_a_value(spark):
+    rows = [("f", "hot", i) for i in range(3000)] + [("f", f"cold{i}x", i) for i in range(6000)]
+    values = spark.createDataFrame(rows, "field string, term string, record_id long")
+    hot = termfreq.hot_prefixes(values, 20)
+    assert hot["f", "hot"] == 27 and termfreq.route_of("f", "hot", hot) == ("hot", 27) and hot["f", "cold"] == 54  # of 80 fair shares
+    assert termfreq.route_of("f", "cold5x", hot) == ("cold5x", 1) and termfreq.route_of("f", "other", hot) == ("ot", 1)
+    assert len(set(termfreq._salt_of(np.arange(3000), 27).tolist())) == 27 and termfreq.hot_prefixes(values.limit(0), 20) == {}
+
+
 def test_marks(spark):
     rows = [("f", "common", i) for i in range(10)] + [("f", "rare", 1), ("f", "rare", 1), ("f", "mid", 1), ("f", "mid", 2), ("f", "mid", 3)] + [("f", "other", i) for i in range(10, 40)]
     got = {r["term"]: r["mark"] for r in termfreq.marked_terms(spark.createDataFrame(rows, "field string, term string, record_id long")).collect()}
