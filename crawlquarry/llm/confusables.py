@@ -2,16 +2,23 @@
 
 1. Look-alike classes: union-find over strings and code points.  Edges: compatibility forms of printable ASCII,
    composed letters and their decompositions, look-alike letters of other scripts, odd spaces and U+0020, invisible
-   characters and the empty string.  Classes are transitive (fullwidth, mathematical and Cyrillic A are one class).
+   characters and the empty string, and ordinary spellings that are drawn alike (s with cedilla and s with comma, the
+   hyphens, the quotes).  Classes are transitive (fullwidth, mathematical and Cyrillic A are one class).  A letter with
+   marks is in one class with every order and partial composition of them, Hangul syllables with their jamo included:
+   these classes have no end, so their edge is found in the text (the canonical composition of the sequence).
 2. Representative of a class: the most frequent of its ordinary spellings in the whole corpus, counted in one
    distributed pass; look-alike letters of other scripts count only inside words otherwise Latin.  Ties: ASCII first,
-   then shorter, then smaller.
+   then shorter, then as listed, then smaller.  A class with an ASCII spelling keeps it, for names, fields and paths are ASCII.
 3. Rewriting: an Aho-Corasick automaton of all other members walks the text, longest match first, and replaces
-   greedily.  Look-alike letters are replaced only in words otherwise Latin, or where a whole word spells a known name.
+   greedily, again until nothing is left.  Look-alike letters are replaced only in words otherwise Latin, or where a
+   whole word spells a known name.
+
+A rewritten ordinary spelling (kind `spelling`) is no case: which one stands depends on the corpus, and none is wrong.
 
 Defined results: null and empty texts have no case; ASCII text is never touched; a byte order mark as the very first
-character, joiners that a script or an emoji needs, emoji, typographic quotes, dashes and ellipsis, and words truly of
-another script stay; texts of any length are walked whole.  With an empty table ASCII members represent their classes.
+character, joiners that a script or an emoji needs, emoji, and words truly of another script stay, so do typographic
+quotes, dashes and ellipsis beside ASCII ones; texts of any length are walked whole.  With an empty table ASCII members
+represent their classes.
 """
 
 from __future__ import annotations
@@ -32,13 +39,15 @@ from pyspark.sql import functions as F
 from crawlquarry.llm import mojibake
 from crawlquarry.session import cut
 
-#: letters of other scripts and the Latin letters they are drawn like (fixed values)
+#: letters of other scripts (and phonetic letters) and the Latin letters they are drawn like (fixed values)
 LETTER_PAIRS = dict(
     zip(
-        "АВЕЅІЈКМНОРСТУХаеорсухѕіјԁһԛԝкѵ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιρυακϹϲϳ" "ՏՍՕԼՈօսոհցյզք" "ᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᏃ",
-        "ABESIJKMHOPCTYXaeopcyxsijdhqwkv" "ABEZHIKMNOPTYXovipuakCcj" "SUOLNounhgjqf" "ABCEHJKLMPRSTVZ",
+        "АВЕЅІЈКМНОРСТУХаеорсухѕіјԁһԛԝкѵӀӏҮүԌҽ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιρυακϹϲϳϜγ" "ՏՍՕԼՈօսոհցյզք" "ᎪᏴᏟᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᏃᎠᎡᎳᏀᎥᏪ" "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ" "ⲞⲟⲢⲣⲤⲥⲬⲎⲒⲔⲘⲚⲦ" "ɑɡɩ",
+        "ABESIJKMHOPCTYXaeopcyxsijdhqwkvIlYyGe" "ABEZHIKMNOPTYXovipuakCcjFy" "SUOLNounhgjqf" "ABCEHJKLMPRSTVZDRWGiW" "ABCDEFGHIJKLMNOPRSTUVWXYZ" "OoPpCcXHIKMNT" "agi",
     )
 )
+#: ordinary spellings that are drawn alike; none of them is a case (fixed values)
+SPELLINGS = ("şș", "ŞȘ", "ţț", "ŢȚ", "ÐĐƉ", "đɖ", "əǝ", "ƏƎ", "æӕ", "ÆӔ", "µμ", "’ʼ", "‘ʻ", "“‟", "–‒−", "‐‑", "—―", "·‧∙⋅", "•‣", "…⋯")
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0"
 JOINERS = "\u200c\u200d\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f"
 TYPOGRAPHIC = "\u2026\u2025\u2024"
@@ -46,7 +55,7 @@ MOST_CRAWLERS = 100_000
 _RAISED = ("<super>", "<sub>", "<fraction>")
 _INNER = frozenset("_" + INVISIBLE + JOINERS + "".join(chr(o) for o in range(0x300, 0x370)))
 _HYPHEN = frozenset("-")
-KINDS = ("compatibility", "decomposed", "invisible", "space", "look-alike")
+KINDS = ("compatibility", "decomposed", "invisible", "space", "look-alike", "spelling")
 
 
 class UnionFind:
@@ -105,12 +114,53 @@ def edges() -> tuple[tuple[str, str, str], ...]:
     return tuple(out)
 
 
+@functools.lru_cache(maxsize=1)
+def joining_marks() -> str:
+    """Characters that compose with, or are ordered behind, the one before them."""
+    seconds = set()
+    for o in range(0x80, sys.maxunicode + 1):
+        if 0xAC00 <= o < 0xD7B0 or 0xD800 <= o < 0xE000 or 0x3400 <= o < 0xA000 or 0x20000 <= o < 0xE0000:
+            continue
+        c = chr(o)
+        if unicodedata.combining(c):
+            seconds.add(c)
+        how = unicodedata.decomposition(c)
+        if how and how[0] != "<":
+            seconds.update(chr(int(x, 16)) for x in how.split()[1:])
+    return "".join(sorted(seconds))
+
+
+_WIDE = re.compile("[\U00010000-\U0010ffff]")
+_JAMO = "[\u1100-\u1112\uac00-\ud7a3][\u1161-\u1175\u11a8-\u11c2]+"
+
+
+@functools.lru_cache(maxsize=2)
+def _sequence(wide: bool) -> tuple[re.Pattern[str], re.Pattern[str]]:
+    """A joining mark or jamo; a character with marks, or jamo that may form a syllable.  Only the wide form knows marks
+    beyond the basic plane: without them the engine looks characters up instead of trying ranges."""
+    marks = "".join(m for m in joining_marks() if wide or ord(m) < 0x10000)
+    return re.compile(f"[{marks}\u1161-\u1175\u11a8-\u11c2]"), re.compile(f"[^{marks}]?[{marks}]+|{_JAMO}")
+
+
+def uncomposed(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, composed) of the sequences that canonical equivalence writes otherwise, and not longer."""
+    mark, sequence = _sequence(bool(_WIDE.search(text)))
+    for m in sequence.finditer(text) if mark.search(text) else ():
+        seq = m.group()
+        composed = unicodedata.normalize("NFC", seq)
+        if composed != seq and len(composed) <= len(seq):
+            yield m.start(), m.end(), composed
+
+
 @functools.lru_cache(maxsize=1)
 def look_alike_classes() -> tuple[tuple[str, ...], ...]:
     """Transitive classes of strings and code points that look the same."""
     sets = UnionFind()
     for variant, plain, _ in edges():
         sets.union(variant, plain)
+    for group in SPELLINGS:
+        for other in group[1:]:
+            sets.union(group[0], other)
     return tuple(tuple(g) for g in sets.classes())
 
 
@@ -122,13 +172,16 @@ def choose_representatives(counts: dict[str, int]) -> dict[str, str]:
     """member -> representative of its class; members that represent themselves are left out.
 
     The most frequent of a class's ordinary spellings (those that aren't the variant side of any edge); a variant can't
-    represent its class however often it occurs, for what counts as a case doesn't depend on the corpus.
+    represent its class however often it occurs, for what counts as a case doesn't depend on the corpus.  An ASCII
+    spelling goes before all others.
     """
     variants = {v for v, _, _ in edges()}
+    place = {c: i for group in SPELLINGS for i, c in enumerate(group)}
     out: dict[str, str] = {}
     for group in look_alike_classes():
         ordinary = [x for x in group if x not in variants] or list(group)
-        best = min(ordinary, key=lambda x: (-counts.get(x, 0), not x.isascii(), len(x), x))
+        plain = [x for x in ordinary if x.isascii()]
+        best = min(plain or ordinary, key=lambda x: (-counts.get(x, 0), len(x), place.get(x, 0), x))
         out.update((x, best) for x in group if x != best)
     return out
 
@@ -189,7 +242,7 @@ class Rewriter:
         for member, rep in representatives.items():
             if member == "" or member.isascii():
                 continue
-            kind = kinds.get(member, "look-alike" if member in LETTER_PAIRS else "decomposed")
+            kind = kinds.get(member, "spelling")
             self.automaton.add_word(member, (len(member), rep, kind))
             self.plain[member] = rep
         if len(self.automaton):
@@ -204,12 +257,18 @@ class Rewriter:
         return _in_latin_word(text, a) or self._skeleton(_word_at(text, a, _HYPHEN)).casefold() in self.names
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
-        """(start, end, replacement, kind) of the cases, in order and without overlap."""
-        if not text or text.isascii() or not len(self.automaton):
+        """(start, end, replacement, kind) of the cases and rewritten spellings, in order and without overlap."""
+        if not text or text.isascii():
             return []
-        out = []
-        for end, (size, rep, kind) in self.automaton.iter_long(text):
+        out = [(a, b, composed, "decomposed") for a, b, composed in uncomposed(text)]
+        sequences = list(out)
+        taken = 0
+        for end, (size, rep, kind) in self.automaton.iter_long(text) if len(self.automaton) else ():
             a, b = end + 1 - size, end + 1
+            while taken < len(sequences) and sequences[taken][1] <= a:
+                taken += 1
+            if taken < len(sequences) and sequences[taken][0] < b:
+                continue  # composed first, then looked at again
             if kind == "look-alike":
                 if not self._latin_word(text, a):
                     continue
@@ -220,14 +279,14 @@ class Rewriter:
                 if c in JOINERS and _needs_joiner(text, a):
                     continue
             out.append((a, b, rep, kind))
-        return out
+        return sorted(out) if sequences else out
 
     def rewrite(self, text: str | None) -> str | None:
-        """The consistent form; repeated until nothing changes, for a replacement can complete another case."""
-        for _ in range(4):
-            found = self.find(text) if text else []
-            if not found:
-                return text
+        """The consistent form: repeated until nothing changes, for a replacement can complete another case.
+
+        It ends: a round composes, or replaces members by representatives, and no representative is replaced.
+        """
+        while text and (found := self.find(text)):
             parts, at = [], 0
             for a, b, rep, _ in found:
                 parts += (text[at:a], rep)
@@ -315,7 +374,7 @@ def _flag(reps: tuple[tuple[str, str], ...], names: tuple[str, ...], with_encodi
                 garbled = lab.garbled(text) if lab else False
                 found = [] if garbled else rewriter.find(text)
                 if garbled or found:
-                    for c, v in zip(out, (row, garbled, bool(found), ",".join(sorted({x[3] for x in found})), rewriter.rewrite(text) if found and with_text else None)):
+                    for c, v in zip(out, (row, garbled, any(x[3] != "spelling" for x in found), ",".join(sorted({x[3] for x in found})), rewriter.rewrite(text) if found and with_text else None)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _FLAG_SCHEMA)], schema=_FLAG_SCHEMA)
 
@@ -323,14 +382,15 @@ def _flag(reps: tuple[tuple[str, str], ...], names: tuple[str, ...], with_encodi
 
 
 def flagged(texts: DataFrame, representatives: dict[str, str], names: Iterable[str], with_encoding: bool, with_text: bool = False) -> DataFrame:
-    """row_id, garbled, found, kinds and normalised text of the rows (row_id, text) that are garbled or hold a case."""
+    """row_id, garbled, found (a case), kinds and normalised text of the rows (row_id, text) that are garbled, hold a
+    case or an ordinary spelling that another one represents."""
     rows = mojibake.suspects(texts.select(F.col("row_id").cast("long").alias("row_id"), "text"))
     work = _flag(tuple(sorted(representatives.items())), tuple(sorted(names)), with_encoding, with_text)
     return rows.mapInArrow(work, _FLAGS).where("row_id is not null")
 
 
 def unified_rows(fetches: DataFrame, agents: DataFrame, crawlers: DataFrame, with_text: bool = True) -> DataFrame:
-    """src, row_id, kinds, normalised for every text or agent value that holds a case.
+    """src, row_id, found, kinds, normalised for every text or agent value that holds a case (found) or a rewritten spelling.
 
     `crawlers` is the fixed rule pack of crawler names; its names and tokens are collected, and a pack of more than
     MOST_CRAWLERS is refused.  Rows of fetches whose text is garbled are left to the encoding repair.
@@ -343,10 +403,10 @@ def unified_rows(fetches: DataFrame, agents: DataFrame, crawlers: DataFrame, wit
     reps = choose_representatives(member_counts(texts.select("text").unionByName(raws.select("text"))))
     flags = cut(flagged(texts, reps, known, with_encoding=True, with_text=with_text))
     garbled = flags.where("garbled").select(F.col("row_id").alias("garbled_fetch")).distinct()
-    in_texts = flags.where("found and not garbled").select(F.lit("fetches").alias("src"), "row_id", "kinds", "normalised").join(garbled, F.col("row_id") == F.col("garbled_fetch"), "left_anti").distinct()
+    in_texts = flags.where("not garbled").select(F.lit("fetches").alias("src"), "row_id", "found", "kinds", "normalised").join(garbled, F.col("row_id") == F.col("garbled_fetch"), "left_anti").distinct()
     odd_raws = mojibake.suspects(agents.select(F.col("agent_id").alias("row_id"), F.col("raw").alias("text"), "fetch_id"))
     sound = odd_raws.join(garbled, F.col("fetch_id") == F.col("garbled_fetch"), "left_anti").select("row_id", "text")
-    in_raws = flagged(sound, reps, known, with_encoding=False, with_text=with_text).select(F.lit("agents").alias("src"), "row_id", "kinds", "normalised").distinct()
+    in_raws = flagged(sound, reps, known, with_encoding=False, with_text=with_text).select(F.lit("agents").alias("src"), "row_id", "found", "kinds", "normalised").distinct()
     return in_texts.unionByName(in_raws)
 
 

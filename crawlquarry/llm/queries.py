@@ -10,7 +10,7 @@ from crawlquarry.session import table
 
 def p1_found(spark, d):
     rows = confusables.unified_rows(table(spark, d, "fetches"), table(spark, d, "agents"), table(spark, d, "crawlers"), with_text=False)
-    return rows.select("src", "row_id").distinct()
+    return rows.where("found").select("src", "row_id").distinct()
 
 
 def p1_normalised(spark, d):

@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import unicodedata
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -53,6 +54,37 @@ def test_classes_are_transitive_and_follow_frequency():
     assert confusables.choose_representatives({"\u00e9": 3, "e\u0301": 5})["e\u0301"] == "\u00e9"
 
 
+def test_frequency_decides_among_ordinary_spellings():
+    group = next(g for g in confusables.look_alike_classes() if "ş" in g)
+    assert set(group) >= {"ş", "ș"}
+    turkish, romanian = confusables.choose_representatives({"ş": 9, "ș": 2}), confusables.choose_representatives({"ş": 2, "ș": 9})
+    assert turkish["ș"] == "ş" and romanian["ş"] == "ș" and "ş" not in turkish
+    assert confusables.Rewriter(turkish).rewrite("aș \u2013 s\u0326") == "aş \u2013 ş" and confusables.Rewriter(romanian).rewrite("aş") == "aș"
+    assert [k for *_, k in confusables.Rewriter(romanian).find("aş")] == ["spelling"]
+    assert confusables.choose_representatives({"е": 10**9})["е"] == "e"  # a variant never represents
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aeăŞoé\u0301\u0302\u0323\u0327\u0328\u0307\u1100\u1161\u11a8\uac00\u0915\u093c\u0958x", max_size=12))
+def test_canonically_equal_texts_come_out_equal(text):
+    r = confusables.Rewriter({}, ())
+    nfd = unicodedata.normalize("NFD", text)
+    assert r.rewrite(nfd) == r.rewrite(text) or "\u0958" in text
+    if "\u0958" not in text:
+        assert r.rewrite(text) == unicodedata.normalize("NFC", text)
+
+
+@pytest.mark.parametrize(("text", "plain"), [("e\u0302\u0323", "\u1ec7"), ("\u00e9\u0323", "\u1eb9\u0301"), ("e\u0323\u0323\u0302", "\u1ec7\u0323"), ("\u1112\u1161\u11ab", "한"), ("\ud558\u11ab", "한"), ("B\u0251\u0261el", "Bagel"), ("pa\u04cfe", "pale"), ("ꓮlpha", "Alpha")])
+def test_orders_jamo_and_letters(rewriter, text, plain):
+    assert rewriter.find(text) and rewriter.rewrite(text) == plain and not [x for x in rewriter.find(plain) if x[3] != "spelling"]
+
+
+def test_rewriting_has_no_round_limit(rewriter):
+    text = "Ｓ" + "\u200b\u0301" * 50
+    once = rewriter.rewrite(text)
+    assert rewriter.find(once) == [] and once == "Ś" + "\u0301" * 49
+
+
 def test_union_find_against_brute_force():
     rnd = random.Random(1)
     for _ in range(50):
@@ -83,6 +115,7 @@ def test_unified_rows(spark):
     crawlers = spark.createDataFrame([("Socape", ["socape"]), (None, None)], "name string, tokens array<string>")
     got = sorted((r["src"], r["row_id"], r["normalised"]) for r in confusables.unified_rows(fetches, agents, crawlers).collect())
     assert got == [("agents", 1, "Socape"), ("agents", 4, "Socape"), ("fetches", 1, "Disallow: /")]
+    assert all(r["found"] for r in confusables.unified_rows(fetches, agents, crawlers).collect())
     forms = {r["form"]: r["crawler"] for r in confusables.unified_agents(agents, crawlers, confusables.unified_rows(fetches, agents, crawlers)).collect()}
     assert forms["Socape"] == "Socape" and forms["*"] is None
     assert confusables.unified_rows(fetches.limit(0), agents.limit(0), crawlers).count() == 0
