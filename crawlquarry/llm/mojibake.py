@@ -1,12 +1,15 @@
 """Text that was decoded with the wrong character encoding: detection and repair with a hidden Markov model.
 
 States: `clean`, one for each pair (written in, read as), `lost` for bytes that became U+FFFD and `utf16` for byte
-pairs read as single characters.  The observed characters are taken in tokens (runs without ASCII white space that
-hold a non-ASCII or control character; all characters of a token share a state, ASCII tokens say nothing about any
-state).  A state emits a token with the probability that the character model gives to the token's inverse
-transform; the character model (bigrams, backing off to classes of characters) is trained on a few sentences a
-language.  Transitions are sticky within a line and loose between lines.  Viterbi labels the tokens and every
-labelled span gets the inverse transform of its state.
+pairs read as single characters.  Characters are labelled in units: a token (a run without ASCII white space that holds
+a non-ASCII or control character) as a whole where one state explains it, for an encoding that spreads a character
+over several others leaves no smaller unit; a token that is clean as a whole but not in its parts is cut behind its runs of non-ASCII
+characters, at changes of script and around UTF-8 sequences, so that right and wrong characters of one token get
+states of their own.  ASCII tokens say nothing about any state.  A state emits a unit with the probability that the
+character model gives to the unit's inverse transform; the character model (bigrams, backing off to classes of
+characters) is trained on a few sentences a language.  Transitions are sticky within a line and loose between lines.
+Viterbi labels the units and every labelled span gets the inverse transform of its state.  A span that another state
+explains nearly as well (within NEAR nats) by another text is restored by the better state, but not as complete.
 
 Defined results: null and empty texts are clean; pure ASCII text without NUL is clean and is never decoded; U+FFFD
 is damage that can't be undone and stays in the restored text; texts of any length are labelled whole, token by
@@ -31,13 +34,15 @@ from pyspark.sql import functions as F
 from crawlquarry.llm.seedtext import SEEDS
 
 TOKEN = re.compile(r"(\r\n|\r|\n)|([^ \t\r\n]*[^\x01-\x7e \t\r\n][^ \t\r\n]*)")
+_RUN = re.compile(r"[^\x00-\x7e]+")
 SUSPECT = re.compile(r"[^\x01-\x7e]")
-#: passes over the encodings: (written in, read as); `x2` pairs were garbled twice
+#: passes over the encodings: (written in, read as); `x2` and `x3` pairs were garbled twice and three times
 PAIRS: tuple[tuple[str, str], ...] = tuple(
     (e, d)
     for e, many in {
         "utf-8": "cp1252 latin-1 cp1250 iso8859-2 cp1251 cp1253 cp1254 mac_roman cp437 cp850 cp852 cp866 koi8-r gbk shift_jis euc_jp",
         "utf-8x2": "cp1252 latin-1",
+        "utf-8x3": "cp1252 latin-1",
         "cp1251": "cp1252 koi8-r cp866 mac_cyrillic cp437",
         "koi8-r": "cp1251 cp1252 cp866",
         "cp866": "latin-1 cp1251 cp1252 koi8-r",
@@ -51,12 +56,17 @@ PAIRS: tuple[tuple[str, str], ...] = tuple(
         "cp437": "cp1252 latin-1",
         "cp850": "cp1252 latin-1",
         "mac_roman": "cp1252 latin-1",
-        "cp1252": "mac_roman cp437 cp850 cp1251 cp1250 cp1253 koi8-r",
+        "cp1252": "mac_roman cp437 cp850 cp1251 cp1250 cp1253 koi8-r iso8859-5",
+        "cp1254": "cp1252",
+        "cp1257": "cp1252",
+        "cp1258": "cp1252",
+        "cp874": "cp1252 latin-1",
         "cp1255": "cp1252",
         "cp1256": "cp1252",
         "shift_jis": "cp1252 latin-1 cp1251",
         "euc_jp": "cp1252 latin-1",
         "gbk": "cp1252 latin-1 cp1251",
+        "big5": "cp1252 latin-1",
         "euc_kr": "cp1252 latin-1",
     }.items()
     for d in many.split()
@@ -65,9 +75,14 @@ STATES: tuple[str, ...] = ("clean", *(f"{e}>{d}" for e, d in PAIRS), "lost", "ut
 CLEAN, LOST, UTF16 = 0, len(STATES) - 2, len(STATES) - 1
 LOG_STAY, LOG_SWITCH = math.log(0.97), math.log(0.03 / len(STATES))
 LINE_STAY, LINE_CLEAN, LINE_SWITCH = math.log(0.6), math.log(0.38), math.log(0.02 / len(STATES))
+#: between parts of one token, which are only cut apart where their states differ
+PIECE_SWITCH = math.log(0.1 / len(STATES))
+LINE, WORD, INSIDE = range(3)
 START_CLEAN, START_OTHER = math.log(0.95), math.log(0.05 / len(STATES))
 #: a token that a state can't have produced costs so many nats more than under the clean state
 IMPOSSIBLE = 25.0
+#: a second state so near leaves open which text was meant
+NEAR = 3.0
 
 
 # -- character classes and the character model ---------------------------------------------------------------------
@@ -237,7 +252,7 @@ def invert(text: str, state: int) -> str | None:
     if state == UTF16:
         return unpair(text)
     e, d = PAIRS[state - 1]
-    rounds, e = (2, e[:-2]) if e.endswith("x2") else (1, e)
+    rounds, e = (int(e[-1]), e[:-2]) if e[-2:-1] == "x" else (1, e)
     try:
         out = text
         for _ in range(rounds):
@@ -247,6 +262,37 @@ def invert(text: str, state: int) -> str | None:
     return out if out != text else None
 
 
+_SCRIPTS = {"cl": "c", "cu": "c", "gl": "g", "gu": "g", "ha": "e", "ka": "e", "hg": "k", "ar": "a", "he": "h"}
+
+
+@functools.lru_cache(maxsize=1)
+def _utf8_runs() -> tuple[re.Pattern[str], ...]:
+    """For each reading of one byte a character: runs that are whole UTF-8 sequences."""
+    out = []
+    for e, d in PAIRS:
+        if e == "utf-8" and d not in _MULTIBYTE:
+            back: dict[int, str] = {}
+            for c, byte in _byte_table(d).items():
+                back.setdefault(byte, re.escape(chr(c)))
+            some = lambda a, b: "[" + "".join(back[x] for x in range(a, b) if x in back) + "]"  # noqa: B023, E731
+            cont = some(0x80, 0xC0)
+            out.append(re.compile(f"(?:{some(0xC2, 0xE0)}{cont}|{some(0xE0, 0xF0)}{cont}{cont}|{some(0xF0, 0xF5)}{cont}{cont}{cont})+"))
+    return tuple(out)
+
+
+def places_to_cut(token: str) -> list[int]:
+    """Where the state may change inside a token: behind runs of non-ASCII characters, at changes of script in them,
+    and around whole UTF-8 sequences read one byte a character."""
+    cuts = set()
+    for m in _RUN.finditer(token):
+        cuts.add(m.end())
+        script = [_SCRIPTS.get(char_class(c), "") for c in m.group()]
+        cuts.update(m.start() + i for i in range(1, len(script)) if script[i] != script[i - 1])
+    for pattern in _utf8_runs():
+        cuts.update(x for m in pattern.finditer(token) for x in m.span())
+    return sorted(cuts - {0, len(token)})
+
+
 def unpair(text: str) -> str:
     """Characters from little-endian byte pairs that were read one by one; a lost byte gives U+FFFD."""
     if text.startswith("��"):
@@ -269,6 +315,7 @@ class Labeller:
     def __init__(self, cache_size: int = 200_000) -> None:
         self.model = CharModel(SEEDS)
         self.scores = functools.lru_cache(maxsize=cache_size)(self._scores)
+        self.pieces = functools.lru_cache(maxsize=cache_size)(self._pieces)
 
     def _scores(self, token: str) -> tuple[np.ndarray, bool]:
         score = np.empty(len(STATES))
@@ -286,32 +333,47 @@ class Labeller:
                     score[s] = self.model.word(was)
         return score, bool(score[CLEAN] >= score.max() - 1e-9)
 
-    def label(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, state) of the tokens that aren't clean."""
+    def _pieces(self, token: str) -> tuple[tuple[int, int], ...]:
+        """Units of a token: itself, or its parts if these are explained by states of their own and it isn't."""
+        whole = ((0, len(token)),)
+        score, clean = self.scores(token)
+        if not clean:
+            return whole
+        cuts = places_to_cut(token)
+        if not cuts:
+            return whole
+        parts = tuple(zip([0, *cuts], [*cuts, len(token)]))
+        return whole if all(self.scores(token[a:b])[1] for a, b in parts) else parts
+
+    def _path(self, text: str) -> tuple[list[tuple[int, int]], list[int], list[np.ndarray]]:
+        """Spans of the units, the best path of states, and the scores of each unit; all empty if all is clean."""
+        nothing: tuple[list, list, list] = ([], [], [])
         if not SUSPECT.search(text):
-            return []
-        spans, emitted, breaks, trivial = [], [], [], True
+            return nothing
+        spans, emitted, steps, trivial = [], [], [], True
         new_line = False
         for m in TOKEN.finditer(text):
             if m.group(1):
                 new_line = True
                 continue
-            score, clean = self.scores(m.group(2))
-            trivial = trivial and clean
-            spans.append(m.span(2))
-            emitted.append(score)
-            breaks.append(new_line)
-            new_line = False
+            token, start = m.group(2), m.start(2)
+            for a, b in self.pieces(token):
+                score, clean = self.scores(token[a:b])
+                trivial = trivial and clean
+                spans.append((start + a, start + b))
+                emitted.append(score)
+                steps.append(LINE if new_line else INSIDE if a else WORD)
+                new_line = False
         if trivial:
-            return []  # the all-clean path is best in every factor
+            return nothing  # the all-clean path is best in every factor
         prev = np.full(len(STATES), START_OTHER)
         prev[CLEAN] = START_CLEAN
         prev = prev + emitted[0]
         back: list[np.ndarray] = []
         own = np.arange(len(STATES))
-        for score, line in zip(emitted[1:], breaks[1:]):
+        for score, step in zip(emitted[1:], steps[1:]):
             best = int(prev.argmax())
-            if line:
+            if step == LINE:
                 stay, move = prev + LINE_STAY, prev[best] + LINE_SWITCH
                 came = np.where(stay >= move, own, best)
                 value = np.maximum(stay, move)
@@ -319,7 +381,7 @@ class Labeller:
                 if to_clean > value[CLEAN]:
                     value[CLEAN], came[CLEAN] = to_clean, best
             else:
-                stay, move = prev + LOG_STAY, prev[best] + LOG_SWITCH
+                stay, move = prev + LOG_STAY, prev[best] + (PIECE_SWITCH if step == INSIDE else LOG_SWITCH)
                 came = np.where(stay >= move, own, best)
                 value = np.maximum(stay, move)
             back.append(came)
@@ -330,20 +392,34 @@ class Labeller:
             state = int(came[state])
             path.append(state)
         path.reverse()
+        return spans, path, emitted
+
+    def label(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, state) of the units that aren't clean."""
+        spans, path, _ = self._path(text)
         return [(a, b, s) for (a, b), s in zip(spans, path) if s != CLEAN]
 
+    def _open(self, text: str, spans: list[tuple[int, int]], state: int, scores: list[np.ndarray]) -> bool:
+        """Does another state explain the units of one state nearly as well, by another text?"""
+        total = np.sum(scores, axis=0)
+        for s in np.flatnonzero(total[1:LOST] >= total[state] - NEAR) + 1:
+            if s != state and any(invert(text[a:b], int(s)) != invert(text[a:b], state) for a, b in spans):
+                return True
+        return False
+
     def garbled(self, text: str | None) -> bool:
         return bool(text) and bool(self.label(text))
 
     def restore(self, text: str) -> tuple[str, list[str], bool]:
         """Restored text, the states of its garbled spans, and whether everything could be restored."""
-        found = self.label(text)
+        spans, path, emitted = self._path(text)
+        found = [(a, b, s) for (a, b), s in zip(spans, path) if s != CLEAN]
         if not found:
             return text, [], True
         states = sorted({STATES[s] for _, _, s in found})
         if any(s == UTF16 for _, _, s in found) and text.count("\x00") * 4 > len(text):
             fixed = unpair(text)
-            return fixed, states, "�" not in fixed
+            return fixed, states, "\ufffd" not in fixed
         out, at, whole = [], 0, True
         for a, b, s in found:
             out.append(text[at:a])
@@ -354,6 +430,9 @@ class Labeller:
             out.append(was)
             at = b
         out.append(text[at:])
+        for s in {s for _, _, s in found if s not in (LOST, UTF16)} if whole else ():
+            mine = [i for i, p in enumerate(path) if p == s]
+            whole = whole and not self._open(text, [spans[i] for i in mine], s, [emitted[i] for i in mine])
         return "".join(out), states, whole
 
 

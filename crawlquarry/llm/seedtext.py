@@ -26,4 +26,9 @@ SEEDS: dict[str, str] = {
     "fa": "این صفحه‌ها را نمی‌خواهیم. پوشه‌های بسته است. لطفاً دوباره تلاش کنید. سلام، امروز هوا خوب است.",
     "ar": "يرجى عدم زيارة هذه الصفحة. الموقع مغلق اليوم. السلام عليكم، البحث في الأرشيف متاح للجميع.",
     "he": "נא לא לסרוק את הדף הזה. האתר סגור היום, שלום לכולם.",
+    "lt": "Šis žemėlapis rodo visus kelius į ežerą ir mišką. Prašome neįeiti į sodą po vidurnakčio; įėjimas uždarytas. Ąžuolas, ėjimas, žalia, šviesa, mūsų, jūsų, būti, ačiū, daržų taisyklės.",
+    "lv": "Šeit ir ceļš uz ezeru, bet dārza vārti ir slēgti. Lūdzu, nāciet vēlāk; kāpēc mēs gaidām šķūnī? Zeme, ūdens, māja, ģimene, ļoti, skaņa.",
+    "vi": "Khu vườn mở cửa lúc chín giờ, xin vui lòng chờ ở cổng. Đường đến hồ nước rất đẹp và mọi người được phép đi bộ. Những thay đổi của trang này đã được ghi lại.",
+    "th": "สวนเปิดเวลาเก้าโมงเช้า กรุณารอที่ประตู ทางไปทะเลสาบปิดแล้ว ข้อมูลของหน้านี้เปลี่ยนแปลงทุกวัน ห้ามเข้าโดยไม่ได้รับอนุญาต",
+    "zh-tw": "花園早上九點開門，請在門口等候。這個頁面的內容每天都會更新，測試與資料請勿轉載。中文說明，開放時間，歡迎光臨。",
 }

@@ -170,6 +170,53 @@ def test_lost_and_paired_bytes():
     assert fixed == "User-agent: *\n" and "utf16" in states
 
 
+def misread(text: str, e: str, d: str) -> str:
+    table = {b: c for c, b in mojibake._byte_table(d).items()}
+    rounds, e = (int(e[-1]), e[:-2]) if e[-2] == "x" else (1, e)
+    for _ in range(rounds):
+        text = "".join(chr(table[b]) for b in text.encode(e))
+    return text
+
+
+@pytest.mark.parametrize(("text", "fixed"), [("Disallow: /café/cafÃ©", "Disallow: /café/café"), ("日本語のページcafÃ©", "日本語のページcafé"), ("日本語のページÃ©tÃ©", "日本語のページété"), ("# Не трогайте/Ð¿Ð°Ð¿ÐºÐ°", "# Не трогайте/папка")])
+def test_right_and_wrong_characters_of_one_token(text, fixed):
+    assert mojibake.labeller().restore(text)[0] == fixed
+
+
+@pytest.mark.parametrize(
+    ("text", "e", "d"),
+    [("中文測試", "big5", "latin-1"), ("Grüße", "latin-1", "iso8859-5"), ("crème brûlée", "utf-8x3", "cp1252"), ("é", "utf-8x3", "latin-1"), ("ไม่ได้รับอนุญาต", "cp874", "cp1252"), ("įėjimas uždarytas į sodą", "cp1257", "cp1252")],
+)
+def test_more_pairs_are_restored(text, e, d):
+    fixed, _, whole = mojibake.labeller().restore("# " + misread(text, e, d))
+    assert (fixed, whole) == ("# " + text, True)
+
+
+def test_near_states_leave_a_text_open():
+    lab = mojibake.labeller()
+    near = None
+    for word in ("şifre", "ığdır", "değişti", "ćwiczenie", "žluť", "ď", "Ž", "ñ", "Å", "ş", "ð", "þ"):
+        for e, d in mojibake.PAIRS:
+            try:
+                raw = misread(word, e, d)
+            except (UnicodeError, KeyError):
+                continue
+            fixed, states, whole = lab.restore("# " + raw)
+            if not states or fixed == "# " + word:
+                continue
+            spans, path, emitted = lab._path("# " + raw)
+            total = sum(emitted[i] for i, s in enumerate(path) if s)
+            best = max(path)
+            others = [s for s in range(1, mojibake.LOST) if total[s] >= total[best] - mojibake.NEAR and mojibake.invert(raw, s) not in (None, mojibake.invert(raw, best))]
+            if len(spans) == 1 and others:
+                near = whole
+    assert near is False
+
+
+def test_places_to_cut():
+    assert mojibake.places_to_cut("éÃ©") == [1] and mojibake.places_to_cut("abc") == [] and mojibake.places_to_cut("日本Ã©t") == [2, 4]
+
+
 def test_viterbi_is_the_best_path():
     """Against every path, over the states that a token scores best in."""
     lab = mojibake.labeller()
