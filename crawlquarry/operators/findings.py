@@ -192,17 +192,19 @@ def _explode(df: DataFrame, *keep: str) -> DataFrame:
     return df.select("file_id", *keep, F.explode_outer("found").alias("f")).where("f is not null").select("file_id", *keep, "f.phase", "f.line", "f.id", "f.level", "f.kind", "f.variant", "f.params")
 
 
-def syntax_findings(parsed: DataFrame) -> DataFrame:
+def _syntax() -> Column:
+    """Array of the syntax findings of a parsed row."""
     first_line = lambda kind: F.coalesce(F.get(F.filter("lines", lambda x: x["kind"] == kind), F.lit(0))["n"], F.lit(2_000_000_000))
-    first_group = first_line("user-agent")
     delays = F.flatten(F.transform("groups", lambda g: F.transform(F.filter(g["delays"], lambda d: d["delay"].isNotNull()), lambda d: F.named_struct(F.lit("start"), g["start_line"], F.lit("line"), d["line"]))))
     first_delay = F.array_min(F.flatten(F.transform("groups", lambda g: F.transform(g["delays"], lambda d: d["line"]))))
-    context = F.named_struct(F.lit("group"), first_group, F.lit("host"), first_line("host"), F.lit("delay"), first_delay, F.lit("delays"), delays)
-    whole = _explode(parsed.withColumn("found", F.concat(_file_findings(F.col("lines")), _group_findings(F.col("groups")))))
-    # lines one by one, so that their many predicates are compiled, not interpreted
-    single = parsed.select("file_id", context.alias("c"), F.explode_outer(F.filter("lines", lambda x: x["kind"] != "blank")).alias("l")).where("l is not null")
-    found = _line_findings(F.col("l"), F.col("c.group"), F.col("c.host"), F.col("c.delay"), F.col("c.delays"))
-    return whole.unionByName(_explode(single.withColumn("found", found)))
+    context = F.named_struct(F.lit("group"), first_line("user-agent"), F.lit("host"), first_line("host"), F.lit("delay"), first_delay, F.lit("delays"), delays)
+    written = F.filter("lines", lambda x: x["kind"] != "blank")
+    single = let(context, lambda c: F.flatten(F.transform(written, lambda x: _line_findings(x, c["group"], c["host"], c["delay"], c["delays"]))))
+    return F.concat(_file_findings(F.col("lines")), _group_findings(F.col("groups")), single)
+
+
+def syntax_findings(parsed: DataFrame) -> DataFrame:
+    return _explode(parsed.withColumn("found", _syntax()))
 
 
 # -- search visibility ---------------------------------------------------------------------------------------------
@@ -283,18 +285,20 @@ def _shadowed(groups: Column) -> Column:
     return _first_per_line(F.concat(own, merged))
 
 
-def seo_findings(parsed: DataFrame) -> DataFrame:
-    """Trailing slashes, self blocks, case, broad blocks, absolute URLs and rules that never change the outcome."""
-    ready = M.with_patterns(parsed)
-    gs = F.col("groups")
+def _seo(gs: Column) -> Column:
+    """Array of the search findings of groups that carry patterns."""
     paths = F.transform(F.flatten(F.transform(gs, lambda h: h["rules"])), lambda r: r["path"])
     of_group = lambda every, g: let(M.rules_of_token(gs, M.scope_token(g)), lambda scope: F.flatten(F.transform(g["rules"], lambda r: _rule_findings(gs, every, scope, g, r))))
-    per_rule = let(paths, lambda every: F.flatten(F.transform(gs, lambda g: of_group(every, g))))
-    return _explode(ready.withColumn("found", F.concat(per_rule, _shadowed(gs))))
+    return F.concat(let(paths, lambda every: F.flatten(F.transform(gs, lambda g: of_group(every, g)))), _shadowed(gs))
 
 
-def sitemap_findings(parsed: DataFrame) -> DataFrame:
-    """Duplicates of valid sitemap URLs, and against `site_url`: protocol, domain and host."""
+def seo_findings(parsed: DataFrame) -> DataFrame:
+    """Trailing slashes, self blocks, case, broad blocks, absolute URLs and rules that never change the outcome."""
+    return _explode(M.with_patterns(parsed).withColumn("found", _seo(F.col("groups"))))
+
+
+def _sitemaps() -> Column:
+    """Array of the findings about the valid sitemap URLs of a parsed row."""
     maps = F.filter("lines", lambda x: (x["kind"] == "sitemap") & valid_http_url(x["value"]))
     keyed = F.transform(maps, lambda x: F.struct(x["n"].alias("n"), normal_url(x["value"]).alias("url")))
     site, host = F.lower(F.col("site_url")), url_host(F.col("site_url"))
@@ -311,16 +315,24 @@ def sitemap_findings(parsed: DataFrame) -> DataFrame:
             )
         )
 
-    found = let(keyed, lambda ms: F.flatten(F.transform(ms, lambda m: one(m, F.array_min(F.transform(F.filter(ms, lambda o: o["url"] == m["url"]), lambda o: o["n"]))))))
-    return _explode(parsed.withColumn("found", found))
+    return let(keyed, lambda ms: F.flatten(F.transform(ms, lambda m: one(m, F.array_min(F.transform(F.filter(ms, lambda o: o["url"] == m["url"]), lambda o: o["n"]))))))
 
 
-def legacy_bot_findings(parsed: DataFrame, legacy_tokens: list[str]) -> DataFrame:
-    """Block lists that name LEGACY_THRESHOLD or more names of a list of tools long gone."""
+def sitemap_findings(parsed: DataFrame) -> DataFrame:
+    """Duplicates of valid sitemap URLs, and against `site_url`: protocol, domain and host."""
+    return _explode(parsed.withColumn("found", _sitemaps()))
+
+
+def _legacy(legacy_tokens: list[str]) -> Column:
+    """Array of the finding about a block list of old tools, if the row has one."""
     names = F.array(*[F.lit(t.lower()) for t in legacy_tokens])
     hits = F.filter(F.flatten(F.transform("groups", lambda g: F.transform(g["agents"], lambda a: F.struct(F.lower(trim_space(a["raw"])).alias("name"), a["line"].alias("line"))))), lambda a: F.array_contains(names, a["name"]))
-    found = let(hits, lambda h: let(F.size(F.array_distinct(F.transform(h, lambda a: a["name"]))), lambda k: _some(F.when(k >= LEGACY_THRESHOLD, finding(10, "info", "lint.legacyBadBots", F.get(h, F.lit(0))["line"], "lint", n=k)))))
-    return _explode(parsed.withColumn("found", found))
+    return let(hits, lambda h: let(F.size(F.array_distinct(F.transform(h, lambda a: a["name"]))), lambda k: _some(F.when(k >= LEGACY_THRESHOLD, finding(10, "info", "lint.legacyBadBots", F.get(h, F.lit(0))["line"], "lint", n=k)))))
+
+
+def legacy_bot_findings(parsed: DataFrame, legacy_tokens: list[str]) -> DataFrame:
+    """Block lists that name LEGACY_THRESHOLD or more names of a list of tools long gone."""
+    return _explode(parsed.withColumn("found", _legacy(legacy_tokens)))
 
 
 # -- responses -----------------------------------------------------------------------------------------------------
@@ -336,11 +348,8 @@ def _whole_number(c: Column) -> Column:
     return F.when(trim_space(c).rlike(r"^\+?[0-9]{1,18}\z"), trim_space(c).cast("long"))
 
 
-def fetch_findings(files: DataFrame, headers: bool = True, limits: dict[str, int] | None = None) -> DataFrame:
-    """Status, media type, charset, caching, robots header, Vary and redirects; files need `fetch` and `body`.
-
-    A file without a fetch (null struct) has none.
-    """
+def _fetch(headers: bool = True, limits: dict[str, int] | None = None) -> Column:
+    """Array of the findings about the response of a row; none for a null `fetch`."""
     limit = HEADER_LIMITS | (limits or {})
     f, h = F.col("fetch"), F.col("fetch.headers")
     status = f["status"]
@@ -374,22 +383,32 @@ def fetch_findings(files: DataFrame, headers: bool = True, limits: dict[str, int
         F.when(~limited & (a != b), F.when(bare(a) == bare(b), finding(13, "info", "fetch.warn.redirectSameSite", kind=k, host=b)).otherwise(finding(13, "warning", "fetch.warn.redirectOtherHost", kind=k, **{"from": a, "to": b}))),
         F.when(~limited & a.isNotNull() & b.isNotNull() & (url_path(f["final_url"]) != "/robots.txt"), finding(13, "warning", "fetch.warn.notRobotsPath", kind=k, path=url_path(f["final_url"]))),
     ]
-    return _explode(files.withColumn("found", F.when(f.isNotNull(), _some(*response, *(header if headers else []), *redirect))))
+    return F.when(f.isNotNull(), _some(*response, *(header if headers else []), *redirect))
 
 
-def all_findings(parsed: DataFrame, switches: dict[str, bool] | None = None, legacy_tokens: list[str] | None = None) -> DataFrame:
-    """Findings of every enabled check.  Needs site_url for sitemaps and fetch for responses, where these columns exist."""
+def fetch_findings(files: DataFrame, headers: bool = True, limits: dict[str, int] | None = None) -> DataFrame:
+    """Status, media type, charset, caching, robots header, Vary and redirects; files need `fetch` and `body`.
+
+    A file without a fetch (null struct) has none.
+    """
+    return _explode(files.withColumn("found", _fetch(headers, limits)))
+
+
+def all_findings(parsed: DataFrame, switches: dict[str, bool] | None = None, legacy_tokens: list[str] | None = None, limits: dict[str, int] | None = None) -> DataFrame:
+    """Findings of every enabled check.  Needs site_url for sitemaps and fetch for responses, where these columns exist.
+
+    The checks' arrays are concatenated in the row of the file and exploded once: one scan, one parser, no join.
+    """
     on = {"seo_traps": True, "sitemaps": True, "headers": True} | (switches or {})
-    out = syntax_findings(parsed)
+    ready = M.with_patterns(parsed)
+    found = [_syntax()]
     if on["seo_traps"]:
-        out = out.unionByName(seo_findings(parsed))
-        if legacy_tokens:
-            out = out.unionByName(legacy_bot_findings(parsed, legacy_tokens))
+        found += [_seo(F.col("groups")), *([_legacy(legacy_tokens)] if legacy_tokens else [])]
     if on["sitemaps"] and "site_url" in parsed.columns:
-        out = out.unionByName(sitemap_findings(parsed))
+        found.append(_sitemaps())
     if "fetch" in parsed.columns:
-        out = out.unionByName(fetch_findings(parsed, headers=on["headers"]))
-    return out
+        found.append(F.coalesce(_fetch(on["headers"], limits), F.array().cast(f"array<{FINDING}>")))
+    return _explode(ready.withColumn("found", F.concat(*found)))
 
 
 def with_overrides(findings: DataFrame, disabled: list[str], levels: dict[str, str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlquarry.functions.text import extract_token, trim_space, valid_http_url
+from crawlquarry.session import rows_once, spread
 
 READ_LIMIT = 500 * 1024
 LONG_LINE = 2000
@@ -238,12 +239,12 @@ def comments(parsed: DataFrame) -> DataFrame:
 def files_of_fetches(fetches: DataFrame, gate: bool = True) -> DataFrame:
     """Files of a table of fetches: each fetch once; with `gate`, the body of an unusable answer is empty.
 
-    A fetch delivered twice is kept once, by id; the response comes along as the struct `fetch`.
+    A fetch delivered twice is kept once, by id (only such rows are shuffled); the response comes along as the struct `fetch`.
     """
     usable = F.coalesce(F.col("status").between(200, 299), F.lit(False)) & ~F.coalesce("redirect_limit", F.lit(False))
     text = F.coalesce(F.col("text"), F.lit(""))
     response = F.struct("source", "robots_url", "final_url", "status", "status_text", "content_type", "bytes", "truncated", "redirects", "redirect_limit", "headers")
-    once = fetches.where("fetch_id is not null").dropDuplicates(["fetch_id"])
+    once = spread(rows_once(fetches, "fetch_id"))
     return once.select(
         F.col("fetch_id").alias("file_id"), F.when(usable, text).otherwise("").alias("text") if gate else text.alias("text"),
         "domain", F.coalesce("site_url", F.regexp_extract("final_url", r"(?i)^(https?://[^/?#]+)", 1)).alias("site_url"), response.alias("fetch"), F.col("text").alias("body"), "observed_at",

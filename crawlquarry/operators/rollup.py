@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Any
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlquarry.functions.text import body_hash
@@ -109,11 +107,12 @@ def tabs(parsed: DataFrame, findings: DataFrame, recon_tables: dict[str, DataFra
 
 
 def tagged(tables: dict[str, DataFrame]) -> DataFrame:
-    """All tables as seven uniform text columns, the first of which names the sheet."""
+    """All tables as uniform text columns: sheet, file, and as many cells as the widest table has columns."""
     out = None
+    width = max((len(df.columns) - ("file_id" in df.columns) for df in tables.values()), default=0)
     for name, df in tables.items():
-        cols = [c for c in df.columns if c != "file_id"][:5]
-        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols] + [F.lit("")] * (5 - len(cols))
+        cols = [c for c in df.columns if c != "file_id"]
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols] + [F.lit("")] * (width - len(cols))
         part = df.select(F.lit(name).alias("sheet"), F.col("file_id").cast("string").alias("file"), *[c.alias(f"c{i + 1}") for i, c in enumerate(cells)])
         out = part if out is None else out.unionByName(part)
     return out
@@ -144,17 +143,7 @@ LINES_SHOWN = 6
 
 def actions(findings: DataFrame) -> DataFrame:
     """Recommended actions of every file in order, with at most LINES_SHOWN lines each (a report's list)."""
-    errors = findings.where("level = 'error'").select("file_id", F.lit(0).alias("ord"), F.lit("errors").alias("action"), "line")
     pairs = F.create_map(*[x for i, (name, ids) in enumerate(ACTION_IDS) for k in ids for x in (F.lit(k), F.struct(F.lit(i + 1).alias("ord"), F.lit(name).alias("action")))])
-    rest = findings.withColumn("a", F.try_element_at(pairs, F.col("id"))).where("a is not null").select("file_id", "a.ord", "a.action", "line")
-    return errors.unionByName(rest).groupBy("file_id", "ord", "action").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("line")), 1, LINES_SHOWN).alias("lines"))
-
-
-def config_dimension(spark, config: dict[str, Any]) -> DataFrame:
-    """The security signatures of a pack as a table, for joins in SQL."""
-    rows = [(i, s["category"], s["severity"], s["reason"]) for i, s in enumerate(config["security"]["signature"])]
-    return spark.createDataFrame(rows, "ord int, category string, severity string, reason string")
-
-
-def percent(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.floor(part * 100 / whole + 0.5)).otherwise(F.lit(0)).cast("long")
+    both = F.array(F.when(F.col("level") == "error", F.struct(F.lit(0).alias("ord"), F.lit("errors").alias("action"))), F.try_element_at(pairs, F.col("id")))
+    rows = findings.select("file_id", "line", F.explode(both).alias("a")).where("a is not null")
+    return rows.groupBy("file_id", "a.ord", "a.action").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("line")), 1, LINES_SHOWN).alias("lines"))

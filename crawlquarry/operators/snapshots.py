@@ -4,7 +4,7 @@ Method: every standing row is reduced to a compact key hash (2 x 64 bit), a row
 verdicts.  The hashes are spread over buckets by key; inside a bucket numpy sorts the key arrays of each
 delivery and set differences come from `searchsorted`.  Full values are fetched afterwards, for differing keys
 only, and decide exactly: a bit table of the rows wanted drops all others in the scan, before any value is computed or
-shuffled.  The table has 16 bits a wanted row, at most TABLE_MOST in all; beyond that more other rows pass it, and the join
+shuffled.  The table has 16 bits a wanted row, with a bound (see session.bit_table); beyond that more other rows pass it, and the join
 behind it drops them.
 
 Defined results
@@ -22,12 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlquarry.session import cut, shuffle_partitions
+from crawlquarry.session import bit_table, cut, in_table, shuffle_partitions
 
 VALUE_COLUMNS = ("http_status", "final_url", "unavailable", "html")
 #: about so many standing rows go into one bucket (two 8-byte keys and two 8-byte hashes a row)
 BUCKET_ROWS = 400_000
-TABLE_LEAST, TABLE_MOST = 1 << 16, 1 << 26
 
 
 def directive_lines(text: Column) -> Column:
@@ -125,22 +124,6 @@ def _bucket_diff(runs: list[int]):
     return work
 
 
-def _passes(wanted: DataFrame, run: Column, key: Column, id_hash: Column) -> Column:
-    """May a row be one of those wanted (at, domain, id_hash)?  Looked up in a bit table that is a literal."""
-    n = wanted.count()
-    bits = TABLE_LEAST
-    while bits < min(16 * n, TABLE_MOST):
-        bits *= 2
-    place = F.pmod(F.xxhash64("at", "domain", "id_hash"), F.lit(bits))
-    rows = wanted.select(place.alias("p")).groupBy((F.col("p") / 32768).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect()  # at most `bits` bits
-    table = bytearray(bits >> 3)
-    for r in rows:
-        table[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = r["bits"]
-    here = F.pmod(F.xxhash64(run, key, id_hash), F.lit(bits))
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(table)), F.shiftright(here, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.pow(F.lit(2.0), F.pmod(here, F.lit(8))).cast("int")) > 0
-
-
 def snapshot_changes(snapshots: DataFrame, key: str = "domain", run: str = "run_no", detail: bool = False) -> DataFrame:
     """Keys added, removed and changed from each delivery to the next one that exists.
 
@@ -164,7 +147,8 @@ def snapshot_changes(snapshots: DataFrame, key: str = "domain", run: str = "run_
     wanted = diffs.where("kind = 'differs'").select("run_no", "prev_run_no", "domain", "at", "id_hash", "row_hash", "map_hash")
     its_run = F.col(run).cast("int")
     its_id = _wide_hash(F.col("snap_id"), F.col("fetched_at"))
-    src = snapshots.where(_passes(wanted, its_run, F.col(key), its_id)).select(
+    table, bits = bit_table(wanted, F.col("at"), F.col("domain"), F.col("id_hash"))
+    src = snapshots.where(in_table(table, bits, its_run, F.col(key), its_id)).select(
         its_run.alias("s_run"), F.col(key).alias("s_domain"), its_id.alias("s_id"),
         *[F.col(c).alias(f"s_{c}") for c in VALUE_COLUMNS],
         directive_lines(F.col("robots_txt")).alias("s_lines"), F.array_sort(F.map_entries("verdicts")).alias("s_verdicts"),

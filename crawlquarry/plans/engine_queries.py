@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from crawlquarry import config as C
 from crawlquarry.functions.messages import worded
 from crawlquarry.functions.presentation import rendered
-from crawlquarry.functions.text import body_hash, normalise_encoding
+from crawlquarry.functions.text import body_hash, normalise_encoding, sample_path
 from crawlquarry.operators import diff as D
 from crawlquarry.operators import findings as G
 from crawlquarry.operators import match as M
 from crawlquarry.operators import parse as P
 from crawlquarry.operators import recon as R
 from crawlquarry.operators import rollup as U
-from crawlquarry.plans import engine_sql
-from crawlquarry.session import table
+from crawlquarry.plans import engine_sql, engine_sql_more
+from crawlquarry.session import table, written
 from crawlquarry.sources import io
 
 AI = ["ai_training", "ai_assistant"]
@@ -27,6 +27,11 @@ def _parsed(spark, d):
     return P.parse(P.files_of_fetches(table(spark, d, "fetches")))
 
 
+def _once_parsed(spark, d):
+    """The parsed files written once and read by column: for queries that need many tables of them."""
+    return written(_parsed(spark, d))
+
+
 def _over(f):
     return lambda spark, d: f(_parsed(spark, d))
 
@@ -64,16 +69,16 @@ def worded_findings(spark, d):
 
 
 def _recon_counts(spark, d):
-    return R.recon_counts(R.recon(_parsed(spark, d), C.load()))
+    return R.recon_counts(R.recon(_once_parsed(spark, d), C.load()))
 
 
 def _security(spark, d):
-    parsed, config = _parsed(spark, d), C.load()
+    parsed, config = _once_parsed(spark, d), C.load()
     return R.sensitive_paths(parsed, config, R.primary_platform(R.platform_scores(parsed, config)))
 
 
 def _summary(spark, d):
-    parsed, config = _parsed(spark, d), C.load()
+    parsed, config = _once_parsed(spark, d), C.load()
     platforms = R.primary_platform(R.platform_scores(parsed, config))
     verdicts = M.crawler_verdicts(parsed, table(spark, d, "crawlers"))
     return parsed, verdicts, U.report_summary(parsed, G.syntax_findings(parsed), R.sensitive_paths(parsed, config, platforms), verdicts, M.star_policy(parsed), platforms, "ai_training")
@@ -88,15 +93,6 @@ def markdown_reports(spark, d):
     return rendered(U.nested_report(parsed, summary, G.syntax_findings(parsed), verdicts, R.sensitive_paths(parsed, C.load()))).select("file_id", "markdown")
 
 
-def _runs(spark, d):
-    """The standing bodies of the first and the last delivery, keyed by the first snapshot of the site."""
-    snaps = table(spark, d, "site_snapshots").where("domain is not null")
-    ends = snaps.agg(F.min("run_no").alias("a"), F.max("run_no").alias("b")).first()
-    ids = snaps.groupBy("domain").agg(F.min("snap_id").alias("file_id"))
-    standing = lambda run: snaps.where(F.col("run_no") == run).groupBy("domain").agg(F.coalesce(F.max_by("robots_txt", F.struct("fetched_at", "snap_id")), F.lit("")).alias("text"))
-    return tuple(standing(ends[k]).join(ids, "domain").select("file_id", "domain", "text") for k in ("a", "b"))
-
-
 def _deliveries(spark, d):
     """Two versions of every site's standing bodies: each delivery and the site's next one.
 
@@ -120,11 +116,6 @@ def _by_run(diff):
 
 
 def semantic_flags(spark, d):
-    return D.text_flags(*_runs(spark, d))
-
-
-def semantic_flags_by_run(spark, d):
-    """`semantic_flags` compares the two ends, as its SQL does; this compares every delivery with the site's next one."""
     pairs = _deliveries(spark, d)
     return _by_run(D.text_flags(*(pairs.select("file_id", F.col(k).alias("text")) for k in ("a", "b"))))
 
@@ -162,9 +153,21 @@ def normalised_paths(spark, d):
     return table(spark, d, "rules").select("path").where("path is not null").distinct().select("path", normalise_encoding(F.col("path")).alias("norm"))
 
 
+def checked_access(spark, d):
+    """Every rule's sample path asked for by the first token of the rule's group: percent-encoded, non-ASCII and wildcard paths too."""
+    parsed = _once_parsed(spark, d)
+    tokens = P.agents(parsed).where("token <> ''").groupBy("file_id", "group_id").agg(F.min_by("token", "line").alias("token"))
+    probes = P.effective_rules(parsed).join(tokens, ["file_id", "group_id"]).select("file_id", F.array("token", F.lit("*")).alias("tokens"), sample_path(F.col("path")).alias("path")).distinct()
+    return M.check_access(parsed, probes).select("file_id", F.col("tokens")[0].alias("asked"), "path", "token", "allowed", F.col("rule.path").alias("rule"), F.col("rule.line").alias("line"))
+
+
 def cleaned_paths(spark, d):
-    parsed = _parsed(spark, d)
-    return M.cleaned_paths(parsed, parsed.select("file_id", F.lit("/forum/?ref=1&sort=2&vellum=3").alias("path")))
+    """Paths with a query, those of the file's rules and a fixed one, without the parameters that Clean-param drops."""
+    parsed = _once_parsed(spark, d)
+    own = P.effective_rules(parsed).where(F.contains("path", F.lit("?"))).select("file_id", sample_path(F.col("path")).alias("path"))
+    fixed = parsed.select("file_id", F.explode(F.array(F.lit("/forum/?ref=1&sort=2&vellum=3"), F.lit("/a?sid=1"))).alias("path"))
+    named = P.clean_params(parsed).where("valid").select("file_id", F.concat(F.regexp_replace("path", r"\*", "x"), F.lit("?keep=1&"), F.array_join(F.transform("params", lambda x: F.concat(x, F.lit("=2"))), "&")).alias("path"))
+    return M.cleaned_paths(parsed, own.unionByName(fixed).unionByName(named).distinct()).select("file_id", "path", "cleaned", "removed")
 
 
 def mined_documents(spark, d):
@@ -213,6 +216,7 @@ QUERIES = {
     "star_policy": _over(M.star_policy),
     "rule_outcomes": _over(M.rule_outcomes),
     "cleaned_paths": cleaned_paths,
+    "checked_access": checked_access,
     "syntax_findings": _over(G.syntax_findings),
     "seo_findings": _over(G.seo_findings),
     "sitemap_findings": _over(G.sitemap_findings),
@@ -248,7 +252,6 @@ QUERIES = {
     "crawl_summary": lambda s, d: U.crawl_summary(table(s, d, "audit_records")),
     "enabled_sites": lambda s, d: io.enabled_sites(table(s, d, "sites")).select("domain", "name", "category"),
     "semantic_flags": semantic_flags,
-    "semantic_flags_by_run": semantic_flags_by_run,
     "semantic_flips": semantic_flips,
     "semantic_sitemaps": semantic_sitemaps,
     "semantic_issues": semantic_issues,
@@ -256,4 +259,4 @@ QUERIES = {
     "change_history": change_history,
     "body_hashes": body_hashes,
 }
-SQL = engine_sql.SQL
+SQL = engine_sql.SQL | engine_sql_more.SQL

@@ -18,12 +18,21 @@ def trim(x: str) -> str:
     return f"regexp_replace({x}, '^{SP}+|{SP}+$', '', 'g')"
 
 
-BASE = rf"""
-with files0 as (
+_FETCHES = r"""
+  files0 as (
   select distinct on (fetch_id) fetch_id as file_id, domain, coalesce(site_url, nullif(regexp_extract(final_url, '(?i)^(https?://[^/?#]+)', 1), '')) as site_url, status, content_type, redirect_limit, robots_url, final_url, headers, text as body,
          case when coalesce(status between 200 and 299, false) and not coalesce(redirect_limit, false) then coalesce(text, '') else '' end as text
   from fetches where fetch_id is not null
-), files1 as (
+)"""
+
+
+def base(files0: str) -> str:
+    """The common tables over any tables that end in files0 (file_id, text, ...)."""
+    return "with " + files0 + _PARSED
+
+
+_PARSED = rf"""
+, files1 as (
   select *, starts_with(text, chr(65279)) as bom, case when starts_with(text, chr(65279)) then substr(text, 2) else text end as src0 from files0
 ), files as (
   select *, length(substr(src0, 1, 512)) >= 4 and (length(substr(src0, 1, 512)) - length(replace(substr(src0, 1, 512), chr(0), ''))) * 4 >= length(substr(src0, 1, 512)) as utf16,
@@ -83,6 +92,8 @@ picked as (
 )
 """
 
+BASE = base(_FETCHES)
+
 #: paths of rules with their parts: plain without one final `$` and `*`, segments, query
 RULE_PATHS = rf"""
 , paths as (
@@ -90,12 +101,6 @@ RULE_PATHS = rf"""
   from (select file_id, line, path, lower(path) as low, replace(regexp_replace(lower(path), '\$$', ''), '*', '') as plain from rules where path <> '' and not regexp_matches(path, '(?i)^https?://'))
 )
 """
-_SNAPS = r"""
-with s as (select * from site_snapshots where domain is not null), ids as (select domain, min(snap_id) as file_id from s group by 1),
-ends as (select min(run_no) as a, max(run_no) as b from s),
-standing as (select run_no, domain, coalesce(arg_max(robots_txt, struct_pack(f := fetched_at, s := snap_id)), '') as text from (select run_no, domain, coalesce(robots_txt, '') as robots_txt, fetched_at, snap_id from s) group by 1, 2),
-both_ends as (select i.file_id, p.text as a, c.text as b from standing p join ends e on p.run_no = e.a join standing c on c.run_no = e.b and c.domain = p.domain join ids i on i.domain = p.domain)
-"""
 _DIRECTIVES = r"list_filter(list_transform(regexp_split_to_array({}, '\r\n|\r|\n'), lambda x: regexp_replace(regexp_replace(split_part(x, '#', 1), '^[\s\p{{Z}}\x{{FEFF}}]+', ''), '[\s\p{{Z}}]+$', '')), lambda x: x <> '')"
 _STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
@@ -126,7 +131,6 @@ SQL = {
       select file_id, line, text, unnest(list_filter([case when regexp_matches(lower(text), 'yoast') then 'Yoast SEO' end, case when regexp_matches(lower(text), 'generated (by|with|on)?|generator') then 'generic generator' end,
         case when regexp_matches(lower(text), '\bbuild\b|^rev ') then 'build stamp' end, case when regexp_matches(lower(text), 'cache key|served from cache') then 'page cache' end], lambda x: x is not null)) as generator
       from (select file_id, line, substr({trim('substr(comment, 2)')}, 1, 2000) as text from lines where comment is not null and {trim('substr(comment, 2)')} <> '')) group by 1, 2""",
-    "semantic_flags": _SNAPS + f"select file_id, {_DIRECTIVES.format('a')} is distinct from {_DIRECTIVES.format('b')} as is_changed, {_STRIP.format('a')} is distinct from {_STRIP.format('b')} as text_changed from both_ends",
     "change_history": r"""with o as (
       select distinct on (fetch_id) domain, observed_at, fetch_id as obs_id, status, text as body, content_type from fetches where fetch_id is not null
     ), p as (
