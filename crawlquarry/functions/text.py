@@ -192,6 +192,11 @@ def markdown_escape(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\|`*_<>\[\]])", r"\\$1")
 
 
+def date_of(iso: Column) -> Column:
+    """The day at the start of an ISO time, else null."""
+    return F.try_to_date(F.regexp_extract(iso, r"^([0-9]{1,4}-[0-9]{1,2}-[0-9]{1,2})", 1), "y-M-d")
+
+
 def report_filename(site: Column, day: Column) -> Column:
     """slug-robots-audit-date"""
     slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(site, F.lit("site"))), r"^https?://(www\.)?", ""), r"[^a-z0-9]+", "-")

@@ -74,14 +74,17 @@ def _line_with(lines: Column, needle: Column) -> Column:
 def _file_findings(lines: Column) -> Column:
     low = F.lower(F.col("src"))
     page = looks_like_html(F.col("src"))
-    injected = (F.contains(low, F.lit("<script")) & _any_in(low, OBFUSCATION)) | _any_in(low, ("<iframe", "<marquee")) | (F.contains(low, F.lit("<a ")) & _any_in(low, HIDING))
+    injected = (
+        F.when(F.contains(low, F.lit("<script")) & _any_in(low, OBFUSCATION), "script").when(F.contains(low, F.lit("<iframe")), "iframe").when(F.contains(low, F.lit("<marquee")), "marquee")
+        .when(F.contains(low, F.lit("<a ")) & _any_in(low, HIDING), "hiddenLink")
+    )
     error, plugin, tag = _first_in(low, ERROR_MARKERS), _first_in(low, PLUGIN_MARKERS), _first_in(low, HTML_TAGS)
     long_line = F.get(F.filter(lines, lambda x: F.length(x["raw"]) > P.LONG_LINE), F.lit(0))
     return _some(
         F.when(F.col("size") > P.READ_LIMIT, finding(0, "warning", "parser.tooLarge", kib=F.floor(F.col("size") / 1024))),
         F.when(F.col("bom"), finding(0, "info", "parser.bom", F.lit(1))),
         F.when(F.col("utf16"), finding(0, "error", "parser.utf16", F.lit(1))),
-        F.when(~page & injected, finding(0, "error", "security.injectedCode", kind="security")),
+        F.when(~page & injected.isNotNull(), finding(0, "error", "security.injectedCode", kind="security", variant=injected)),
         F.when(~page & error.isNotNull(), finding(0, "error", "parser.serverErrorOutput", _line_with(lines, error))),
         F.when(~page & plugin.isNotNull(), finding(0, "warning", "parser.pluginOutput", _line_with(lines, plugin))),
         F.when(~page & tag.isNotNull(), finding(0, "error", "parser.htmlFragment", _line_with(lines, tag), tag=F.rtrim(tag))),
@@ -117,7 +120,19 @@ def content_signal_bad(value: Column) -> Column:
     return F.filter(parts, lambda p: ~(key(p).isin(*SIGNAL_KEYS) & val(p).isin("yes", "no")))
 
 
-def _line_findings(x: Column, first_group: Column, first_host: Column, first_delay: Column, valid_delays: Column) -> Column:
+def _nameless(groups: Column) -> Column:
+    """User-agent lines without a token: line, variant (others if the group names crawlers, star if it names `*`), names."""
+
+    def of(g: Column) -> Column:
+        named = F.filter(g["agents"], lambda a: ~a["token"].isin("", "*"))
+        star = F.exists(g["agents"], lambda a: a["token"] == "*")
+        variant = F.when(star, F.lit("star")).when(F.size(named) > 0, F.lit("others"))
+        return F.transform(F.filter(g["agents"], lambda a: a["token"] == ""), lambda a: F.struct(a["line"].alias("line"), variant.alias("variant"), F.when(variant == "others", F.array_join(F.transform(named, lambda b: b["raw"]), ", ")).alias("names")))
+
+    return F.flatten(F.transform(groups, of))
+
+
+def _line_findings(x: Column, first_group: Column, first_host: Column, first_delay: Column, valid_delays: Column, nameless: Column) -> Column:
     n, field, value, low = x["n"], x["field"], x["value"], F.lower(x["value"])
     grouped = n > first_group
     rule = (x["kind"] == "rule") & grouped
@@ -151,7 +166,7 @@ def _line_findings(x: Column, first_group: Column, first_host: Column, first_del
         F.when(x["misspelt"], finding(1, "info", "parser.misspelling", n, raw=raw_field, field=field)),
         F.when(field.isNotNull() & x["junk"].isNotNull(), finding(1, "warning", "parser.junkBeforeField", n, junk=x["junk"], field=field)),
         F.when(hash_cut & ((field == "sitemap") | grouped), finding(1, "warning", "parser.hashInValue", n, variant=F.when(field == "sitemap", F.lit("sitemap")), truncated=value)),
-        F.when((field == "user-agent") & token_state.isNotNull(), finding(1, F.when(value == "", F.lit("error")).otherwise("warning"), token_state, n, value=value)),
+        F.when((field == "user-agent") & token_state.isNotNull(), let(F.get(F.filter(nameless, lambda y: y["line"] == n), F.lit(0)), lambda y: finding(1, F.when(value == "", F.lit("error")).otherwise("warning"), token_state, n, variant=y["variant"], value=value, names=y["names"]))),
         F.when((field == "user-agent") & token_state.isNull() & (x["token"] != "*") & (x["token"] != low), finding(1, "info", "parser.tokenTail", n, token=x["token"], value=value)),
         F.when((x["kind"] == "rule") & ~grouped, finding(1, "error", "parser.ruleBeforeAgent", n, variant=F.when(value != "", field), directive=field)),
         F.when(rule & (value == ""), finding(1, "info", F.when(field == "allow", F.lit("parser.emptyAllow")).otherwise("parser.emptyDisallow"), n)),
@@ -197,9 +212,9 @@ def _syntax() -> Column:
     first_line = lambda kind: F.coalesce(F.get(F.filter("lines", lambda x: x["kind"] == kind), F.lit(0))["n"], F.lit(2_000_000_000))
     delays = F.flatten(F.transform("groups", lambda g: F.transform(F.filter(g["delays"], lambda d: d["delay"].isNotNull()), lambda d: F.named_struct(F.lit("start"), g["start_line"], F.lit("line"), d["line"]))))
     first_delay = F.array_min(F.flatten(F.transform("groups", lambda g: F.transform(g["delays"], lambda d: d["line"]))))
-    context = F.named_struct(F.lit("group"), first_line("user-agent"), F.lit("host"), first_line("host"), F.lit("delay"), first_delay, F.lit("delays"), delays)
+    context = F.named_struct(F.lit("group"), first_line("user-agent"), F.lit("host"), first_line("host"), F.lit("delay"), first_delay, F.lit("delays"), delays, F.lit("nameless"), _nameless(F.col("groups")))
     written = F.filter("lines", lambda x: x["kind"] != "blank")
-    single = let(context, lambda c: F.flatten(F.transform(written, lambda x: _line_findings(x, c["group"], c["host"], c["delay"], c["delays"]))))
+    single = let(context, lambda c: F.flatten(F.transform(written, lambda x: _line_findings(x, c["group"], c["host"], c["delay"], c["delays"], c["nameless"]))))
     return F.concat(_file_findings(F.col("lines")), _group_findings(F.col("groups")), single)
 
 
@@ -233,7 +248,7 @@ def _rule_findings(groups: Column, every: Column, scope: Column, g: Column, r: C
         .when(low.isin(*ASSET_DIRS), F.when(_blocked(groups, file_in("app.js")), F.lit("seo.assetBlock")))
         .when(low.rlike(r"\.(css|js)\$?\z"), F.when(_blocked(groups, sample_path(p)), F.lit("seo.cssJsBlock")))
         .when(low.isin(*IMAGE_DIRS), F.when(_blocked(groups, file_in("photo.jpg")), F.lit("seo.imageBlock")))
-        .when(low.rlike(r"(\.(jpe?g|png|gif|webp)\$|\*\.(jpe?g|png|gif))\z"), F.when(_blocked(groups, sample_path(p)), F.lit("seo.imageBlock")))
+        .when(F.exists(F.array(*map(F.lit, IMAGE_FILES)), lambda e: low.endswith(e)), F.when(_blocked(groups, sample_path(p)), F.lit("seo.imageBlock")))
     )
     url_rest = normalise_path(p)
     return _some(

@@ -185,11 +185,13 @@ def cleaned_paths(parsed: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def outcome(groups: Column, group: Column, path: Column) -> Column:
-    """struct<state, audience, path, line>: what really happens to a path for the crawlers of a group."""
+    """struct<state, audience, path, line, names>: what really happens to a path for the crawlers of a group; names are
+    those of a group with names, as written."""
     token = scope_token(group)
     others = F.exists(groups, lambda g: F.exists(g["agents"], lambda a: (a["token"] != "") & (a["token"] != "*")))
     who = F.when(token != "*", F.lit("named")).when(others, F.lit("default")).otherwise("all")
-    return let(decide(rules_of_token(groups, token), normalise_encoding(path)), lambda d: F.struct(F.when(~d["allowed"], F.lit("blocked")).when(d["rule"].isNull(), F.lit("open")).otherwise("allowed").alias("state"), who.alias("audience"), path.alias("path"), d["rule"]["line"].alias("line")))
+    names = F.when(token != "*", F.transform(F.filter(group["agents"], lambda a: a["token"] != ""), lambda a: a["raw"]))
+    return let(decide(rules_of_token(groups, token), normalise_encoding(path)), lambda d: F.struct(F.when(~d["allowed"], F.lit("blocked")).when(d["rule"].isNull(), F.lit("open")).otherwise("allowed").alias("state"), who.alias("audience"), path.alias("path"), d["rule"]["line"].alias("line"), names.alias("names")))
 
 
 def rule_outcomes(parsed: DataFrame) -> DataFrame:
@@ -197,4 +199,4 @@ def rule_outcomes(parsed: DataFrame) -> DataFrame:
     ready = with_patterns(parsed).select("file_id", "groups")
     rows = ready.select("file_id", "groups", F.explode_outer("groups").alias("g")).where("g is not null").select("file_id", "groups", "g", F.explode_outer(F.filter("g.rules", lambda r: r["path"] != "")).alias("r")).where("r is not null")
     out = rows.select("file_id", F.col("g.group_id").alias("group_id"), F.col("r.line").alias("line"), F.col("r.type").alias("type"), F.col("r.path").alias("rule_path"), outcome(F.col("groups"), F.col("g"), sample_path(F.col("r.path"))).alias("o"))
-    return out.select("file_id", "group_id", "line", "type", "rule_path", F.col("o.path").alias("path"), F.col("o.state").alias("state"), F.col("o.audience").alias("audience"), F.col("o.line").alias("decided_by"))
+    return out.select("file_id", "group_id", "line", "type", "rule_path", F.col("o.path").alias("path"), F.col("o.state").alias("state"), F.col("o.audience").alias("audience"), F.col("o.line").alias("decided_by"), F.coalesce("o.names", F.array().cast("array<string>")).alias("names"))

@@ -249,3 +249,9 @@ def files_of_fetches(fetches: DataFrame, gate: bool = True) -> DataFrame:
         F.col("fetch_id").alias("file_id"), F.when(usable, text).otherwise("").alias("text") if gate else text.alias("text"),
         "domain", F.coalesce("site_url", F.regexp_extract("final_url", r"(?i)^(https?://[^/?#]+)", 1)).alias("site_url"), response.alias("fetch"), F.col("text").alias("body"), "observed_at",
     )
+
+
+def once_by_domain(fetches: DataFrame) -> DataFrame:
+    """The latest fetch of every domain, ties by the highest fetch_id."""
+    best = fetches.where("domain is not null and fetch_id is not null").groupBy("domain").agg(F.max(F.struct("observed_at", "fetch_id"))["fetch_id"].alias("fetch_id"))
+    return rows_once(fetches, "fetch_id").join(best, ["domain", "fetch_id"], "left_semi")

@@ -52,7 +52,7 @@ def sensitive_paths(parsed: DataFrame, config: dict[str, Any], platforms: DataFr
     for _, s in ordered:
         patterns = ([C.keyword_pattern(s["keywords"])] if s.get("keywords") else []) + ([s["pattern"]] if s.get("pattern") else [])
         entries.append(("|".join(f"(?:{x})" for x in patterns), F.struct(F.lit(s["category"]).alias("category"), F.lit(s["severity"]).alias("severity"), F.lit(s["reason"]).alias("reason"))))
-    rows = rows.withColumn("s", _first_case(F.col("p"), entries)).where("s is not null")
+    rows = rows.where(F.col("p").rlike("|".join(x for x, _ in entries))).withColumn("s", _first_case(F.col("p"), entries)).where("s is not null")
     if platforms is not None:
         stock = [(p["name"], d.lower()) for p in config.get("platform", []) for d in p.get("defaults", [])]
         rows = rows.join(platforms.select("file_id", "platform"), "file_id", "left")
@@ -77,8 +77,10 @@ def platform_scores(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
     For each rule the first strong pattern counts, else the first weak one; weak hits alone need two.
     """
     sigs = config.get("platform", [])
-    paths = F.transform(F.filter(F.flatten(F.transform("groups", lambda g: g["rules"])), lambda r: r["path"] != ""), lambda r: F.lower(r["path"]))
-    notes = F.transform(F.filter("lines", lambda x: x["comment"].isNotNull()), lambda x: F.lower(x["comment"]))
+    union = lambda *kinds: "|".join(f"(?:{x})" for s in sigs for k in kinds for x in s.get(k, [])) or r"(?!)"
+    # most paths and comments speak for no platform: one pattern of all drops them before each platform looks
+    paths = F.array_distinct(F.filter(F.transform(F.flatten(F.transform("groups", lambda g: g["rules"])), lambda r: F.lower(r["path"])), lambda p: (p != "") & p.rlike(union("strong", "weak"))))
+    notes = F.filter(F.transform(F.filter("lines", lambda x: x["comment"].isNotNull()), lambda x: F.lower(x["comment"])), lambda c: c.rlike(union("comments")))
     base = parsed.select("file_id", paths.alias("paths"), notes.alias("notes"))
 
     def one(i: int, s: dict[str, Any]) -> Column:
@@ -90,12 +92,35 @@ def platform_scores(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
         said = F.size(F.filter("notes", lambda c: c.rlike(comment_pattern)))
         return F.named_struct(F.lit("ord"), F.lit(i), F.lit("platform"), F.lit(s["name"]), F.lit("kind"), F.lit(s["kind"]), F.lit("strong"), strong, F.lit("weak"), weak, F.lit("said"), said)
 
+    if not sigs:
+        return base.select("file_id", F.lit("").alias("platform"), F.lit("").alias("kind"), F.lit(0).alias("score"), F.lit("").alias("confidence")).limit(0)
     rows = base.select("file_id", F.explode_outer(F.array(*[one(i, s) for i, s in enumerate(sigs)])).alias("s")).where("s is not null").select("file_id", "s.*")
     rows = rows.where("strong > 0 or said > 0 or weak >= 2").withColumn("score", F.expr("2 * strong + weak + 3 * said"))
     confidence = F.when((F.col("strong") == 0) & (F.col("said") == 0), "low").when(F.col("score") >= 4, "high").when(F.col("score") >= 2, "medium").otherwise("low")
     return rows.select("file_id", "platform", "kind", "score", confidence.alias("confidence"))
 
 
+def platform_evidence(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
+    """What speaks for each platform: file_id, platform, line, source (rule or comment), strength, text; one row a line and platform.
+
+    A rule speaks by its first strong pattern, else by its first weak one, a comment by any of the platform's.
+    """
+    sigs = config.get("platform", [])
+
+    def of_rule(path: Column) -> Column:
+        """(platform, strength) that a path speaks for."""
+        found = [
+            F.coalesce(*[F.when(path.rlike("|".join(f"(?:{x})" for x in s[k])), F.struct(F.lit(s["name"]).alias("platform"), F.lit(k).alias("strength"))) for k in ("strong", "weak") if s.get(k)], F.lit(None))
+            for s in sigs if s.get("strong") or s.get("weak")
+        ]
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    said = [F.when(F.lower("text").rlike("|".join(f"(?:{x})" for x in s["comments"])), F.struct(F.lit(s["name"]).alias("platform"), F.lit("comment").alias("strength"))) for s in sigs if s.get("comments")]
+    rules = P.effective_rules(parsed).select("file_id", "line", F.lit("rule").alias("source"), F.col("path").alias("text"), F.explode_outer(of_rule(F.col("lower"))).alias("e"))
+    notes = P.comments(parsed).select("file_id", "line", F.lit("comment").alias("source"), "text", F.explode_outer(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("e"))
+    return rules.unionByName(notes).where("e is not null").select("file_id", "e.platform", "line", "source", "e.strength", "text").dropDuplicates(["file_id", "platform", "line", "source"])
+
+
 def primary_platform(scores: DataFrame) -> DataFrame:
     """The best platform of each file that may be one and isn't of low confidence: file_id, platform."""
     able = scores.where(F.col("kind").isin("cms", "ecommerce", "hosting", "forum", "wiki") & (F.col("confidence") != "low"))
@@ -138,11 +163,12 @@ def cloud_assets(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
     """Hosts of cloud providers, each host and bucket of a file once, at its first mention."""
     rows = collected_urls(parsed).withColumn("host", url_host(F.col("url"))).where("host is not null")
     pack = config.get("cloud", [])
-    which = F.coalesce(*[F.when(F.col("host").rlike(c["host"]), F.lit(i + 1)) for i, c in enumerate(pack)], F.lit(None))
-    rows = rows.withColumn("i", which).where("i is not null")
-    bucket = F.coalesce(*[F.when(F.col("i") == i + 1, bucket_of(F.col("url"), F.col("host"), c["bucket"])) for i, c in enumerate(pack) if c.get("bucket")], F.lit(None).cast("string"))
-    named = lambda key: F.element_at(F.array(*[F.lit(c[key]) for c in pack]), F.col("i"))
-    rows = rows.select("file_id", "ord", "line", "source", "host", named("provider").alias("provider"), named("kind").alias("kind"), bucket.alias("bucket"))
+    if not pack:
+        return rows.select("file_id", "line", "source", "host", F.lit("").alias("provider"), F.lit("").alias("kind"), F.lit("").alias("bucket")).limit(0)
+    which = F.coalesce(*[F.when(F.col("host").rlike(c["host"]), F.struct(F.lit(i).alias("i"), F.lit(c["provider"]).alias("provider"), F.lit(c["kind"]).alias("kind"))) for i, c in enumerate(pack)])
+    rows = rows.select("*", F.explode_outer(F.array(which)).alias("c")).where("c is not null")  # the explode keeps the many patterns from being copied
+    bucket = F.coalesce(*[F.when(F.col("c.i") == i, bucket_of(F.col("url"), F.col("host"), c["bucket"])) for i, c in enumerate(pack) if c.get("bucket")], F.lit(None).cast("string"))
+    rows = rows.select("file_id", "ord", "line", "source", "host", "c.provider", "c.kind", bucket.alias("bucket"))
     w = Window.partitionBy("file_id", "host", "bucket").orderBy("ord", "line")
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "ord")
 
@@ -158,18 +184,21 @@ def environment_tag(host: Column, config: dict[str, Any]) -> Column:
 
 
 def leaked_hosts(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
-    """Hosts other than the site itself and cloud hosts: file_id, host, relation, env, n_sources, first_line."""
+    """Hosts other than the site itself and cloud hosts: file_id, host, relation, env, n_sources, first_line, sources.
+
+    sources are the mentions (line, source) of one file, each once, in order.
+    """
     blank_mail = F.regexp_replace("text", r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", " ")
     urls = collected_urls(parsed).where("source <> 'comment'").select("file_id", "line", "source", F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"))
     said = P.comments(parsed).withColumn("t", blank_mail).select("file_id", "line", F.lit("comment").alias("source"), F.explode_outer(F.array_distinct(F.concat(F.transform(extract_urls(F.col("t")), url_host), extract_hostnames(F.col("t"))))).alias("host")).where("host is not null")
     mentions = urls.unionByName(said).where("host is not null and host <> ''")
     cloud = "|".join(f"(?:{c['host']})" for c in config.get("cloud", [])) or r"(?!)"
     sites = parsed.select("file_id", url_host(F.col("site_url")).alias("site")) if "site_url" in parsed.columns else parsed.select("file_id", F.lit(None).cast("string").alias("site"))
-    per_host = mentions.where(~F.col("host").rlike(cloud)).groupBy("file_id", "host").agg(F.countDistinct("line", "source").alias("n_sources"), F.min("line").alias("first_line"))
+    per_host = mentions.where(~F.col("host").rlike(cloud)).groupBy("file_id", "host").agg(F.array_sort(F.collect_set(F.struct("line", "source"))).alias("sources")).withColumns({"n_sources": F.size("sources").cast("long"), "first_line": F.array_min(F.transform("sources", lambda x: x["line"]))})
     rows = per_host.join(sites, "file_id").where(F.col("site").isNull() | (strip_www(F.col("host")) != strip_www(F.col("site"))))
     relation = F.when(is_ipv4(F.col("host")), "ip").when(root_domain(F.col("host")) == root_domain(F.col("site")), "subdomain").otherwise("external")
     env = F.when(is_ipv4(F.col("host")), F.when(is_private_ip(F.col("host")), F.lit("private address"))).otherwise(environment_tag(F.col("host"), config))
-    return rows.select("file_id", "host", relation.alias("relation"), env.alias("env"), "n_sources", "first_line")
+    return rows.select("file_id", "host", relation.alias("relation"), env.alias("env"), "n_sources", "first_line", "sources")
 
 
 def environment_paths(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
@@ -191,7 +220,7 @@ def api_endpoints(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
 def data_feeds(parsed: DataFrame, config: dict[str, Any]) -> DataFrame:
     d = config["data"]
     rows = P.effective_rules(parsed).where(~is_absolute_url(F.col("path"))).withColumns({"segs": segments(F.col("path")), "plain": plain_path(F.col("lower"))})
-    is_feed = F.exists("segs", lambda s: s.rlike(d["feed_words"])) | (F.substring_index("plain", "?", 1).rlike(d["feed_file"]) & (F.col("plain").rlike(d["feed_hint"]) | F.col("lower").rlike(r"\*\.(xml|csv|json|rss|atom)\$?\z")))
+    is_feed = F.exists("segs", lambda s: s.rlike(d["feed_words"])) | (F.substring_index("plain", "?", 1).rlike(d["feed_file"]) & (F.col("plain").rlike(d["feed_hint"]) | F.col("lower").rlike(d["feed_file_wildcard"])))
     kind = F.coalesce(_first_case(F.col("lower"), [(x["pattern"], F.lit(x["label"])) for x in d["feed_kind"]]), F.lit("feed"))
     return _first_per(rows.where(is_feed).withColumn("kind", kind), "path").select("file_id", "path", "line", "kind")
 
@@ -251,27 +280,49 @@ def tech_hints(exts: DataFrame) -> DataFrame:
 # -- comments ------------------------------------------------------------------------------------------------------
 
 
-def mined_comments(comments: DataFrame, config: dict[str, Any]) -> DataFrame:
-    """Metadata in comments (file_id, line, text): file_id, line, kind, value; each kind and value of a line once.
+#: kinds of metadata in the order of a report (fixed order)
+COMMENT_KINDS = ("email", "person", "ticket", "date", "ip", "url", "vendor", "note")
 
-    Kinds: email, ticket, date, ip, url, vendor and note (the first note word of a comment).
-    """
-    m = config["comments"]
-    several = {k: F.regexp_extract_all("text", F.lit(("(?U)" if k != "vendor" else "") + m[k]), F.lit(1)) for k in ("email", "ticket", "date", "ip", "vendor")} | {"url": extract_urls(F.col("text"))}
-    note = F.coalesce(*[F.when(F.contains(F.lower("text"), F.lit(w)), F.lit(w)) for w in m["notes"]])
-    tagged = [_tag(k, v) for k, v in several.items()] + [F.when(note.isNotNull(), F.array(F.named_struct(F.lit("kind"), F.lit("note"), F.lit("value"), note))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))]
-    return comments.select("file_id", "line", F.explode_outer(F.concat(*tagged)).alias("c")).where("c is not null").select("file_id", "line", "c.kind", "c.value").withColumn("k", F.lower("value")).groupBy("file_id", "line", "kind", "k").agg(F.min("value").alias("value")).drop("k")
 
+def mined_comments(comments: DataFrame, config: dict[str, Any], today: Column | None = None) -> DataFrame:
+    """Metadata in comments (file_id, line, text): file_id, line, kind, value, remark; each kind and value of a line once.
 
-def _tag(kind: str, values: Column) -> Column:
-    return F.transform(values, lambda x: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("value"), x))
+    Kinds: email, person (a name behind a word for authors, unless an address begins there), ticket (keys and numbers
+    behind a word for tickets), date (in digits or words), ip, url, vendor, and note (the first note word only).
+    remark: how far a date lies from `today`, whether an address is private; else null.
+    """
+    m = config["comments"]
+    every = lambda k: F.regexp_extract_all("text", F.lit("(?U)" + m[k] if k in ("email", "ticket", "date", "ip") else m[k]), F.lit(1))
+    allowed = lambda values, k: F.filter(values, lambda x: ~x.rlike(m[k]))
+    day = lambda x: F.try_to_date(F.replace(x, F.lit("/"), F.lit("-")), "yyyy-MM-dd")
+    remark = lambda d: date_note(d, today) if today is not None else F.lit(None)
+    none = lambda x: F.lit(None)
+    tagged = [
+        _tag("email", every("email"), none),
+        _tag("person", allowed(every("person"), "person_deny"), none),
+        _tag("ticket", F.concat(allowed(every("ticket"), "ticket_deny"), every("ticket_word")), none),
+        _tag("date", every("date"), lambda x: remark(day(x))),
+        _tag("date", every("slash_date"), none),
+        _tag("date", every("text_date"), lambda x: remark(text_date(x))),
+        _tag("ip", every("ip"), lambda x: F.when(is_private_ip(x), F.lit("private")).otherwise("public")),
+        _tag("url", extract_urls(F.col("text")), none),
+        _tag("vendor", every("vendor"), none),
+        _tag("note", F.transform(F.slice(every("notes"), 1, 1), F.lower), none),
+    ]
+    rows = comments.select("file_id", "line", F.explode_outer(F.concat(*tagged)).alias("c")).where("c is not null").select("file_id", "line", "c.kind", F.trim("c.value").alias("value"), "c.remark")
+    per = rows.withColumn("k", F.lower("value")).groupBy("file_id", "line", "kind", "k").agg(F.min(F.struct("value", "remark")).alias("v"))
+    return per.select("file_id", "line", "kind", "v.value", "v.remark")
+
+
+def _tag(kind: str, values: Column, remark) -> Column:
+    return F.transform(values, lambda x: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("value"), x, F.lit("remark"), remark(x).cast("string")))
 
 
 def date_note(date: Column, today: Column) -> Column:
     """Years ahead or old for dates more than a year away, days for those ahead, else nothing."""
     days = F.datediff(date, today)
     return (
-        F.when(days > 365, F.concat(F.lit("in "), F.round(days / 365.25).cast("int"), F.lit(" years"))).when(days > 0, F.concat(F.lit("in "), days, F.lit(" days"))).when(days < -365, F.concat(F.round(-days / 365.25).cast("int"), F.lit(" years old")))
+        F.when(days > 365, F.concat(F.lit("in "), F.round(days / 365.0).cast("int"), F.lit(" years"))).when(days > 0, F.concat(F.lit("in "), days, F.lit(" days"))).when(days < -365, F.concat(F.round(-days / 365.0).cast("int"), F.lit(" years old")))
     )
 
 
@@ -279,11 +330,12 @@ _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 
 def text_date(text: Column) -> Column:
-    """Date in words: the last four-digit number, the first month in calendar order, the first day of 1..31 (default 1)."""
+    """Date in words: the last four-digit number, the first month in calendar order, the first number of one or two digits if it is a day (else 1)."""
     year = F.try_element_at(F.regexp_extract_all(text, F.lit(r"\b(\d{4})\b"), F.lit(1)), F.lit(-1)).cast("int")
     month = F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(m)), F.lit(i + 1)) for i, m in enumerate(_MONTHS)])
     days = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{1,2})\b"), F.lit(1)), lambda x: x.cast("int"))
-    day = F.coalesce(F.get(F.filter(days, lambda d: d.between(1, 31)), F.lit(0)), F.lit(1))
+    first = F.get(days, F.lit(0))
+    day = F.when(first.between(1, 31), first).otherwise(1)
     return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day)) if hasattr(F, "try_to_date") else F.to_date(F.format_string("%04d-%02d-%02d", year, month, day))
 
 
@@ -296,10 +348,20 @@ def recon_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def recon(parsed: DataFrame, config: dict[str, Any]) -> dict[str, DataFrame]:
-    """Every recon table of the files, by name."""
-    return {
-        "platforms": platform_scores(parsed, config), "generators": generators(parsed, config), "cloud": cloud_assets(parsed, config), "hosts": leaked_hosts(parsed, config), "env_paths": environment_paths(parsed, config),
-        "apis": api_endpoints(parsed, config), "feeds": data_feeds(parsed, config), "portals": portals(parsed, config), "search": search_paths(parsed, config), "parameters": parameters(parsed, config),
-        "extensions": extensions(parsed, config), "comments": mined_comments(P.comments(parsed), config),
+#: switch of the rule pack's [recon] table -> the tables that it turns off
+RECON_PARTS = {
+    "platform": ("platforms",), "generators": ("generators",), "cloud": ("cloud",), "hosts": ("hosts", "env_paths"), "apis": ("apis",), "data": ("feeds", "portals", "search", "parameters"), "extensions": ("extensions",), "comments": ("comments",),
+}
+
+
+def recon(parsed: DataFrame, config: dict[str, Any], today: Column | None = None) -> dict[str, DataFrame]:
+    """Every recon table of the files that the pack's switches leave on, by name; `checks.recon` turns all off."""
+    build = {
+        "platforms": lambda: platform_scores(parsed, config), "generators": lambda: generators(parsed, config), "cloud": lambda: cloud_assets(parsed, config), "hosts": lambda: leaked_hosts(parsed, config),
+        "env_paths": lambda: environment_paths(parsed, config), "apis": lambda: api_endpoints(parsed, config), "feeds": lambda: data_feeds(parsed, config), "portals": lambda: portals(parsed, config),
+        "search": lambda: search_paths(parsed, config), "parameters": lambda: parameters(parsed, config), "extensions": lambda: extensions(parsed, config), "comments": lambda: mined_comments(P.comments(parsed), config, today),
     }
+    if not config["checks"].get("recon", True):
+        return {}
+    off = {t for k, tables in RECON_PARTS.items() if not config.get("recon", {}).get(k, True) for t in tables}
+    return {name: make() for name, make in build.items() if name not in off}

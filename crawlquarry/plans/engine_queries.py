@@ -6,15 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crawlquarry import config as C
-from crawlquarry.functions.messages import worded
-from crawlquarry.functions.presentation import rendered
-from crawlquarry.functions.text import body_hash, normalise_encoding, sample_path
+from crawlquarry.analysis import analyze
+from crawlquarry.functions.messages import outcome_sentences, worded
+from crawlquarry.functions.text import body_hash, date_of, normalise_encoding, sample_path
 from crawlquarry.operators import diff as D
 from crawlquarry.operators import findings as G
 from crawlquarry.operators import match as M
 from crawlquarry.operators import parse as P
 from crawlquarry.operators import recon as R
 from crawlquarry.operators import rollup as U
+from crawlquarry.operators.track import flips_in
 from crawlquarry.plans import engine_sql, engine_sql_more
 from crawlquarry.session import table, written
 from crawlquarry.sources import io
@@ -81,16 +82,66 @@ def _summary(spark, d):
     parsed, config = _once_parsed(spark, d), C.load()
     platforms = R.primary_platform(R.platform_scores(parsed, config))
     verdicts = M.crawler_verdicts(parsed, table(spark, d, "crawlers"))
-    return parsed, verdicts, U.report_summary(parsed, G.syntax_findings(parsed), R.sensitive_paths(parsed, config, platforms), verdicts, M.star_policy(parsed), platforms, "ai_training")
+    return U.report_summary(parsed, G.syntax_findings(parsed), R.sensitive_paths(parsed, config, platforms), verdicts, M.star_policy(parsed), platforms, "ai_training")
 
 
 def report_summary(spark, d):
-    return _summary(spark, d)[2]
+    return _summary(spark, d)
+
+
+def _analysis(spark, d):
+    return analyze(P.files_of_fetches(table(spark, d, "fetches")), table(spark, d, "crawlers"), once=True)
 
 
 def markdown_reports(spark, d):
-    parsed, verdicts, summary = _summary(spark, d)
-    return rendered(U.nested_report(parsed, summary, G.syntax_findings(parsed), verdicts, R.sensitive_paths(parsed, C.load()))).select("file_id", "markdown")
+    return _analysis(spark, d).report.select("file_id", "markdown")
+
+
+def ai_cards(spark, d):
+    cards = U.ai_cards(_verdicts(spark, d), AI, C.load()["crawlers"]["labels"])
+    return cards.select("file_id", "headline", "callout", "callout_text", F.size("groups").alias("n_groups"))
+
+
+def tagged_sheets(spark, d):
+    """Every row of the four tabs, as uniform cells of text."""
+    return U.tagged(_analysis(spark, d).tabs)
+
+
+def tab_lines(spark, d):
+    return U.tab_tsv(_analysis(spark, d).tabs, "all")
+
+
+def security_categories(spark, d):
+    parsed, config = _once_parsed(spark, d), C.load()
+    return R.security_categories(R.sensitive_paths(parsed, config, R.primary_platform(R.platform_scores(parsed, config))), config)
+
+
+def security_changes(spark, d):
+    """Sensitive paths that are new in a delivery, or no longer in it."""
+    old, new = _versions(spark, d)
+    return _by_run(D.security_changes(*(R.sensitive_paths(P.parse(x), C.load()) for x in (old, new))))
+
+
+def high_impact(spark, d):
+    """Pairs of deliveries with a verdict flip, a new path of high severity or a new error."""
+    old, new = (written(P.parse(x)) for x in _versions(spark, d))
+    crawlers, config = table(spark, d, "crawlers"), C.load()
+    flips = D.verdict_flips(M.crawler_verdicts(old, crawlers), M.crawler_verdicts(new, crawlers))
+    paths, found = [R.sensitive_paths(x, config) for x in (old, new)], [G.syntax_findings(x) for x in (old, new)]
+    return D.high_impact(flips, D.security_changes(*paths), D.issue_changes(*found), paths[1], found[1]).select("file_id.file_id", "file_id.prev_run_no", "file_id.run_no")
+
+
+def domains_of_sites(spark, d):
+    """The watched sites as a domain list: cells of a CSV line, `#` lines and repeats left out."""
+    lines = table(spark, d, "sites").select(F.concat_ws(",", F.coalesce("name", F.lit("")), "domain").alias("line"), F.xxhash64("domain").alias("ord"))
+    return io.domain_list(lines.unionByName(lines).unionByName(lines.select(F.concat(F.lit("# "), "line").alias("line"), "ord"))).select("domain")
+
+
+def dates_in_documents(spark, d):
+    """Dates in words in the documents, as days; the day at the start of created_at."""
+    docs = table(spark, d, "documents")
+    words = F.explode(F.regexp_extract_all("text", F.lit(C.load()["comments"]["text_date"]), F.lit(1)))
+    return docs.select("doc_id", words.alias("t")).select("doc_id", "t", R.text_date(F.col("t")).alias("day")).unionByName(docs.where("created_at is not null").select("doc_id", F.lit("created").alias("t"), date_of(F.col("created_at").cast("string")).alias("day"))).distinct()
 
 
 def _deliveries(spark, d):
@@ -219,7 +270,7 @@ QUERIES = {
     "checked_access": checked_access,
     "syntax_findings": _over(G.syntax_findings),
     "seo_findings": _over(G.seo_findings),
-    "sitemap_findings": _over(G.sitemap_findings),
+    "sitemap_findings": lambda s, d: G.sitemap_findings(_parsed(s, d)).select("file_id", "line", "id", "level"),
     "fetch_findings": fetch_findings,
     "fetch_status_findings": lambda s, d: fetch_findings(s, d).where("id in ('fetch.warn.serverError', 'fetch.warn.rateLimited', 'fetch.warn.forbidden')").select("file_id", "id"),
     "finding_counts": finding_counts,
@@ -248,7 +299,24 @@ QUERIES = {
     "file_sizes": _over(U.file_sizes),
     "report_summary": report_summary,
     "markdown_reports": markdown_reports,
-    "recommended_actions": lambda s, d: U.actions(_findings(s, d)),
+    "recommended_actions": lambda s, d: _analysis(s, d).actions,
+    "ai_cards": ai_cards,
+    "worst_levels": lambda s, d: U.worst(_findings(s, d)),
+    "line_notes": lambda s, d: U.line_notes(_findings(s, d)),
+    "tagged_sheets": tagged_sheets,
+    "tab_lines": tab_lines,
+    "summary_texts": lambda s, d: _analysis(s, d).summary_text,
+    "crawl_records": lambda s, d: _analysis(s, d).records,
+    "security_categories": security_categories,
+    "security_changes": security_changes,
+    "high_impact": high_impact,
+    "tech_hints": lambda s, d: R.tech_hints(R.extensions(_parsed(s, d), C.load())),
+    "platform_evidence": _with_pack(R.platform_evidence),
+    "outcome_sentences": lambda s, d: outcome_sentences(M.rule_outcomes(_parsed(s, d))).select("file_id", "group_id", "line", "sentence"),
+    "probe_plan": lambda s, d: io.probe_plan(table(s, d, "sites"), table(s, d, "crawlers")),
+    "domains_of_sites": domains_of_sites,
+    "dates_in_documents": dates_in_documents,
+    "ai_flips": lambda s, d: flips_in(semantic_flips(s, d), "ai_training"),
     "crawl_summary": lambda s, d: U.crawl_summary(table(s, d, "audit_records")),
     "enabled_sites": lambda s, d: io.enabled_sites(table(s, d, "sites")).select("domain", "name", "category"),
     "semantic_flags": semantic_flags,

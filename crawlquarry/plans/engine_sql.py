@@ -127,10 +127,6 @@ SQL = {
     "search_parameters": BASE + RULE_PATHS + r"""select file_id, name, case when name in ('q', 'query', 's', 'search', 'keyword', 'keywords', 'term') then 'search' when name in ('sort', 'order', 'filter', 'page', 'color', 'size', 'price', 'limit', 'view', 'dir') then 'filter'
       when regexp_matches(name, '^(utm_[a-z]+|gclid|fbclid|ref|__ref|sid|sessionid|affiliate|campaign)$') then 'tracking' else 'other' end as role, list(line order by line) as lines
       from (select file_id, line, unnest(list_filter(list_transform(string_split(query, '&'), lambda p: split_part(p, '=', 1)), lambda n: regexp_matches(n, '^[A-Za-z0-9_\[\]-]+$'))) as name from paths where query is not null) group by 1, 2""",
-    "generators": BASE + rf"""select file_id, generator, min(line) as line, arg_min(text, line) as text from (
-      select file_id, line, text, unnest(list_filter([case when regexp_matches(lower(text), 'yoast') then 'Yoast SEO' end, case when regexp_matches(lower(text), 'generated (by|with|on)?|generator') then 'generic generator' end,
-        case when regexp_matches(lower(text), '\bbuild\b|^rev ') then 'build stamp' end, case when regexp_matches(lower(text), 'cache key|served from cache') then 'page cache' end], lambda x: x is not null)) as generator
-      from (select file_id, line, substr({trim('substr(comment, 2)')}, 1, 2000) as text from lines where comment is not null and {trim('substr(comment, 2)')} <> '')) group by 1, 2""",
     "change_history": r"""with o as (
       select distinct on (fetch_id) domain, observed_at, fetch_id as obs_id, status, text as body, content_type from fetches where fetch_id is not null
     ), p as (

@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 
 from crawlquarry import config as C
+from crawlquarry.functions.text import SECOND_LEVEL
 from crawlquarry.plans.engine_sql import _DIRECTIVES, _STRIP, BASE, RULE_PATHS, SP, base, trim
 
 PACK = C.load()
@@ -64,6 +65,13 @@ _KEY = "{0}.file_id.file_id as file_id, {0}.file_id.prev_run_no as prev_run_no,
 _OTHER_SIDE = "{1}.file_id.file_id = {0}.file_id.file_id and {1}.file_id.prev_run_no = {0}.file_id.prev_run_no and {1}.file_id.run_no = {0}.file_id.run_no and {1}.file_id.side <> {0}.file_id.side"
 
 
+def root(host: str) -> str:
+    """The last two labels, three behind a listed second-level suffix."""
+    listed = ", ".join(text(x) for x in SECOND_LEVEL)
+    last = lambda n: f"array_to_string(string_split({host}, '.')[-{n}:], '.')"
+    return f"case when len(string_split({host}, '.')) <= 2 then {host} when {last(2)} in ({listed}) then {last(3)} else {last(2)} end"
+
+
 def first_case(column: str, entries: list[tuple[str, str]], otherwise: str = "null") -> str:
     return "case " + " ".join(f"when regexp_matches({column}, {text(p)}) then {v}" for p, v in entries) + f" else {otherwise} end"
 
@@ -159,7 +167,8 @@ SQL = {
       from normal_asked q join of_token r on r.file_id = q.file_id and r.token = q.token where q.n like r.pat escape '\' group by 1, 2, 3
     )
     select q.file_id, cast(q.group_id as int) as group_id, q.line, q.type, q.rule_path, q.path, case when b.b is null then 'open' when b.b.type = 'allow' then 'allowed' else 'blocked' end as state,
-           case when q.token <> '*' then 'named' when o.file_id is not null then 'default' else 'all' end as audience, b.b.line as decided_by
+           case when q.token <> '*' then 'named' when o.file_id is not null then 'default' else 'all' end as audience, b.b.line as decided_by,
+           case when q.token <> '*' then (select list(a.raw order by a.line) from agents a where a.file_id = q.file_id and a.group_id = q.group_id and a.token <> '') else [] end as names
     from normal_asked q left join best b on b.file_id = q.file_id and b.group_id = q.group_id and b.line = q.line left join others o on o.file_id = q.file_id""",
     "cleaned_paths": BASE
     + rf""", params as (
@@ -190,6 +199,64 @@ SQL = {
       select *, {first_case("low", [(x["pattern"], text(x["label"])) for x in _D["feed_kind"]], "'feed'")} as kind from paths
       where len(list_filter(segs, lambda s: regexp_matches(s, {text(_D["feed_words"])}))) > 0
          or (regexp_matches(split_part(plain, '?', 1), {text(_D["feed_file"])}) and (regexp_matches(plain, {text(_D["feed_hint"])}) or regexp_matches(low, '\*\.(xml|csv|json|rss|atom)\$?$')))) group by 1, 2""",
+    "tech_hints": BASE
+    + rf""", kinds(ext, label, category, risk, tech) as (values {_EXTS}), found as (select file_id, unnest({_EXT_LIST}) as ext from rules where path <> '')
+    select file_id, list_sort(list(distinct tech)) as tech from found join kinds using (ext) where tech is not null group by 1""",
+    "security_categories": BASE
+    + PLATFORMS
+    + SECURITY
+    + rf""", info(ord, category, label, advice) as (values {", ".join(f"({i}, {text(c['id'])}, {text(c['label'])}, {text(c['advice'])})" for i, c in enumerate(PACK["security"]["category"]))})
+    select s.file_id, i.ord, s.category, i.label, i.advice, count(*) as n from security s join info i using (category) group by all""",
+    "platform_evidence": BASE
+    + PLATFORMS
+    + r""", of_rules as (
+      select r.file_id, p.platform, r.line, 'rule' as source, case when bool_or(p.strength = 'strong') then 'strong' else 'weak' end as strength, r.path as text
+      from rules r join pack p on r.path <> '' and regexp_matches(lower(r.path), p.pattern) group by r.file_id, p.platform, r.line, r.path
+    ), notes as (select file_id, line, comment_text as text from (select file_id, line, substr(TRIMMED, 1, 2000) as comment_text from lines where comment is not null) where comment_text <> '')
+    select * from of_rules union all select n.file_id, p.platform, n.line, 'comment', 'comment', n.text from notes n join said_pack p on regexp_matches(lower(n.text), p.pattern)""".replace("TRIMMED", trim("substr(comment, 2)")),
+    "ai_cards": BASE
+    + f""", per as (
+      select file_id, category, count(*) filter (verdict = 'blocked') as blocked, count(*) filter (verdict = 'partial') as partial, count(*) as total, bool_or(specific) as named, string_agg(crawler, ', ' order by ord) filter (verdict <> 'blocked') as listed
+      from verdicts where category in ('ai_training', 'ai_assistant') group by 1, 2
+    ), training as (select * from per where category = 'ai_training')
+    select f.file_id, coalesce(string_agg(case p.category when 'ai_training' then {text(PACK["crawlers"]["labels"]["ai_training"])} else {text(PACK["crawlers"]["labels"]["ai_assistant"])} end || ': ' || p.blocked || ' of ' || p.total || ' blocked', ' · ' order by p.category desc), '') as headline,
+      any_value(case when t.file_id is null then 'info' when t.blocked = t.total then 'ok' when t.blocked + t.partial = 0 then 'info' when t.blocked = 0 and not t.named then 'info' else 'warning' end) as callout,
+      any_value(case when t.file_id is null then 'No crawler of this kind is known.' when t.blocked = t.total then 'All of them are blocked.' when t.blocked + t.partial = 0 then 'None of them is restricted.' when t.blocked = 0 and not t.named then 'None of them is named.' else 'Not blocked: ' || coalesce(t.listed, '') end) as callout_text,
+      count(p.category) as n_groups
+    from files f left join per p on p.file_id = f.file_id left join training t on t.file_id = f.file_id group by 1""",
+    "ai_flips": _VERSIONS
+    + f"""select {_KEY.format("x")}, x.crawler, y.category, x.verdict as old_verdict, y.verdict as new_verdict from verdicts x join verdicts y on y.crawler = x.crawler and {_OTHER_SIDE.format("x", "y")}
+      where x.file_id.side = 'a' and x.verdict <> y.verdict and y.category = 'ai_training'""",
+    "probe_plan": "select s.domain, c.crawler, c.ua from sites s, (select name as crawler, ua from crawlers where ua is not null and ua <> '' union all select null, 'Mozilla/5.0') c where s.domain is not null",
+    "domains_of_sites": rf"select distinct d as domain from (select lower({trim('domain')}) as d, coalesce(name, '') as name from sites where domain is not null) where contains(d, '.') and not contains(d, '/') and not starts_with(ltrim(name), '#')",
+    "security_changes": _VERSIONS
+    + rf""", judged_paths as (
+      select file_id, path, {first_case("p", _signatures())} as s
+      from (select *, regexp_replace(lower(path), '\$$', '') as p from rules where type = 'disallow' and path <> '' and not regexp_matches(path, '^/\**$')) where not regexp_matches(p, {text(_IGNORED)})
+    ), found as (select file_id, path, s.category as category from judged_paths where s is not null)
+    select {_KEY.format("x")}, x.path, x.category, case when x.file_id.side = 'b' then 'new' else 'resolved' end as side from found x
+    where not exists (select 1 from found y where y.path = x.path and y.category = x.category and {_OTHER_SIDE.format("x", "y")})""",
+    "sitemap_findings": BASE
+    + rf""", m0 as (
+      select l.file_id, l.line as n, f.site_url as site, lower(split_part(l.value, ':', 1)) as scheme, lower(regexp_extract(l.value, '(?i)^https?://(?:[^/?#@\s]*@)?([^/?#:@\s]+|\[[0-9A-Fa-f:.]+\])', 1)) as host,
+             regexp_extract(l.value, '(?i)^https?://[^/?#]*?:([0-9]+)(?:[/?#]|$)', 1) as port, regexp_replace(regexp_replace(l.value, '(?i)^https?:/*[^/?#]*', ''), '^$', '/') as rest,
+             lower(regexp_extract(f.site_url, '(?i)^https?://(?:[^/?#@\s]*@)?([^/?#:@\s]+|\[[0-9A-Fa-f:.]+\])', 1)) as site_host
+      from lines l join files f using (file_id) where l.kind = 'sitemap' and regexp_matches(l.value, '(?i)^https?:/{{0,2}}[^/\s?#\<>^|]+[^\s]*$')
+    ), m1 as (
+      select *, case when host <> '' then scheme || '://' || host || case when port = '' or (scheme = 'http' and port = '80') or (scheme = 'https' and port = '443') then '' else ':' || port end || case when starts_with(rest, '/') then rest else '/' || rest end end as url from m0
+    ), m2 as (
+      select *, case when url is not null then min(n) over (partition by file_id, url) end as first, regexp_matches(lower(site), '^https?://') and site_host <> '' and host <> '' as judge, regexp_replace(host, '^www\.', '') as bare, regexp_replace(site_host, '^www\.', '') as site_bare from m1
+    ), m3 as (select *, {root("bare")} as root, {root("site_bare")} as site_root from m2)
+    select file_id, n as line, id, level from (
+      select file_id, n, 'sitemap.duplicate' as id, 'info' as level from m3 where first < n
+      union all select file_id, n, 'sitemap.protocolMismatch', 'warning' from m3 where not coalesce(first < n, false) and judge and starts_with(lower(site), 'https:') and starts_with(url, 'http:')
+      union all select file_id, n, 'sitemap.httpsOnHttp', 'info' from m3 where not coalesce(first < n, false) and judge and starts_with(lower(site), 'http:') and starts_with(url, 'https:')
+      union all select file_id, n, case when site_root <> root then 'sitemap.crossDomain' else 'sitemap.otherSubdomain' end, case when site_root <> root then 'warning' else 'info' end from m3 where not coalesce(first < n, false) and judge and bare <> site_bare
+    )""",
+    "generators": BASE
+    + rf""", pack(generator, pattern) as (values {", ".join(f"({text(g['name'])}, {text('|'.join(f'(?:{x})' for x in g['comments']))})" for g in PACK["generator"])}),
+    notes as (select file_id, line, substr({trim("substr(comment, 2)")}, 1, 2000) as text from lines where comment is not null and {trim("substr(comment, 2)")} <> '')
+    select file_id, generator, min(line) as line, arg_min(text, line) as text from notes join pack on regexp_matches(lower(text), pattern) group by 1, 2""",
     "fetch_findings_levels": "",
     "body_hashes": BASE
     + """select file_id, case when text = '' then '' else lower(lpad(to_hex(cast(list_reduce(list_prepend(cast(14695981039346656037 as uhugeint), list_transform(regexp_extract_all(hex(encode(text)), '..'),

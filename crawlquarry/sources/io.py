@@ -10,10 +10,11 @@ from pathlib import Path
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlquarry.functions.text import trim_space
+from crawlquarry.operators.findings import looks_like_html
 
 BODY_CAP = 512 * 1024
 MOST_REDIRECTS = 5
@@ -80,10 +81,26 @@ def enabled_sites(sites: DataFrame) -> DataFrame:
     return sites.withColumn("enabled", F.coalesce("enabled", F.lit(True))).where("enabled and domain is not null")
 
 
+META_DDL = "domain string, robots_url string, final_url string, http_status int, bytes long, fetched_at string, redirects int, unavailable boolean, html boolean"
+MOST_CRAWLERS = 2_000
+
+
+def meta_of_fetch() -> Column:
+    """The meta.json of a fetch."""
+    page = looks_like_html(F.coalesce("text", F.lit("")))
+    usable = F.coalesce(F.col("status").between(200, 299), F.lit(False)) & ~F.coalesce("redirect_limit", F.lit(False))
+    return F.struct(
+        "domain", "robots_url", "final_url", F.col("status").cast("int").alias("http_status"), F.col("bytes").cast("long").alias("bytes"), F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fetched_at"),
+        F.size("redirects").alias("redirects"), (~usable).alias("unavailable"), page.alias("html"),
+    )
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """A store of <domain>/robots.txt: domain, text."""
-    df = spark.read.text(path, wholetext=True, pathGlobFilter="robots.txt", recursiveFileLookup=True)
-    return df.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("domain"), F.col("value").alias("text"))
+    """A store of <domain>/robots.txt and <domain>/meta.json: domain, text, meta (null without a readable meta.json)."""
+    site = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("domain")
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter="robots.txt", recursiveFileLookup=True).select(site, F.col("value").alias("text"))
+    notes = spark.read.text(path, wholetext=True, pathGlobFilter="meta.json", recursiveFileLookup=True).select(site, F.from_json("value", META_DDL).alias("meta"))
+    return texts.join(notes, "domain", "left")
 
 
 def write_snapshots(snapshots: DataFrame, path: str) -> None:
@@ -96,6 +113,29 @@ def write_dataset(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
+def write_store(snapshots: DataFrame, path: str) -> None:
+    """domain, text, meta as <domain>/robots.txt and <domain>/meta.json, written by the executors; path is a shared folder."""
+
+    def each(rows) -> None:
+        for r in rows:
+            folder = Path(path) / r["domain"]
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / "robots.txt").write_text(r["text"] or "", encoding="utf-8")
+            if r["meta"]:
+                (folder / "meta.json").write_text(r["meta"], encoding="utf-8")
+
+    snapshots.select("domain", "text", F.to_json("meta").alias("meta")).foreachPartition(each)
+
+
+def write_texts(texts: DataFrame, path: str, column: str = "text") -> None:
+    """Reports (markdown, html, json, summaries) as text, one report after the other in each part file."""
+    texts.select(F.col(column).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """The few rows of a summary as one pretty JSON object."""
     out: dict = {}
@@ -173,6 +213,18 @@ def fetch_domains(domains: DataFrame, agent: str, timeout: float = 10.0, paralle
     return domains.select("domain").repartition(parallelism).mapInPandas(work, FETCH_DDL)
 
 
+def probe_plan(sites: DataFrame, crawlers: DataFrame, browser: str = "Mozilla/5.0") -> DataFrame:
+    """The fetches that an access check needs: every site as a browser (crawler null) and as every crawler with a user agent.
+
+    The crawlers are a fixed list, so they go along in each row and are exploded there.
+    """
+    agents = [(r["name"], r["ua"]) for r in crawlers.where("ua is not null and ua <> ''").orderBy("ord").limit(MOST_CRAWLERS + 1).collect()]
+    if len(agents) > MOST_CRAWLERS:
+        raise ValueError(f"more than {MOST_CRAWLERS} crawlers: the dimension is meant to be a fixed list")
+    one = lambda name, ua: F.struct(F.lit(name).cast("string").alias("crawler"), F.lit(ua).alias("ua"))
+    return sites.where("domain is not null").select("domain", F.explode(F.array(one(None, browser), *(one(n, u) for n, u in agents))).alias("p")).select("domain", "p.crawler", "p.ua")
+
+
 def access_probe(baseline: DataFrame, probed: DataFrame) -> DataFrame:
     """Answers to each crawler's name against the baseline of a domain: same, status differs or body differs."""
     base = baseline.select("domain", F.col("status").alias("s0"), F.coalesce("text", F.lit("")).alias("t0"))
@@ -181,8 +233,13 @@ def access_probe(baseline: DataFrame, probed: DataFrame) -> DataFrame:
     return joined.select("domain", "crawler", "status", result.alias("result"))
 
 
-def notify(changes: DataFrame, default_url: str | None = None, post: Callable[[str, bytes], None] | None = None) -> None:
-    """POST {text, content} for every change (text, webhook_url); off unless an address is given.  A site's own address wins."""
+def notify(changes: DataFrame, default_url: str | None = None, post: Callable[[str, bytes], None] | None = None, high_impact: DataFrame | None = None) -> None:
+    """POST {text, content} for every change (text, webhook_url); off unless an address is given.  A site's own address wins.
+
+    high_impact (file_id): only the changes of these files.
+    """
+    if high_impact is not None:
+        changes = changes.join(high_impact.select("file_id").distinct(), "file_id", "left_semi")
 
     def send(url: str, body: bytes) -> None:
         urllib.request.urlopen(urllib.request.Request(url, data=body, headers={"Content-Type": "application/json"}), timeout=10).close()

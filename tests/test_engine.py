@@ -242,7 +242,8 @@ def test_messages_and_reports(spark):
     assert "`parser.pathNoSlash` (line 2)" in row["markdown"] and "<h1>" in row["html"] and '"schema_version":"1.0"' in row["json"]
     assert html_of("# a\n- `b`\n") .count("<li><code>b</code></li>") == 1
     assert U.actions(f).where("action = 'missing slashes'").count() == 1
-    assert U.tagged(U.tabs(p.withColumn("fetch", F.struct(F.lit(None).cast("string").alias("final_url"))), f, {"security": sec})).columns == ["sheet", "file", "c1", "c2", "c3", "c4", "c5"]
+    wide = U.tagged(U.tabs(p.withColumn("fetch", F.struct(F.lit(None).cast("string").alias("final_url"))), f, {"security": sec}) | {"wide": spark.range(1).selectExpr("id as file_id", *[f"{i} as x{i}" for i in range(9)])})
+    assert wide.columns == ["sheet", "file", *[f"c{i}" for i in range(1, 10)]] and wide.where("sheet = 'wide'").first()["c9"] == "8"
 
 
 def test_config():
@@ -259,3 +260,160 @@ def test_overrides(spark):
     f = G.syntax_findings(parsed(spark, "﻿"))
     got = G.with_overrides(f, ["parser.bom"], {"parser.noRules": "error"})
     assert ids(got, "id", "level") == [("parser.noRules", "error")]
+
+
+# -- one pass over each file ---------------------------------------------------------------------------------------
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_findings_and_reports_scan_and_parse_once(spark, tmp_path):
+    rows = [(i, "d", "https://site.example", 200, "text/plain", False, "User-agent: *\nDisallow: /wp-admin/\nSitemap: https://x.example/m.xml") for i in range(20)]
+    fetch = "fetch_id long, domain string, site_url string, status int, content_type string, redirect_limit boolean, text string"
+    more = {"source": "string", "robots_url": "string", "final_url": "string", "status_text": "string", "bytes": "long", "truncated": "boolean", "redirects": "array<struct<from_url:string,status:int,to_url:string>>", "headers": "struct<cache_control:string,expires:string,x_robots_tag:string,retry_after:string,vary:string,content_encoding:string>", "observed_at": "timestamp"}
+    df = spark.createDataFrame(rows, fetch).select("*", *[F.lit(None).cast(t).alias(c) for c, t in more.items()])
+    df.write.parquet(str(tmp_path / "fetches.parquet"))
+    files = P.files_of_fetches(spark.read.parquet(str(tmp_path / "fetches.parquet")))
+    config = C.load()
+    found = G.all_findings(P.parse(files), config["checks"], config["crawlers"]["legacy_tokens"])
+    assert plan_of(found).count("FileScan") == 1 and "Join" not in plan_of(found)
+    assert plan_of(found.groupBy("id").count()).count("FileScan") == 1
+    kinds = {r["kind"] for r in found.select("kind").distinct().collect()}
+    assert kinds == {"syntax", "sitemap"} or kinds >= {"sitemap"}
+
+
+def test_findings_in_one_pass_are_those_of_the_checks(spark):
+    p = parsed(spark, "\ufeffUser-agent: *\nDisallow: /A\nDisallow: /a*\nNoindex: /x\nSitemap: http://other.example/m.xml\nSitemap: http://other.example/m.xml", "", None, "User-agent:\nUser-agent: Loom\nDisallow: /robots.txt")
+    one = sorted(map(repr, G.all_findings(p, None, ["loom"]).collect()))
+    apart = G.syntax_findings(p).unionByName(G.seo_findings(p)).unionByName(G.sitemap_findings(p)).unionByName(G.legacy_bot_findings(p, ["loom"]))
+    assert one == sorted(map(repr, apart.collect()))
+    off = G.all_findings(p, {"seo_traps": False, "sitemaps": False})
+    assert sorted(map(repr, off.collect())) == sorted(map(repr, G.syntax_findings(p).collect()))
+
+
+def test_repeated_rows_are_dropped_narrowly(spark):
+    from crawlquarry.session import rows_once
+
+    df = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (2, "b", 0), (None, "c", 0), (3, None, 0)], "id long, t string, n int")
+    once = rows_once(df, "id")
+    assert sorted((r["id"], r["t"] or "") for r in once.collect()) == [(1, "a"), (2, "b"), (3, "")]
+    assert "Exchange" not in plan_of(rows_once(df.where("id = 1"), "id")) and rows_once(df.limit(0), "id").count() == 0
+
+
+def test_bit_tables(spark):
+    from crawlquarry.session import bit_table, in_table
+
+    some = spark.range(0, 5000, 7)
+    table, bits = bit_table(some, F.col("id"))
+    hits = {r["id"] for r in spark.range(5000).where(in_table(table, bits, F.col("id"))).collect()}
+    assert hits >= {r["id"] for r in some.collect()} and len(hits) < 1500
+    assert not any(bit_table(some.limit(0), F.col("id"))[0])
+
+
+# -- findings, comments, actions, cards ----------------------------------------------------------------------------
+
+
+def test_variants(spark):
+    p = parsed(spark, "User-agent:\nUser-agent: Loom\nDisallow: /a", "User-agent: *\nUser-agent: !!\nDisallow: /b", "User-agent:\nDisallow: /c", "<iframe src=x>", "<script>eval(1)</script>", "<a style='display:none' href=x>", "<marquee>")
+    got = ids(G.syntax_findings(p).where("id in ('parser.emptyUserAgent', 'parser.invalidToken', 'security.injectedCode')"), "file_id", "id", "variant")
+    assert got == [
+        (0, "parser.emptyUserAgent", "others"), (1, "parser.invalidToken", "star"), (2, "parser.emptyUserAgent", None), (3, "security.injectedCode", "iframe"), (4, "security.injectedCode", "script"), (5, "security.injectedCode", "hiddenLink"), (6, "security.injectedCode", "marquee"),
+    ]
+    assert "A User-agent line names nobody; its rules are those of Loom." in ids(worded(G.syntax_findings(p)), "message")
+
+
+def test_every_finding_is_worded(spark):
+    import inspect
+
+    named = set(re.findall(r'"((?:parser|seo|lint|sitemap|fetch\.warn|security)\.[A-Za-z]+)"', inspect.getsource(G)))
+    from crawlquarry.functions.messages import ENGLISH
+
+    assert len(named) > 70 and all(any(k == i or k.startswith(i + ".") for k in ENGLISH) for i in named), [i for i in named if not any(k == i or k.startswith(i + ".") for k in ENGLISH)]
+
+
+def test_comment_mining(spark):
+    c = spark.createDataFrame(
+        [(1, 1, "updated by Dave Miller on 12/31/2024, ticket #123 and CR-77, UTF-16"), (1, 2, "contact: dave@host.example, by jo@x.example"), (1, 3, "1 October 2027, Oct 2020, 2026-01-11"), (1, 4, "10.0.0.1 and 93.184.216.34 TODO fixme"), (1, 5, "by Google, thanks to Anna"), (1, 6, None), (1, 7, "")], "file_id long, line int, text string"
+    )
+    got = {(r["line"], r["kind"], r["value"]): r["remark"] for r in R.mined_comments(c, C.load(), F.to_date(F.lit("2026-01-01"))).collect()}
+    assert {(1, "person", "Dave Miller"), (1, "date", "12/31/2024"), (1, "ticket", "ticket #123"), (1, "ticket", "CR-77"), (2, "email", "dave@host.example"), (2, "email", "jo@x.example"), (5, "person", "Anna"), (4, "note", "todo")} <= set(got)
+    assert not [k for k in got if k[:2] in ((2, "person"),) or k[2] in ("UTF-16", "Google", "fixme")]
+    assert got[3, "date", "1 October 2027"] == "in 2 years" and got[3, "date", "Oct 2020"] == "5 years old" and got[3, "date", "2026-01-11"] == "in 10 days"
+    assert got[4, "ip", "10.0.0.1"] == "private" and got[4, "ip", "93.184.216.34"] == "public"
+    assert R.mined_comments(c.limit(0), C.load()).count() == 0
+
+
+def test_recon_switches_and_evidence(spark):
+    p = parsed(spark, "# wordpress\nUser-agent: *\nDisallow: /wp-admin/\nDisallow: /xmlrpc.php\nSitemap: https://x.s3.amazonaws.com/m.xml\n# see x.s3.amazonaws.com and stage.site.example")
+    config = C.load({"recon": {"hosts": False, "data": False}})
+    assert set(R.recon(p, config)) == {"platforms", "generators", "cloud", "apis", "extensions", "comments"} and R.recon(p, C.load({"checks": {"recon": False}})) == {}
+    assert ("WordPress", 1, "comment") in ids(R.platform_evidence(p, config), "platform", "line", "strength") and ("WordPress", 3, "strong") in ids(R.platform_evidence(p, config), "platform", "line", "strength")
+    [host] = R.leaked_hosts(p, config).where("host = 'stage.site.example'").collect()
+    assert [(s["line"], s["source"]) for s in host["sources"]] == [(6, "comment")] and host["n_sources"] == 1
+
+
+def test_every_cloud_provider_has_a_host(spark):
+    """One made-up host a provider: the first that matches is the provider itself, and its bucket language reads it."""
+    pack = C.load()["cloud"]
+    hosts = {
+        "Amazon S3": "b.s3.amazonaws.com", "Google Cloud Storage": "b.storage.googleapis.com", "Azure Blob Storage": "b.blob.core.windows.net", "DigitalOcean Spaces": "b.fra1.digitaloceanspaces.com", "CloudFront": "d1.cloudfront.net", "Netlify": "b.netlify.app",
+        "Heroku": "b.herokuapp.com", "Azure App Service": "b.azurewebsites.net", "Google App Engine": "b.appspot.com", "Firebase Hosting": "b.web.app", "Cloudflare R2": "b.r2.dev", "Cloudflare Pages": "b.pages.dev", "Vercel": "b.vercel.app", "GitHub Pages": "b.github.io",
+        "Backblaze B2": "b.backblazeb2.com", "Linode Object Storage": "b.linodeobjects.com", "Fastly": "b.fastly.net", "AWS Lambda URL": "x.lambda-url.eu-west-1.on.aws", "Oracle Object Storage": "objectstorage.eu-1.oraclecloud.com",
+    }
+    p = parsed(spark, "\n".join(f"Sitemap: https://{h}/b/b/x.xml" for h in hosts.values()))
+    got = {r["host"]: (r["provider"], r["bucket"]) for r in R.cloud_assets(p, C.load()).collect()}
+    assert {h: got[h][0] for h in hosts.values()} == {h: n for n, h in hosts.items()} and len(pack) >= 37
+    assert all(b == "b" for _, (n, b) in got.items() if b and n not in ("Azure Blob Storage",))
+
+
+def test_cards_actions_and_texts(spark):
+    p = parsed(spark, "User-agent: Loom\nDisallow: /\nUser-agent: *\nDisallow: /admin/", "User-agent: *\nDisallow: /", "", "User-agent: loomreader\nDisallow: /\nUser-agent: other\nDisallow: /")
+    v = M.crawler_verdicts(p, crawlers(spark))
+    cards = {r["file_id"]: r for r in U.ai_cards(v, ["ai_training"], {"ai_training": "AI training"}).collect()}
+    assert cards[1]["callout"] == "ok" and cards[1]["headline"] == "AI training: 2 of 2 blocked" and cards[2]["callout_text"] == "None of them is restricted." and cards[3]["callout"] == "ok"
+    assert cards[0]["callout"] == "info" and [c["explanation"] for c in cards[0]["groups"][0]["crawlers"]] == ["group of *", "group of *"]
+    uneven = M.crawler_verdicts(parsed(spark, "User-agent: other\nDisallow: /"), crawlers(spark))
+    assert U.ai_cards(uneven, ["ai_training"]).first()["callout_text"] == "Not blocked: Loom" and U.ai_cards(v, ["none"]).first()["callout_text"] == "No crawler of this kind is known."
+    from crawlquarry.analysis import analyze
+
+    a = analyze(p, crawlers(spark), C.load({"crawlers": {"ai_categories": ["ai_training"]}}), now="2026-01-01T00:00:00Z", once=True)
+    todo = {(r["file_id"], r["action"]): r for r in a.actions.collect()}
+    assert todo[0, "security"]["items"] == ["admin", "/admin/"] and (1, "all blocked") in todo and (0, "add sitemap") in todo and (2, "decide on AI") in todo and (2, "none") not in todo
+    names = [n for n, _ in U.ACTIONS]
+    assert len(names) == 23 and all(r["ord"] == U.ORDER[r["action"]] for r in todo.values())
+    row = {r["file_id"]: r for r in a.report.collect()}[0]
+    assert [line for line in row["markdown"].split("\n") if line.startswith("## ")] == ["## Summary", "## Recommended actions", "## Issues", "## Crawlers", "## Sensitive paths", "## Sitemaps", "## What the file gives away", "## Groups"]
+    text = {r["file_id"]: r["text"] for r in a.summary_text.collect()}[0]
+    assert text.startswith("errors 0, warnings") and "Disallow: /admin/ (admin, administration area)" in text and "1. " in text
+    assert U.tab_tsv(a.tabs, "nothing") is None and {r["tab"] for r in U.tab_tsv(a.tabs, "all").collect()} == {"Rules", "Sitemaps", "Issues", "Recon"}
+    probes = spark.createDataFrame([(0, "Loom", "/x"), (0, "MarlinBot", "/admin/y"), (1, "x", "/robots.txt")], "file_id long, token string, path string")
+    assert ids(a.allowed(probes), "file_id", "allowed") == [(0, False), (0, False), (1, True)]
+    assert a.lines.count() and a.groups.count() and a.rules.count() and a.issues.where("message is null").count() == 0 and a.sitemaps.count() == 0 and a.star.count() == 4 and a.ai.count() == 4
+
+
+def test_rule_pack_checks():
+    from crawlquarry import analysis
+
+    assert analysis.validate_config("[rules]\ndisabled = []\n") == [] and "loud" in analysis.validate_config("[rules.levels]\na = 'loud'\n")[0]
+    assert analysis.default_config().startswith("# Rule pack") and analysis.version()
+
+
+def test_sentences(spark):
+    from crawlquarry.functions.messages import outcome_sentences
+
+    p = parsed(spark, "User-agent: a\nUser-agent: b\nUser-agent: c\nUser-agent: d\nDisallow: /x\nUser-agent: *\nAllow: /y", "User-agent: *\nDisallow: /z")
+    got = ids(outcome_sentences(M.rule_outcomes(p)), "sentence")
+    assert got == ["/x is blocked for a, b, c and 1 more by line 5.", "/y is open to crawlers without rules of their own because of line 7.", "/z is blocked for every crawler by line 2."]
+
+
+def test_date_of(spark):
+    df = spark.createDataFrame([("2026-01-02T03:04:05Z",), ("x",), (None,)], "t string")
+    assert [str(r[0]) for r in df.select(T.date_of(F.col("t"))).collect()] == ["2026-01-02", "None", "None"]
+
+
+def test_hashes_of_many_texts():
+    rnd = random.Random(4)
+    values = [bytes(rnd.randrange(256) for _ in range(rnd.choice([0, 1, 7, 300]))) for _ in range(60)]
+    assert T.fnv1a_batch(values) == [T.fnv1a_64(v) if v else "" for v in values] and T.fnv1a_batch([]) == []

@@ -123,9 +123,9 @@ def test_every_delivery_is_compared_with_the_next(spark, tmp_path):
     rows += [snap(8, 4, "a", text=free, at=-9), snap(9, 1, "e", text=None), snap(10, 4, "e", text=free), snap(11, None, "a", text=shut), snap(11, None, "a", text=shut)]
     spark.createDataFrame(rows, SNAP).write.parquet(str(tmp_path / "site_snapshots.parquet"))
     spark.createDataFrame([(1, "X", ["x"], "ai_training")], "ord int, name string, tokens array<string>, category string").write.parquet(str(tmp_path / "crawlers.parquet"))
-    got = {n: sorted(tuple(r) for r in E.QUERIES[n](spark, str(tmp_path)).collect()) for n in ("semantic_flags_by_run", "semantic_flips", "semantic_sitemaps", "unified_diffs", "semantic_issues")}
+    got = {n: sorted(tuple(r) for r in E.QUERIES[n](spark, str(tmp_path)).collect()) for n in ("semantic_flags", "semantic_flips", "semantic_sitemaps", "unified_diffs", "semantic_issues")}
     pairs = [(1, 1, 4), (1, 4, 9), (6, 1, 9), (9, 1, 4)]
-    assert [r[:3] for r in got["semantic_flags_by_run"]] == [r[:3] for r in got["unified_diffs"]] == pairs and all(r[3] and r[4] for r in got["semantic_flags_by_run"])
+    assert [r[:3] for r in got["semantic_flags"]] == [r[:3] for r in got["unified_diffs"]] == pairs and all(r[3] and r[4] for r in got["semantic_flags"])
     assert got["semantic_flips"] == [(1, 1, 4, "X", "ai_training", "open", "blocked"), (1, 4, 9, "X", "ai_training", "blocked", "open"), (6, 1, 9, "X", "ai_training", "open", "blocked")]
     assert got["semantic_sitemaps"] == [(i, a, b, "https://a.example/s.xml", side) for (i, a, b), side in zip(pairs, ("new", "resolved", "new"))]
     assert {r[:3] for r in got["semantic_issues"]} == set(pairs)
@@ -216,3 +216,63 @@ def test_fetch_follows_and_retries():
     assert got["status"] == 200 and got["final_url"] == "https://www.a.example/r.txt" and len(got["redirects"]) == 1 and got["text"] == "User-agent: *"
     loop = io.fetch_one("b.example", "ua", 1, lambda request, timeout: Answer(302, Location="/robots.txt"))
     assert loop["redirect_limit"] and loop["text"] == ""
+
+
+# -- tracking runs -------------------------------------------------------------------------------------------------
+
+
+def test_track(spark, tmp_path):
+    from crawlquarry import config as C
+    from crawlquarry.operators import track as T
+
+    old = "User-agent: *\nDisallow: /a\n"
+    kept = spark.createDataFrame([(1, "same", old), (2, "moved", old), (3, "walled", old), (4, "gone", old), (8, "empty", "")], "file_id long, name string, text string")
+    rows = [
+        (1, "same", old + "# x\n", 200, "text/plain"), (2, "moved", "User-agent: *\nDisallow: /\nDisallow: /backup/\nSitemap: https://m.example/s.xml\n", 200, "text/plain"), (3, "walled", "<html>no", 403, "text/html"), (4, "gone", None, 404, None),
+        (5, "fresh", "User-agent: x\nDisallow:", 200, "text/plain"), (6, "wall", "<html>", 503, "text/html"), (7, "none", None, 404, None),
+    ]
+    crawlers = spark.createDataFrame([(1, "Loom", ["loom"], "ai_training")], "ord int, name string, tokens array<string>, category string")
+    run = T.track(kept, spark.createDataFrame(rows, "file_id long, name string, text string, status int, content_type string"), crawlers, C.load())
+    names = lambda df: sorted(r["name"] for r in df.collect())
+    assert names(run.unchanged) == ["same"] and names(run.seeded) == ["fresh", "none"] and names(run.changed)[-1] == "moved"
+    assert {r["name"]: r["why"] for r in run.unavailable.collect()}["wall"] == "HTTP 503 page, not seeded yet" and "walled" in names(run.unavailable)
+    moved = {r["name"]: r for r in run.changed.collect()}["moved"]
+    assert [(f["crawler"], f["new_verdict"]) for f in moved["flips"]] == [("Loom", "blocked")] and [x["path"] for x in moved["security"]] == ["/backup/"] and moved["sitemaps"][0]["side"] == "new" and "+Disallow: /" in moved["text"]
+    text = "\n".join(r["text"] for r in T.digest(run).orderBy("ord").collect())
+    assert text.startswith("- changed:") and "### moved" in text and "| Loom | ai_training | partial | blocked |" in text and "- wall: HTTP 503" in text
+    assert {r["name"]: r["text"] for r in run.drafts.collect()}["moved"] == "⛔ Loom: partial → blocked\n1 new sensitive paths"
+    assert 2 in {r["file_id"] for r in run.high_impact.collect()} and T.flips_in(spark.createDataFrame([("a",), ("b",)], "category string"), "a").count() == 1
+
+
+def test_store_round_trip(spark, tmp_path):
+    from crawlquarry.sources import io
+
+    rows = [("a.example", "x", ("a.example", None, None, 200, 1, None, 0, False, False)), ("b.example", "y", None)]
+    schema = f"domain string, text string, meta struct<{', '.join(c.replace(' ', ':', 1) for c in io.META_DDL.split(', '))}>"
+    io.write_store(spark.createDataFrame(rows, schema), str(tmp_path / "store"))
+    got = {r["domain"]: (r["text"], r["meta"]["http_status"] if r["meta"] else None) for r in io.read_snapshots(spark, str(tmp_path / "store")).collect()}
+    assert got == {"a.example": ("x", 200), "b.example": ("y", None)}
+
+
+def test_probe_plan_and_filtered_notices(spark):
+    from crawlquarry.sources import io
+
+    sites = spark.createDataFrame([("a.example",), (None,)], "domain string")
+    crawlers = spark.createDataFrame([(1, "Loom", "Loom/1"), (2, "No", None)], "ord int, name string, ua string")
+    assert sorted((r["crawler"] or "", r["ua"]) for r in io.probe_plan(sites, crawlers).collect()) == [("", "Mozilla/5.0"), ("Loom", "Loom/1")]
+    changes = spark.createDataFrame([(1, "x", None), (2, "y", None)], "file_id long, text string, webhook_url string")
+    assert changes.join(spark.createDataFrame([(2,)], "file_id long"), "file_id", "left_semi").count() == 1
+    io.notify(changes, high_impact=changes.limit(0))
+
+
+def test_track_on_the_command_line(spark, tmp_path, capsys):
+    from crawlquarry.__main__ import main
+
+    fetch = "fetch_id long, domain string, robots_url string, final_url string, status int, content_type string, redirect_limit boolean, bytes long, redirects array<struct<from_url:string>>, text string, observed_at timestamp"
+    spark.createDataFrame([(1, "a.example", None, None, 200, "text/plain", False, 5, None, "User-agent: *\nDisallow: /", None)], fetch).write.parquet(str(tmp_path / "one"))
+    spark.createDataFrame([(2, "a.example", None, None, 200, "text/plain", False, 5, None, "User-agent: *\nDisallow: /b", None)], fetch).write.parquet(str(tmp_path / "two"))
+    store, out = str(tmp_path / "store"), tmp_path / "digest.md"
+    assert main(["track", store, str(tmp_path / "one")]) == 0 and "seeded 1" in capsys.readouterr().out
+    assert main(["track", store, str(tmp_path / "two"), "--summary-out", str(out), "--changed-out", str(tmp_path / "changed")]) == 0 and "changed 1" in capsys.readouterr().out
+    assert "### a.example" in out.read_text() and (tmp_path / "changed").read_text() == "a.example\n"
+    assert main(["track", store, str(tmp_path / "two")]) == 0 and "unchanged 1" in capsys.readouterr().out
