@@ -5,13 +5,37 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from importlib import metadata
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session: they need not start where it can be imported.
+
+    Nothing is sent if the package is installed.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_crawlquarry_shipped", False):
+        return
+    sc._crawlquarry_shipped = True
+    try:
+        metadata.version("crawlquarry")
+    except metadata.PackageNotFoundError:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="crawlquarry-")) / "crawlquarry.zip"  # on the driver, which serves it
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted([*root.rglob("*.py"), *root.rglob("*.toml")]):
+                z.write(f, f"crawlquarry/{f.relative_to(root)}")
+        sc.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory; columns and filters push down into the scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

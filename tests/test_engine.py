@@ -369,7 +369,7 @@ def test_every_cloud_provider_has_a_host(spark):
 
 
 def test_cards_actions_and_texts(spark):
-    p = parsed(spark, "User-agent: Loom\nDisallow: /\nUser-agent: *\nDisallow: /admin/", "User-agent: *\nDisallow: /", "", "User-agent: loomreader\nDisallow: /\nUser-agent: other\nDisallow: /")
+    p = parsed(spark, "# mail a@b.example\nUser-agent: Loom\nDisallow: /\nUser-agent: *\nDisallow: /admin/", "User-agent: *\nDisallow: /", "", "User-agent: loomreader\nDisallow: /\nUser-agent: other\nDisallow: /")
     v = M.crawler_verdicts(p, crawlers(spark))
     cards = {r["file_id"]: r for r in U.ai_cards(v, ["ai_training"], {"ai_training": "AI training"}).collect()}
     assert cards[1]["callout"] == "ok" and cards[1]["headline"] == "AI training: 2 of 2 blocked" and cards[2]["callout_text"] == "None of them is restricted." and cards[3]["callout"] == "ok"
