@@ -61,6 +61,12 @@ def _findings(spark, d):
     return G.with_overrides(G.all_findings(parsed, config["checks"], config["crawlers"]["legacy_tokens"]), config["rules"]["disabled"], config["rules"]["levels"])
 
 
+def shown(findings):
+    """Findings with their parameters as one text: name=value in order of the names."""
+    pairs = F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    return findings.select("file_id", "line", "id", "level", "kind", "variant", F.array_join(pairs, ";").alias("params"))
+
+
 def finding_counts(spark, d):
     return _findings(spark, d).groupBy("kind", "id", "level").agg(F.count("*").alias("n"))
 
@@ -268,10 +274,10 @@ QUERIES = {
     "rule_outcomes": _over(M.rule_outcomes),
     "cleaned_paths": cleaned_paths,
     "checked_access": checked_access,
-    "syntax_findings": _over(G.syntax_findings),
-    "seo_findings": _over(G.seo_findings),
+    "syntax_findings": lambda s, d: shown(G.syntax_findings(_parsed(s, d))),
+    "seo_findings": lambda s, d: shown(G.seo_findings(_parsed(s, d))),
     "sitemap_findings": lambda s, d: G.sitemap_findings(_parsed(s, d)).select("file_id", "line", "id", "level"),
-    "fetch_findings": fetch_findings,
+    "fetch_findings": lambda s, d: shown(fetch_findings(s, d)),
     "fetch_status_findings": lambda s, d: fetch_findings(s, d).where("id in ('fetch.warn.serverError', 'fetch.warn.rateLimited', 'fetch.warn.forbidden')").select("file_id", "id"),
     "finding_counts": finding_counts,
     "worded_findings": worded_findings,

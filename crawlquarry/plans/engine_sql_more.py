@@ -7,7 +7,9 @@ import re
 
 from crawlquarry import config as C
 from crawlquarry.functions.text import SECOND_LEVEL
-from crawlquarry.plans.engine_sql import _DIRECTIVES, _STRIP, BASE, RULE_PATHS, SP, base, trim
+from crawlquarry.operators import findings as G
+from crawlquarry.operators import parse as P
+from crawlquarry.plans.engine_sql import _DIRECTIVES, _STRIP, BASE, RULE_PATHS, base, trim
 
 PACK = C.load()
 
@@ -135,6 +137,243 @@ _EXT_LIST = r"list_distinct(list_filter(list_append(regexp_extract_all(lower(pat
 _D = PACK["data"]
 _M = PACK["comments"]
 
+def first_in(column: str, needles: tuple[str, ...]) -> str:
+    return "case " + " ".join(f"when contains({column}, {text(n)}) then {text(n)}" for n in needles) + " end"
+
+
+def any_in(column: str, needles: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"contains({column}, {text(n)})" for n in needles) + ")"
+
+
+_NEAREST = "least(" + ", ".join(f"case when levenshtein(one, '{n}') <= 2 then levenshtein(one, '{n}') * 10 + {i} else 999 end" for i, n in enumerate(P.CANONICAL)) + ")"
+_GLUED = "case " + " ".join(
+    rf"when regexp_matches({'low_comment' if n != 'allow:' else chr(114) + 'eplace(low_comment, ' + chr(39) + 'disallow:' + chr(39) + ', ' + chr(39) + '#' + chr(39) + ')'}, '[\p{{L}}\p{{N}}.]{n}') then '{n[:-1]}'" for n in G.DIRECTIVE_NAMES
+) + " end"
+_COMMENTED = "case " + " ".join(f"when starts_with(squeezed, '{n}') then '{n[:-1]}'" for n in G.DIRECTIVE_NAMES) + " end"
+_SPACES = r"[\t-\r \x{85}\p{Z}]"
+_KEYS = ", ".join(f"'{k}'" for k in G.SIGNAL_KEYS)
+
+#: every syntax finding: file_id, line, id, level, kind, variant, params as text (k=v in order of k, joined by ;)
+SYNTAX = rf"""
+, first_of as (select file_id, min(line) filter (kind = 'user-agent') as g, min(line) filter (kind = 'host') as h from lines group by 1),
+m as (
+  select l.*, k.kind, k.token, coalesce(l.line > f.g, false) as grouped, f.h, lower(l.value) as low_value, lower(l.comment) as low_comment,
+    regexp_replace(l.field_src, '[{P.INVISIBLE}]', '', 'g') as seen, translate(regexp_replace(l.field_src, '[{P.INVISIBLE}]', '', 'g'), '{P.LOOKALIKE_FROM}', '{P.LOOKALIKE_TO}') as folded,
+    case when regexp_replace(l.low, '^[^A-Za-z0-9]+', '') <> '' then left(l.low, length(l.low) - length(regexp_replace(l.low, '^[^A-Za-z0-9]+', ''))) end as junk0,
+    split_part(l.raw, '#', 1) as before, lower(regexp_replace(regexp_replace(l.comment, '^#+', ''), '{_SPACES}+', '', 'g')) as squeezed, regexp_replace(l.raw_field, '[^\x00-\x7F]', '?', 'g') as one
+  from l5 l join lines k on k.file_id = l.file_id and k.line = l.line left join first_of f on f.file_id = l.file_id
+), doc as (
+  select *, lower(src) as low, regexp_matches(lower(regexp_replace(left(src, 2000), '^{_SPACES}+', '')), '^(<!doctype html|<html)') or (starts_with(lower(regexp_replace(left(src, 2000), '^{_SPACES}+', '')), '<?xml') and contains(lower(left(regexp_replace(left(src, 2000), '^{_SPACES}+', ''), 2000)), '<html')) as page from files
+), doc2 as (
+  select *, {first_in("low", G.ERROR_MARKERS)} as err, {first_in("low", G.PLUGIN_MARKERS)} as plug, {first_in("low", G.HTML_TAGS)} as tag,
+    case when contains(low, '<script') and {any_in("low", G.OBFUSCATION)} then 'script' when contains(low, '<iframe') then 'iframe' when contains(low, '<marquee') then 'marquee' when contains(low, '<a ') and {any_in("low", G.HIDING)} then 'hiddenLink' end as injected from doc
+), glue as (select file_id, line, kind, {_GLUED} as glued, {_COMMENTED} as commented from m where comment is not null),
+delay_lines as (
+  select m.*, d.group_id, case when regexp_matches(m.value, '^\+?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') then try_cast(m.value as double) when regexp_matches(m.value, '^-0*\.?0*$') and contains(m.value, '0') then 0.0 end as d
+  from m left join directives d on d.file_id = m.file_id and d.line = m.line where m.kind = 'crawl-delay'
+), nameless as (
+  select a.file_id, a.line, case when bool_or(b.token = '*') then 'star' when bool_or(b.token not in ('', '*')) then 'others' end as variant,
+    case when not bool_or(b.token = '*') and bool_or(b.token not in ('', '*')) then string_agg(b.raw, ', ' order by b.line) filter (b.token not in ('', '*')) end as names
+  from agents a join agents b on b.file_id = a.file_id and b.group_id = a.group_id where a.token = '' group by 1, 2
+), signals as (
+  select file_id, line, len(list_filter(list_filter(list_transform(string_split(value, ','), lambda x: {trim("x")}), lambda x: x <> ''),
+    lambda p: not (lower({trim("split_part(p, '=', 1)")}) in ({_KEYS}) and case when contains(p, '=') then lower({trim("substr(p, instr(p, '=') + 1)")}) else '' end in ('yes', 'no')))) as bad from m where kind = 'unknown' and raw_field = 'content-signal'
+), cleans as (
+  select file_id, line, value, len(w) <= 2 and len(names) > 0 and len(list_filter(names, lambda x: not regexp_matches(x, '^[A-Za-z0-9_.-]+$'))) = 0 and regexp_matches(coalesce(w[2], '/'), '^[/*]') as ok
+  from (select *, list_filter(string_split(coalesce(w[1], ''), '&'), lambda x: x <> '') as names from (select *, list_filter(regexp_split_to_array(value, '\s+'), lambda x: x <> '') as w from m where field = 'clean-param'))
+), unknowns as (
+  select m.*, case when raw_field in ('http', 'https') and starts_with(value, '//') then 'parser.bareUrl' when raw_field = 'noindex' then 'parser.noindex' when raw_field in ({", ".join(text(x) for x in P.META_ROBOTS)}) then 'parser.metaRobots'
+    when raw_field in ({", ".join(text(x) for x in P.AI_DIRECTIVES)}) or starts_with(raw_field, 'ai-') or starts_with(raw_field, 'llm') then 'parser.aiDirective'
+    when raw_field = 'content-signal' then case when s.bad = 0 then 'parser.contentSignal' else 'parser.contentSignalInvalid' end
+    when raw_field in ({", ".join(text(x) for x in P.LEGACY_DIRECTIVES)}) then 'parser.nonStandardDirective' else 'parser.unknownDirective' end as id
+  from m left join signals s on s.file_id = m.file_id and s.line = m.line where kind = 'unknown'
+), merged as (
+  select g.file_id, g.start_line, exists (select 1 from of_scope o where o.file_id = g.file_id and o.group_id = g.group_id) as merged from groups g where g.n_rules = 0 and g.crawl_delay is null
+), syntax as (
+  select file_id, cast(line as int) as line, id, level, kind, variant, params from (
+    select file_id, null as line, 'parser.tooLarge' as id, 'warning' as level, 'syntax' as kind, null as variant, 'kib=' || (strlen(text) // 1024) as params from files where strlen(text) > 512000
+    union all select file_id, 1, 'parser.bom', 'info', 'syntax', null, '' from files where bom
+    union all select file_id, 1, 'parser.utf16', 'error', 'syntax', null, '' from files where utf16
+    union all select file_id, null, 'security.injectedCode', 'error', 'security', injected, '' from doc2 where not page and injected is not null
+    union all select file_id, (select min(l.line) from lines l where l.file_id = d.file_id and contains(lower(l.raw), d.err)), 'parser.serverErrorOutput', 'error', 'syntax', null, '' from doc2 d where not page and err is not null
+    union all select file_id, (select min(l.line) from lines l where l.file_id = d.file_id and contains(lower(l.raw), d.plug)), 'parser.pluginOutput', 'warning', 'syntax', null, '' from doc2 d where not page and plug is not null
+    union all select file_id, (select min(l.line) from lines l where l.file_id = d.file_id and contains(lower(l.raw), d.tag)), 'parser.htmlFragment', 'error', 'syntax', null, 'tag=' || rtrim(tag) from doc2 d where not page and tag is not null
+    union all select file_id, null, 'parser.invalidUtf8', 'warning', 'syntax', null, '' from doc2 where not page and contains(src, chr(65533))
+    union all select file_id, min(line), 'parser.longLine', 'info', 'syntax', null, 'chars=' || arg_min(length(raw), line) from lines where length(raw) > 2000 group by 1
+    union all select file_id, min(line), 'parser.invisibleChar', 'warning', 'syntax', null, '' from m where seen <> field_src and colon > 0 group by 1
+    union all select file_id, min(line), 'parser.fullwidthColon', 'warning', 'syntax', null, '' from m where contains(before, '：') and colon > 0 group by 1
+    union all select file_id, line, 'parser.gluedComment', 'error', 'syntax', null, 'directive=' || glued from glue where glued is not null
+    union all select file_id, line, 'lint.commentedRule', 'info', 'syntax', null, 'directive=' || commented from glue where kind = 'comment' and glued is null and commented is not null
+    union all select file_id, line, 'parser.notFieldValue', 'error', 'syntax', case when strlen(raw_field) >= 4 and {_NEAREST} < 999 then 'hint' end, 'field=' || case when strlen(raw_field) >= 4 and {_NEAREST} < 999 then [{", ".join(text(x) for x in P.CANONICAL)}][{_NEAREST} % 10 + 1] else '' end from m where kind = 'invalid'
+    union all select file_id, line, 'parser.homoglyph', 'warning', 'syntax', null, 'field=' || raw_field from m where colon > 0 and folded <> seen
+    union all select file_id, line, 'parser.misspelling', 'info', 'syntax', null, 'field=' || field || ';raw=' || raw_field from m where field is not null and field <> raw_field
+    union all select file_id, line, 'parser.junkBeforeField', 'warning', 'syntax', null, 'field=' || field || ';junk=' || junk0 from m where field is not null and regexp_matches(junk0, '[^ ]')
+    union all select file_id, line, 'parser.hashInValue', 'warning', 'syntax', case when field = 'sitemap' then 'sitemap' end, 'truncated=' || value from m
+      where field in ('allow', 'disallow', 'sitemap') and value <> '' and comment is not null and before <> '' and not regexp_matches(right(before, 1), '^{_SPACES}$') and (field = 'sitemap' or grouped)
+    union all select m.file_id, m.line, case when value = '' then 'parser.emptyUserAgent' else 'parser.invalidToken' end, case when value = '' then 'error' else 'warning' end, 'syntax', n.variant, 'names=' || coalesce(n.names, '') || ';value=' || value
+      from m left join nameless n on n.file_id = m.file_id and n.line = m.line where kind = 'user-agent' and token = ''
+    union all select file_id, line, 'parser.tokenTail', 'info', 'syntax', null, 'token=' || token || ';value=' || value from m where kind = 'user-agent' and token not in ('', '*') and token <> low_value
+    union all select file_id, line, 'parser.ruleBeforeAgent', 'error', 'syntax', case when value <> '' then field end, 'directive=' || field from m where kind = 'rule' and not grouped
+    union all select file_id, line, case when field = 'allow' then 'parser.emptyAllow' else 'parser.emptyDisallow' end, 'info', 'syntax', null, '' from m where kind = 'rule' and grouped and value = ''
+    union all select file_id, line, 'parser.pathNoSlash', 'warning', 'syntax', field, 'value=' || value from m where kind = 'rule' and grouped and value <> '' and not regexp_matches(value, '^[/*]') and not regexp_matches(value, '(?i)^https?://')
+    union all select file_id, line, 'parser.wildcardOnly', 'warning', 'syntax', null, 'value=' || value from m where kind = 'rule' and grouped and field = 'disallow' and regexp_matches(value, '^\*+$')
+    union all select file_id, line, 'parser.spaceInPath', 'warning', 'syntax', null, 'value=' || value from m where kind = 'rule' and grouped and contains(value, ' ')
+    union all select file_id, line, 'parser.regexSyntax', 'warning', 'syntax', null, 'value=' || value from m where kind = 'rule' and grouped and not regexp_matches(value, '(?i)^https?://') and {any_in("value", G.REGEX_TOKENS)}
+    union all select file_id, line, 'parser.nonAsciiPath', 'info', 'syntax', null, 'value=' || value from m where kind = 'rule' and grouped and strlen(value) <> length(value)
+    union all select file_id, line, 'parser.placeholder', 'warning', 'syntax', null, 'placeholder=' || {first_in("low_value", G.PLACEHOLDERS)} || ';value=' || value from m
+      where (field in ('user-agent', 'sitemap') or (kind = 'rule' and grouped and value <> '')) and {first_in("low_value", G.PLACEHOLDERS)} is not null
+    union all select file_id, line, 'parser.crawlDelayBeforeAgent', 'error', 'syntax', null, '' from m where kind = 'crawl-delay' and not grouped
+    union all select x.file_id, x.line, 'parser.crawlDelayDuplicate', 'info', 'syntax', null, '' from delay_lines x where grouped and d is not null and exists (select 1 from delay_lines y where y.file_id = x.file_id and y.group_id = x.group_id and y.line < x.line and y.d is not null)
+    union all select file_id, line, 'parser.crawlDelayHigh', 'warning', 'syntax', null, 'pages=' || cast(floor(86400 / d) as bigint) || ';seconds=' || cast(d as varchar) from delay_lines where grouped and d >= 60
+    union all select file_id, line, 'parser.crawlDelayNaN', 'warning', 'syntax', null, 'value=' || value from delay_lines where grouped and d is null
+    union all select file_id, min(line), 'parser.crawlDelayNonStandard', 'info', 'syntax', null, '' from delay_lines where grouped group by 1
+    union all select file_id, line, 'parser.sitemapInvalid', 'warning', 'syntax', null, 'value=' || value from m where field = 'sitemap' and not regexp_matches(value, '(?i)^https?:/{{0,2}}[^/\s?#\\<>^|]+[^\s]*$')
+    union all select file_id, line, case when line = h then 'parser.hostObsolete' else 'parser.hostDuplicate' end, 'info', 'syntax', null, '' from m where kind = 'host'
+    union all select file_id, line, case when not ok then 'parser.cleanParamMalformed' when strlen(value) > 500 then 'parser.cleanParamTooLong' else 'parser.cleanParamInfo' end, case when ok and strlen(value) <= 500 then 'info' else 'warning' end, 'syntax', null, '' from cleans
+    union all select file_id, line, id, case when id = 'parser.bareUrl' then 'error' when id in ('parser.aiDirective', 'parser.contentSignal', 'parser.nonStandardDirective') then 'info' else 'warning' end, 'syntax', null, 'field=' || raw_field || ';value=' || value from unknowns
+    union all select file_id, null, 'parser.noRules', 'info', 'syntax', null, '' from files f where not exists (select 1 from groups g where g.file_id = f.file_id)
+    union all select file_id, start_line, 'parser.emptyGroup', 'info', 'syntax', case when merged then 'merged' end, '' from merged
+    union all select file_id, null, 'parser.tokenRepeated', 'info', 'syntax', null, 'n=' || count(*) || ';token=' || token from agents where token <> '' group by file_id, token having count(*) > 1
+    union all select a.file_id, null, 'parser.starBlocksAll', 'warning', 'syntax', null, '' from (select distinct file_id, group_id from agents where token = '*') a join rules r using (file_id, group_id)
+      group by 1 having bool_or(r.type = 'disallow' and regexp_matches(r.path, '^/\**$')) and not bool_or(r.type = 'allow' and r.path <> '')
+    union all select file_id, null, 'parser.noSitemap', 'info', 'syntax', null, '' from (select distinct file_id from groups) g where not exists (select 1 from lines l where l.file_id = g.file_id and l.kind = 'sitemap')
+  )
+)
+"""
+#: groups with the rules of the token that they are judged under
+SCOPED = """
+, named_groups as (select file_id, group_id, bool_or(token = '*') as star, arg_min(token, line) as first from agents where token <> '' group by 1, 2),
+group_scope as (select g.file_id, g.group_id, case when n.first is null or n.star then '*' else n.first end as token from groups g left join named_groups n using (file_id, group_id)),
+of_scope as (select s.file_id, s.group_id, r.path from group_scope s join token_rules r on r.file_id = s.file_id and r.token = s.token)
+"""
+
+
+def _list(xs) -> str:
+    return ", ".join(text(x) for x in xs)
+
+
+_FILE_IN = r"regexp_replace(path, '/+$', '') || "
+_NORMAL_PATH = rf"case when {trim('path')} = '' then '/' else case when rest = '' then '/' when starts_with(rest, '/') then rest else '/' || rest end end"
+#: every search finding, in the form of the syntax findings
+SEO = rf"""
+, g_rules as (
+  select r.*, {norm("r.path")} as n, lower(r.path) as low, s.token as scope, exists (select 1 from agents a where a.file_id = r.file_id and a.group_id = r.group_id and a.token = '*') as star, regexp_matches(r.path, '^/\**$') as whole,
+    reverse(split_part(reverse(r.path), '/', 1)) as last, {sample("lower(r.path)")} as low_sample, {sample("r.path")} as own_sample
+  from rules r join group_scope s on s.file_id = r.file_id and s.group_id = r.group_id
+), pat_rules as (select *, {like("n")} as pat, length(n) as len from g_rules),
+marked as (
+  select *, path <> '' and not whole and not regexp_matches(path, '[*$?]') and not path like '%/' and last <> '' and not contains(last, '.') as open_end,
+    type = 'disallow' and path <> '' and not whole and '/robots.txt' like pat escape '\' as itself,
+    case when type = 'disallow' and path <> '' and star then case when low in ({_list(G.QUERY_PATTERNS)}) then 'seo.queryStringBlock' when low in ({_list(G.ASSET_DIRS)}) then 'seo.assetBlock' when regexp_matches(low, '\.(css|js)\$?$') then 'seo.cssJsBlock'
+      when low in ({_list(G.IMAGE_DIRS)}) then 'seo.imageBlock' when {" or ".join(f"ends_with(low, {text(x)})" for x in G.IMAGE_FILES)} then 'seo.imageBlock' end end as broad,
+    case when low in ({_list(G.QUERY_PATTERNS)}) then '/?page=2' when low in ({_list(G.ASSET_DIRS)}) then {_FILE_IN}'/app.js' when regexp_matches(low, '\.(css|js)\$?$') then own_sample when low in ({_list(G.IMAGE_DIRS)}) then {_FILE_IN}'/photo.jpg' else own_sample end as broad_path
+  from pat_rules
+), asks0 as (
+  select file_id, scope as token, path || '-old' as asked from marked where open_end
+  union select file_id, scope, '/robots.txt' from marked where itself
+  union select file_id, '*', broad_path from marked where broad is not null
+), asks as (select *, {norm("asked")} as n from asks0),
+answers as (
+  select a.file_id, a.token, a.asked, coalesce(arg_max(r.type = 'allow', {{'len': r.len, 'allow': r.type = 'allow', 'neg': -r.line}}) filter (a.n like r.pat escape '\'), true) as allowed
+  from asks a left join of_token r on r.file_id = a.file_id and r.token = a.token group by 1, 2, 3
+), many as (
+  select file_id, token, min(line) as first from agents where token <> '' group by 1, 2 having count(distinct group_id) > 1
+), sets as (
+  select file_id, 0 as ord, 0 as first, cast(group_id as varchar) as part, '' as scope, type, path, line, n, pat, len from pat_rules where path <> ''
+  union all select r.file_id, 1, t.first, t.token, t.token, r.type, r.path, r.line, r.n, r.pat, r.len from many t join pat_rules r on r.file_id = t.file_id and r.path <> ''
+    and exists (select 1 from agents a where a.file_id = r.file_id and a.group_id = r.group_id and a.token = t.token)
+), literal as (select *, right(path, 1) = '$' as anchored, {norm("case when right(path, 1) = '$' then left(path, -1) else path end")} as lit from sets where not contains(path, '*')),
+beaten as (
+  select b.file_id, b.ord, b.first, b.scope, b.type, b.path, b.line, b.len, max({{'len': r.len, 'allow': r.type = 'allow', 'neg': -r.line, 'path': r.path}}) as w
+  from literal b join sets r on r.file_id = b.file_id and r.ord = b.ord and r.part = b.part and not (r.line = b.line and r.type = b.type and r.path = b.path) and (b.anchored or right(r.path, 1) <> '$')
+    and not (r.type = b.type and r.path = b.path and r.line > b.line) and b.lit like r.pat escape '\' group by all
+), judged_rules as (
+  select *, case when w.allow = (type = 'allow') and w.path = path then 'seo.duplicate' when w.allow = (type = 'allow') then 'seo.redundant' when w.len > len or (w.len = len and w.allow) then 'seo.overridden' end as id from beaten
+), shadow as (select * from judged_rules where id is not null qualify row_number() over (partition by file_id, line order by ord, first) = 1),
+seo as (
+  select m.file_id, cast(m.line as int) as line, 'seo.trailingSlash' as id, case when exists (select 1 from rules q where q.file_id = m.file_id and starts_with(q.path, m.path) and length(q.path) > length(m.path) and substr(q.path, length(m.path) + 1, 1) <> '/') then 'warning' else 'info' end as level,
+    'seo-trap' as kind, m.type as variant, 'path=' || m.path as params from marked m join answers a on a.file_id = m.file_id and a.token = m.scope and a.asked = m.path || '-old' where open_end and a.allowed = (m.type = 'allow')
+  union all select m.file_id, m.line, 'seo.selfBlock', 'warning', 'seo-trap', null, 'path=' || path from marked m join answers a on a.file_id = m.file_id and a.token = m.scope and a.asked = '/robots.txt' where itself and not a.allowed
+  union all select file_id, line, 'seo.caseSensitive', 'info', 'seo-trap', null, 'lower=' || low_sample || ';path=' || path from marked where regexp_matches(path, '[A-Z]')
+  union all select m.file_id, m.line, broad, case when broad = 'seo.imageBlock' then 'info' else 'warning' end, 'seo-trap', null, 'path=' || path from marked m join answers a on a.file_id = m.file_id and a.token = '*' and a.asked = m.broad_path where broad is not null and not a.allowed
+  union all select file_id, line, 'lint.absoluteUrl', 'warning', 'seo-trap', type, 'path=' || {_NORMAL_PATH} from (select *, regexp_replace(regexp_replace({trim("path")}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '(?s)#.*', '') as rest from marked) where regexp_matches(path, '(?i)^https?://')
+  union all select file_id, line, id, case when id = 'seo.overridden' then 'warning' else 'info' end, 'seo-trap', case when id = 'seo.overridden' then type end, 'by=' || -w.neg || ';path=' || path || ';scope=' || scope || ';winner=' || w.path from shadow
+)
+"""
+
+
+MAPS = rf""", m0 as (
+      select l.file_id, l.line as n, f.site_url as site, lower(split_part(l.value, ':', 1)) as scheme, lower(regexp_extract(l.value, '(?i)^https?://(?:[^/?#@\s]*@)?([^/?#:@\s]+|\[[0-9A-Fa-f:.]+\])', 1)) as host,
+             regexp_extract(l.value, '(?i)^https?://[^/?#]*?:([0-9]+)(?:[/?#]|$)', 1) as port, regexp_replace(regexp_replace(l.value, '(?i)^https?:/*[^/?#]*', ''), '^$', '/') as rest,
+             lower(regexp_extract(f.site_url, '(?i)^https?://(?:[^/?#@\s]*@)?([^/?#:@\s]+|\[[0-9A-Fa-f:.]+\])', 1)) as site_host
+      from lines l join files f using (file_id) where l.kind = 'sitemap' and regexp_matches(l.value, '(?i)^https?:/{{0,2}}[^/\s?#\<>^|]+[^\s]*$')
+    ), m1 as (
+      select *, case when host <> '' then scheme || '://' || host || case when port = '' or (scheme = 'http' and port = '80') or (scheme = 'https' and port = '443') then '' else ':' || port end || case when starts_with(rest, '/') then rest else '/' || rest end end as url from m0
+    ), m2 as (
+      select *, case when url is not null then min(n) over (partition by file_id, url) end as first, regexp_matches(lower(site), '^https?://') and site_host <> '' and host <> '' as judge, regexp_replace(host, '^www\.', '') as bare, regexp_replace(site_host, '^www\.', '') as site_bare from m1
+    ), m3 as (select *, {root("bare")} as root, {root("site_bare")} as site_root from m2),
+    maps_found as (select file_id, n as line, id, level, 'sitemap' as kind from (
+      select file_id, n, 'sitemap.duplicate' as id, 'info' as level from m3 where first < n
+      union all select file_id, n, 'sitemap.protocolMismatch', 'warning' from m3 where not coalesce(first < n, false) and judge and starts_with(lower(site), 'https:') and starts_with(url, 'http:')
+      union all select file_id, n, 'sitemap.httpsOnHttp', 'info' from m3 where not coalesce(first < n, false) and judge and starts_with(lower(site), 'http:') and starts_with(url, 'https:')
+      union all select file_id, n, case when site_root <> root then 'sitemap.crossDomain' else 'sitemap.otherSubdomain' end, case when site_root <> root then 'warning' else 'info' end from m3 where not coalesce(first < n, false) and judge and bare <> site_bare
+    ))
+"""
+_HOST = r"regexp_extract({0}, '(?i)^https?://(?:[^/?#@\s]*@)?([^/?#:@\s]+|\[[0-9A-Fa-f:.]+\])', 1)"
+_PORT = r"regexp_extract({0}, '(?i)^https?://[^/?#]*?:([0-9]+)(?:[/?#]|$)', 1)"
+
+
+def place(url: str) -> str:
+    """Host and port of a URL, a default port left out; null without a host."""
+    host, port = _HOST.format(url), _PORT.format(url)
+    return f"case when {host} <> '' then lower({host}) || case when {port} = '' or (lower(split_part({url}, ':', 1)) = 'http' and {port} = '80') or (lower(split_part({url}, ':', 1)) = 'https' and {port} = '443') then '' else ':' || {port} end end"
+
+
+ANSWERS = rf"""
+, h as (
+  select *, coalesce(status between 200 and 299, false) as ok, nullif(lower({trim("split_part(content_type, ';', 1)")}), '') as media, headers.cache_control as cc,
+    list_filter(list_transform(string_split(content_type, ';')[2:], lambda p: {trim("p")}), lambda p: starts_with(p, 'charset=') or starts_with(p, 'CHARSET='))[1] as cs0,
+    list_transform(string_split(coalesce(headers.cache_control, ''), ','), lambda x: {trim("x")}) as cd, {place("robots_url")} as a, {place("final_url")} as b, coalesce(redirect_limit, false) as limited,
+    case when regexp_matches({trim("headers.retry_after")}, '^\+?[0-9]{{1,18}}$') then cast({trim("headers.retry_after")} as bigint) end as pause, regexp_extract(final_url, '(?i)^https?://[^/?#]*([^?#]*)', 1) as p0
+  from files
+), h2 as (
+  select *, lower(regexp_replace(substr(cs0, 9, 200), '^"+|"+$', '', 'g')) as cs, list_filter(cd, lambda x: lower(x) = 'max-age' or starts_with(lower(x), 'max-age='))[1] as age0,
+    len(list_filter(cd, lambda x: lower(x) in ('no-store', 'no-cache') or starts_with(lower(x), 'no-store=') or starts_with(lower(x), 'no-cache='))) > 0 as kept_off from h
+), h3 as (select *, case when contains(age0, '=') then regexp_replace({trim("substr(age0, instr(age0, '=') + 1)")}, '^"+|"+$', '', 'g') else '' end as age from h2),
+h4 as (select *, case when regexp_matches({trim("age")}, '^\+?[0-9]{{1,18}}$') then cast({trim("age")} as bigint) end as seconds from h3),
+answered as (
+  select file_id, cast(null as int) as line, 'fetch.warn.' || id as id, level, 'fetch' as kind, cast(null as varchar) as variant, params from (
+    select file_id, case when status between 500 and 599 then 'serverError' when status = 429 then 'rateLimited' when status in (401, 403) then 'forbidden' end as id,
+      case when status between 500 and 599 then 'error' when status = 429 then 'warning' else 'info' end as level, case when status = 429 then '' else 'status=' || status end as params from h4
+    union all select file_id, case when media is null then 'contentTypeMissing' when media <> 'text/plain' then 'contentType' end, 'warning', case when media is null then '' else 'type=' || media end from h4 where ok
+    union all select file_id, 'htmlBody', 'error', '' from h4 where ok and regexp_matches(lower(regexp_replace(left(coalesce(body, ''), 2000), '^{_SPACES}+', '')), '^(<!doctype html|<html)')
+    union all select file_id, 'retryAfterLong', 'warning', 'seconds=' || pause || ';status=' || status from h4 where status in (429, 503) and pause > 86400
+    union all select file_id, 'charset', 'warning', 'charset=' || cs from h4 where ok and cs not in ('utf-8', 'utf8', 'us-ascii', 'ascii')
+    union all select file_id, case when kept_off or coalesce({trim("age")} = '0', false) then 'cacheNoStore' when seconds > 86400 then 'cacheTooLong' end, case when kept_off or coalesce({trim("age")} = '0', false) then 'info' else 'warning' end,
+      case when kept_off or coalesce({trim("age")} = '0', false) then 'value=' || {trim("cc")} else 'maxage=' || seconds end from h4 where ok and cc is not null
+    union all select file_id, 'xRobotsTag', 'info', 'value=' || {trim("headers.x_robots_tag")} from h4 where ok and {trim("headers.x_robots_tag")} <> ''
+    union all select file_id, 'varyUserAgent', 'info', 'value=' || {trim("headers.vary")} from h4 where ok and len(list_filter(string_split(coalesce(headers.vary, ''), ','), lambda v: lower({trim("v")}) in ('user-agent', '*'))) > 0
+    union all select file_id, 'redirectLimit', 'error', '' from h4 where limited
+    union all select file_id, case when regexp_replace(a, '^www\.', '') = regexp_replace(b, '^www\.', '') then 'redirectSameSite' else 'redirectOtherHost' end,
+      case when regexp_replace(a, '^www\.', '') = regexp_replace(b, '^www\.', '') then 'info' else 'warning' end, case when regexp_replace(a, '^www\.', '') = regexp_replace(b, '^www\.', '') then 'host=' || b else 'from=' || a || ';to=' || b end from h4 where not limited and a <> b
+    union all select file_id, 'notRobotsPath', 'warning', 'path=' || case when p0 = '' then '/' else p0 end from h4 where not limited and a is not null and b is not null and case when p0 = '' then '/' else p0 end <> '/robots.txt'
+  ) where id is not null
+)
+"""
+LEGACY = f"""
+, old_tools as (
+  select file_id, arg_min(line, line) as line, 'lint.legacyBadBots' as id, 'info' as level, 'lint' as kind from (select file_id, line, lower({trim("raw")}) as name from agents) where name in ({_list([x.lower() for x in PACK["crawlers"]["legacy_tokens"]])})
+  group by 1 having count(distinct name) >= {G.LEGACY_THRESHOLD}
+)
+"""
+EVERY = BASE + NORMAL + SCOPED + SYNTAX + SEO + MAPS + ANSWERS + LEGACY + """
+, every as (
+  select file_id, id, level, kind from syntax union all select file_id, id, level, kind from seo union all select file_id, id, level, kind from maps_found
+  union all select file_id, id, level, kind from answered union all select file_id, id, level, kind from old_tools
+)
+"""
+
+
 SQL = {
     "semantic_flags": "with " + _PAIRS + f"select file_id, prev_run_no, run_no, {_DIRECTIVES.format('a')} is distinct from {_DIRECTIVES.format('b')} as is_changed, {_STRIP.format('a')} is distinct from {_STRIP.format('b')} as text_changed from deliveries",
     "semantic_sitemaps": _VERSIONS
@@ -236,27 +475,28 @@ SQL = {
     ), found as (select file_id, path, s.category as category from judged_paths where s is not null)
     select {_KEY.format("x")}, x.path, x.category, case when x.file_id.side = 'b' then 'new' else 'resolved' end as side from found x
     where not exists (select 1 from found y where y.path = x.path and y.category = x.category and {_OTHER_SIDE.format("x", "y")})""",
-    "sitemap_findings": BASE
-    + rf""", m0 as (
-      select l.file_id, l.line as n, f.site_url as site, lower(split_part(l.value, ':', 1)) as scheme, lower(regexp_extract(l.value, '(?i)^https?://(?:[^/?#@\s]*@)?([^/?#:@\s]+|\[[0-9A-Fa-f:.]+\])', 1)) as host,
-             regexp_extract(l.value, '(?i)^https?://[^/?#]*?:([0-9]+)(?:[/?#]|$)', 1) as port, regexp_replace(regexp_replace(l.value, '(?i)^https?:/*[^/?#]*', ''), '^$', '/') as rest,
-             lower(regexp_extract(f.site_url, '(?i)^https?://(?:[^/?#@\s]*@)?([^/?#:@\s]+|\[[0-9A-Fa-f:.]+\])', 1)) as site_host
-      from lines l join files f using (file_id) where l.kind = 'sitemap' and regexp_matches(l.value, '(?i)^https?:/{{0,2}}[^/\s?#\<>^|]+[^\s]*$')
-    ), m1 as (
-      select *, case when host <> '' then scheme || '://' || host || case when port = '' or (scheme = 'http' and port = '80') or (scheme = 'https' and port = '443') then '' else ':' || port end || case when starts_with(rest, '/') then rest else '/' || rest end end as url from m0
-    ), m2 as (
-      select *, case when url is not null then min(n) over (partition by file_id, url) end as first, regexp_matches(lower(site), '^https?://') and site_host <> '' and host <> '' as judge, regexp_replace(host, '^www\.', '') as bare, regexp_replace(site_host, '^www\.', '') as site_bare from m1
-    ), m3 as (select *, {root("bare")} as root, {root("site_bare")} as site_root from m2)
-    select file_id, n as line, id, level from (
-      select file_id, n, 'sitemap.duplicate' as id, 'info' as level from m3 where first < n
-      union all select file_id, n, 'sitemap.protocolMismatch', 'warning' from m3 where not coalesce(first < n, false) and judge and starts_with(lower(site), 'https:') and starts_with(url, 'http:')
-      union all select file_id, n, 'sitemap.httpsOnHttp', 'info' from m3 where not coalesce(first < n, false) and judge and starts_with(lower(site), 'http:') and starts_with(url, 'https:')
-      union all select file_id, n, case when site_root <> root then 'sitemap.crossDomain' else 'sitemap.otherSubdomain' end, case when site_root <> root then 'warning' else 'info' end from m3 where not coalesce(first < n, false) and judge and bare <> site_bare
-    )""",
+    "sitemap_findings": BASE + MAPS + "select file_id, line, id, level from maps_found",
     "generators": BASE
     + rf""", pack(generator, pattern) as (values {", ".join(f"({text(g['name'])}, {text('|'.join(f'(?:{x})' for x in g['comments']))})" for g in PACK["generator"])}),
     notes as (select file_id, line, substr({trim("substr(comment, 2)")}, 1, 2000) as text from lines where comment is not null and {trim("substr(comment, 2)")} <> '')
     select file_id, generator, min(line) as line, arg_min(text, line) as text from notes join pack on regexp_matches(lower(text), pattern) group by 1, 2""",
+    "seo_findings": BASE + NORMAL + SCOPED + SEO + "select * from seo",
+    "syntax_findings": BASE + SCOPED + SYNTAX + "select * from syntax",
+    "fetch_findings": BASE + ANSWERS + "select * from answered",
+    "finding_counts": EVERY + "select kind, id, level, count(*) as n from every group by all",
+    "worst_levels": EVERY + "select file_id, arg_min(level, case level when 'error' then 0 when 'warning' then 1 else 2 end) as worst from every group by 1",
+    "report_summary": BASE
+    + SCOPED
+    + SYNTAX
+    + PLATFORMS
+    + SECURITY
+    + """, counts as (select file_id, count(*) filter (level = 'error') as errors, count(*) filter (level = 'warning') as warnings, count(*) filter (level = 'info') as infos from syntax group by 1),
+    sec as (select file_id, count(*) as n from security group by 1),
+    ai as (select file_id, count(*) filter (verdict = 'blocked') as blocked, count(*) as total from verdicts where category = 'ai_training' group by 1)
+    select f.file_id, cast(strlen(f.text) as bigint) as size, (select count(*) from groups g where g.file_id = f.file_id) as n_groups, (select count(*) from rules r where r.file_id = f.file_id) as n_rules,
+      (select count(*) from lines l where l.file_id = f.file_id and l.kind = 'sitemap') as n_sitemaps, coalesce(c.errors, 0) as errors, coalesce(c.warnings, 0) as warnings, coalesce(c.infos, 0) as infos, coalesce(s.n, 0) as security_findings,
+      coalesce(a.blocked, 0) as ai_training_blocked, coalesce(a.total, 0) as ai_training_total, case when t.whole and t.n_allow = 0 then 'blocked' when coalesce(t.n_disallow, 0) = 0 then 'open' else 'partial' end as policy, t.token is not null as has_star_group, p.platform
+    from files f left join counts c using (file_id) left join sec s using (file_id) left join ai a using (file_id) left join primary_platform p using (file_id) left join sums t on t.file_id = f.file_id and t.token = '*'""",
     "fetch_findings_levels": "",
     "body_hashes": BASE
     + """select file_id, case when text = '' then '' else lower(lpad(to_hex(cast(list_reduce(list_prepend(cast(14695981039346656037 as uhugeint), list_transform(regexp_extract_all(hex(encode(text)), '..'),
