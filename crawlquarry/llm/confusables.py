@@ -46,8 +46,8 @@ LETTER_PAIRS = dict(
         "ABESIJKMHOPCTYXaeopcyxsijdhqwkvIlYyGe" "ABEZHIKMNOPTYXovipuakCcjFy" "SUOLNounhgjqf" "ABCEHJKLMPRSTVZDRWGiW" "ABCDEFGHIJKLMNOPRSTUVWXYZ" "OoPpCcXHIKMNT" "agi",
     )
 )
-#: ordinary spellings that are drawn alike; none of them is a case (fixed values)
-SPELLINGS = ("şș", "ŞȘ", "ţț", "ŢȚ", "ÐĐƉ", "đɖ", "əǝ", "ƏƎ", "æӕ", "ÆӔ", "µμ", "’ʼ", "‘ʻ", "“‟", "–‒−", "‐‑", "—―", "·‧∙⋅", "•‣", "…⋯")
+#: ordinary spellings of one script that are drawn alike; none of them is a case (fixed values)
+SPELLINGS = ("şș", "ŞȘ", "ţț", "ŢȚ", "ÐĐƉ", "đɖ", "əǝ", "ƏƎ", "’ʼ", "‘ʻ", "“‟", "–‒−", "‐‑", "—―", "·‧∙⋅", "•‣", "…⋯")
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0"
 JOINERS = "\u200c\u200d\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f"
 TYPOGRAPHIC = "\u2026\u2025\u2024"

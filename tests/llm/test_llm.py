@@ -42,7 +42,7 @@ def test_variants_become_one_form(rewriter, text, plain):
     assert not rewriter.find(plain)
 
 
-@pytest.mark.parametrize("text", ["", "plain\tascii\r\n", "déjà vu", "Не обходите раздел poppy", "Паук", "Αράχνη bot", "“a” – b…", "👩‍💻 ❤️", "صفحه‌ها را", "﻿User-agent: *", "このsorrelページは", "m² 5º", "Страница ABC", LONG])
+@pytest.mark.parametrize("text", ["", "plain\tascii\r\n", "déjà vu", "Не обходите раздел poppy", "Паук", "Αράχνη bot", "“a” – b…", "👩‍💻 ❤️", "صفحه‌ها را", "﻿User-agent: *", "このsorrelページは", "m² 5º", "Страница ABC", "κάθε μήνα 5 µm", "ӕ", LONG])
 def test_ordinary_text_stays(rewriter, text):
     assert rewriter.find(text) == [] and rewriter.rewrite(text) == text
 
