@@ -329,6 +329,7 @@ QUERIES = {
     "semantic_flips": semantic_flips,
     "semantic_sitemaps": semantic_sitemaps,
     "semantic_issues": semantic_issues,
+    "semantic_issue_ids": lambda s, d: semantic_issues(s, d).drop("message"),
     "unified_diffs": unified_diffs,
     "change_history": change_history,
     "body_hashes": body_hashes,

@@ -497,9 +497,32 @@ SQL = {
       (select count(*) from lines l where l.file_id = f.file_id and l.kind = 'sitemap') as n_sitemaps, coalesce(c.errors, 0) as errors, coalesce(c.warnings, 0) as warnings, coalesce(c.infos, 0) as infos, coalesce(s.n, 0) as security_findings,
       coalesce(a.blocked, 0) as ai_training_blocked, coalesce(a.total, 0) as ai_training_total, case when t.whole and t.n_allow = 0 then 'blocked' when coalesce(t.n_disallow, 0) = 0 then 'open' else 'partial' end as policy, t.token is not null as has_star_group, p.platform
     from files f left join counts c using (file_id) left join sec s using (file_id) left join ai a using (file_id) left join primary_platform p using (file_id) left join sums t on t.file_id = f.file_id and t.token = '*'""",
+    "semantic_issue_ids": _VERSIONS
+    + SCOPED
+    + SYNTAX
+    + f"""select {_KEY.format("x")}, x.id, case when x.file_id.side = 'b' then 'new' else 'resolved' end as side from syntax x
+      where not exists (select 1 from syntax y where y.id = x.id and y.variant is not distinct from x.variant and y.params = x.params and {_OTHER_SIDE.format("x", "y")})""",
+    "high_impact": _VERSIONS
+    + SCOPED
+    + SYNTAX
+    + rf""", judged_paths as (
+      select file_id, path, {first_case("p", _signatures())} as s
+      from (select *, regexp_replace(lower(path), '\$$', '') as p from rules where type = 'disallow' and path <> '' and not regexp_matches(path, '^/\**$')) where not regexp_matches(p, {text(_IGNORED)})
+    ), found as (select file_id, path, s.category as category, s.severity as severity from judged_paths where s is not null)
+    select distinct {_KEY.format("x")} from verdicts x join verdicts y on y.crawler = x.crawler and {_OTHER_SIDE.format("x", "y")} where x.verdict <> y.verdict
+    union select {_KEY.format("x")} from found x where x.file_id.side = 'b' and not exists (select 1 from found y where y.path = x.path and y.category = x.category and {_OTHER_SIDE.format("x", "y")})
+      and exists (select 1 from found z where z.file_id = x.file_id and z.path = x.path and z.severity = 'high')
+    union select {_KEY.format("x")} from syntax x where x.file_id.side = 'b' and not exists (select 1 from syntax y where y.id = x.id and y.variant is not distinct from x.variant and y.params = x.params and {_OTHER_SIDE.format("x", "y")})
+      and exists (select 1 from syntax z where z.file_id = x.file_id and z.id = x.id and z.level = 'error')""",
+    "outcome_sentences": "",
     "fetch_findings_levels": "",
     "body_hashes": BASE
     + """select file_id, case when text = '' then '' else lower(lpad(to_hex(cast(list_reduce(list_prepend(cast(14695981039346656037 as uhugeint), list_transform(regexp_extract_all(hex(encode(text)), '..'),
       lambda x: cast((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1 as uhugeint))), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) as ubigint)), 16, '0')) end as hash from files""",
 }
 del SQL["fetch_findings_levels"]
+_WHO = "case audience when 'all' then 'every crawler' when 'default' then 'crawlers without rules of their own' else array_to_string(names[1:3], ', ') || case when len(names) > 3 then ' and ' || (len(names) - 3) || ' more' else '' end end"
+SQL["outcome_sentences"] = (
+    f"select file_id, group_id, line, path || case state when 'open' then ' is open to ' || {_WHO} || '.' when 'allowed' then ' is open to ' || {_WHO} || ' because of line ' || decided_by || '.' else ' is blocked for ' || {_WHO} || ' by line ' || decided_by || '.' end as sentence from ("
+    + SQL["rule_outcomes"] + ")"
+)
