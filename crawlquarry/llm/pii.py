@@ -268,6 +268,26 @@ def _flat(text: str) -> str:
     return text if text.isascii() or not _ODD.search(text) else text.translate(_FLAT)
 
 
+#: runs of the signs that identity numbers, and telephone numbers behind their first sign, are made of
+_ID_RUN = re.compile(r"[\dA-Z][\dA-Z -]{5,}")
+_DIGIT_RUN = re.compile(r"\d[\d ().\-/]{5,}")
+
+
+def _inside(pattern: re.Pattern[str], flat: str, runs: re.Pattern[str], beyond: int) -> Iterator[re.Match]:
+    """What pattern.finditer finds, looked for in runs of its signs only; `beyond` signs behind a run may belong to it."""
+    done = 0
+    for run in runs.finditer(flat):
+        a, b = run.span()
+        while a and flat[a - 1] in "+(:ltTLeE":
+            a -= 1  # tel:+(
+        a = max(a, done)
+        while m := pattern.search(flat, a, b + beyond):
+            if m.start() >= b:
+                break
+            yield m
+            a = done = m.end()
+
+
 def grammar_spans(text: str) -> list[tuple[int, int, str]]:
     """Entities with a grammar: (start, end, kind), without overlap; mailboxes go before numbers, numbers before addresses."""
     flat = _flat(text)
@@ -278,7 +298,7 @@ def grammar_spans(text: str) -> list[tuple[int, int, str]]:
 
     taken.extend((*m.span(), "email") for m in mailboxes(flat))
     if _HAS_DIGIT.search(flat):
-        for m in ID_NUMBER.finditer(flat):
+        for m in _inside(ID_NUMBER, flat, _ID_RUN, 2):
             kind = m.lastgroup
             a, b = m.span()
             if not free(a, b):
@@ -292,11 +312,11 @@ def grammar_spans(text: str) -> list[tuple[int, int, str]]:
                 if kind == "pass" and not labelled and not re.search(r"\d.*[A-Z]|[A-Z].*\d", m.group()[1:8] + "0A"):
                     continue
                 taken.append((a, b, "id_number"))
-        for m in PHONE.finditer(flat):
+        for m in _inside(PHONE, flat, _DIGIT_RUN, 24):
             digits = sum(c.isdigit() for c in m.group())
             if 7 <= digits <= 20 and free(*m.span()):
                 taken.append((*m.span(), "phone"))
-        for m in _LOOSE_NUMBER.finditer(flat):
+        for m in _inside(_LOOSE_NUMBER, flat, _DIGIT_RUN, 1):
             a, b = m.span()
             if _CALLED.search(flat, max(0, a - 24), a) and 7 <= sum(c.isdigit() for c in m.group()) <= 15 and free(a, b) and not _DATE.search(m.group()):
                 taken.append((a, b, "phone"))
@@ -304,8 +324,10 @@ def grammar_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
-#: every form of _AT without a plain @ holds one of these
-_MAYBE_AT = re.compile(r"\bat\b|arroba|&#64;|%40|&commat;|_at_|[(\[{<]\s*(?:ät|chez)\s*[)\]}>]|\(a\)", re.I)
+#: every form of _AT without a plain @ holds one of these; the word alone needs a host name behind it
+_MAYBE_AT = re.compile(
+    rf"\s(?:AT|at)\s+{_LABEL}(?:\.|{_DOT})|[(\[{{<]\s*(?:at|AT|At|ät|chez)\s*[)\]}}>]|arroba|\(a\)|_AT_|_at_|&#64;|&commat;|%40"
+)
 _HAS_DIGIT = re.compile(r"\d")
 
 # -- candidate pairs and their contexts ----------------------------------------------------------------------------
