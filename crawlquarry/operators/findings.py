@@ -207,14 +207,27 @@ def _explode(df: DataFrame, *keep: str) -> DataFrame:
     return df.select("file_id", *keep, F.explode_outer("found").alias("f")).where("f is not null").select("file_id", *keep, "f.phase", "f.line", "f.id", "f.level", "f.kind", "f.variant", "f.params")
 
 
+#: signs in a value without which no finding about it is possible: wildcards alone, other than visible ASCII, regular expressions, placeholders
+_ODD_VALUE = r"(?i)^\*+\z|[^!-~]|\\\.|\^/|\(\?|\[a-z|\[0-9|\.\+|\||example\.(com|org|net)|domainnamehere|your[-_]?domain|your-?site|mydomain\.com|<|\{\{"
+
+
+def _may_be_odd(x: Column, first_group: Column) -> Column:
+    """False only for lines that can have no finding: most lines of most files, which then need no further look."""
+    value = x["value"]
+    rule = (x["kind"] == "rule") & (x["n"] > first_group) & value.rlike(r"^[/*]")
+    agent = (x["kind"] == "user-agent") & (x["token"] != "") & ((x["token"] == "*") | (x["token"] == F.lower(value)))
+    plain = (rule | agent | ((x["kind"] == "sitemap") & valid_http_url(value))) & ~value.rlike(_ODD_VALUE)
+    return ~F.coalesce(plain & x["comment"].isNull() & x["junk"].isNull() & ~x["misspelt"] & ~x["lookalike"], F.lit(False))
+
+
 def _syntax() -> Column:
     """Array of the syntax findings of a parsed row."""
     first_line = lambda kind: F.coalesce(F.get(F.filter("lines", lambda x: x["kind"] == kind), F.lit(0))["n"], F.lit(2_000_000_000))
     delays = F.flatten(F.transform("groups", lambda g: F.transform(F.filter(g["delays"], lambda d: d["delay"].isNotNull()), lambda d: F.named_struct(F.lit("start"), g["start_line"], F.lit("line"), d["line"]))))
     first_delay = F.array_min(F.flatten(F.transform("groups", lambda g: F.transform(g["delays"], lambda d: d["line"]))))
     context = F.named_struct(F.lit("group"), first_line("user-agent"), F.lit("host"), first_line("host"), F.lit("delay"), first_delay, F.lit("delays"), delays, F.lit("nameless"), _nameless(F.col("groups")))
-    written = F.filter("lines", lambda x: x["kind"] != "blank")
-    single = let(context, lambda c: F.flatten(F.transform(written, lambda x: _line_findings(x, c["group"], c["host"], c["delay"], c["delays"], c["nameless"]))))
+    odd = lambda c: F.filter("lines", lambda x: (x["kind"] != "blank") & _may_be_odd(x, c["group"]))
+    single = let(context, lambda c: F.flatten(F.transform(odd(c), lambda x: _line_findings(x, c["group"], c["host"], c["delay"], c["delays"], c["nameless"]))))
     return F.concat(_file_findings(F.col("lines")), _group_findings(F.col("groups")), single)
 
 
