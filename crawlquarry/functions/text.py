@@ -168,8 +168,8 @@ def clean_parameters(path: Column, names: Column) -> Column:
 
 
 def kib(size: Column) -> Column:
-    """Size in KiB with one decimal, no trailing `.0`."""
-    return F.regexp_replace(F.format_string("%.1f", size.cast("double") / 1024), r"\.0\z", "")
+    """Size in KiB with one decimal (ties away from zero), no trailing `.0`."""
+    return F.regexp_replace(F.format_string("%.1f", F.round(size.cast("double") / 102.4) / 10), r"\.0\z", "")
 
 
 def csv_cell(c: Column) -> Column:

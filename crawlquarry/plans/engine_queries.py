@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crawlquarry import config as C
 from crawlquarry.analysis import analyze
 from crawlquarry.functions.messages import outcome_sentences, worded
-from crawlquarry.functions.text import body_hash, date_of, normalise_encoding, sample_path
+from crawlquarry.functions.text import body_hash, date_of, kib, normalise_encoding, sample_path
 from crawlquarry.operators import diff as D
 from crawlquarry.operators import findings as G
 from crawlquarry.operators import match as M
@@ -299,6 +299,8 @@ QUERIES = {
     "extensions": _with_pack(R.extensions),
     "mined_documents": mined_documents,
     "comment_tickets": comment_tickets,
+    "comment_addresses": lambda s, d: mined_documents(s, d).where("kind in ('email', 'ip')").select("file_id", "kind", "value", "remark"),
+    "file_kib": lambda s, d: _parsed(s, d).select("file_id", kib(F.col("size")).alias("kib")),
     "recon_counts": _recon_counts,
     "ai_status": lambda s, d: U.ai_status(_verdicts(s, d), AI),
     "leaderboard": lambda s, d: U.leaderboard(_verdicts(s, d), AI),
@@ -313,6 +315,7 @@ QUERIES = {
     "tab_lines": tab_lines,
     "summary_texts": lambda s, d: _analysis(s, d).summary_text,
     "crawl_records": lambda s, d: _analysis(s, d).records,
+    "crawl_record_counts": lambda s, d: _analysis(s, d).records.drop("crawlers"),
     "security_categories": security_categories,
     "security_changes": security_changes,
     "high_impact": high_impact,

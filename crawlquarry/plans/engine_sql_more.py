@@ -521,6 +521,33 @@ SQL = {
       lambda x: cast((instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1 as uhugeint))), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) as ubigint)), 16, '0')) end as hash from files""",
 }
 del SQL["fetch_findings_levels"]
+SQL["line_notes"] = (
+    BASE + NORMAL + SCOPED + SYNTAX + SEO + MAPS + ANSWERS + LEGACY
+    + """, placed_ids as (
+      select file_id, line, id, case when id in ('parser.bom', 'parser.utf16', 'parser.serverErrorOutput', 'parser.pluginOutput', 'parser.htmlFragment') then 0 when id = 'parser.emptyGroup' then 2 else 1 end as phase from syntax where line is not null
+      union all select file_id, line, id, case id when 'seo.trailingSlash' then 3 when 'seo.selfBlock' then 4 when 'seo.caseSensitive' then 5 when 'lint.absoluteUrl' then 9 when 'seo.duplicate' then 7 when 'seo.redundant' then 7 when 'seo.overridden' then 7 else 6 end from seo
+      union all select file_id, line, id, 8 from maps_found union all select file_id, line, id, 10 from old_tools
+    ) select file_id, line, list(id order by phase, id) as ids from placed_ids group by 1, 2"""
+)
+SQL["file_kib"] = r"select distinct on (fetch_id) fetch_id as file_id, regexp_replace(printf('%.1f', round(strlen(case when coalesce(status between 200 and 299, false) and not coalesce(redirect_limit, false) then coalesce(text, '') else '' end) / 102.4) / 10), '\.0$', '') as kib from fetches where fetch_id is not null"
+SQL["comment_addresses"] = rf"""with found as (
+      select doc_id, 'email' as kind, unnest(regexp_extract_all(text, {text(_M["email"])}, 1)) as v from documents union all select doc_id, 'ip', unnest(regexp_extract_all(text, {text(_M["ip"])}, 1)) from documents
+    ) select doc_id as file_id, kind, min(v) as value, any_value(case when kind = 'ip' then case when regexp_matches(v, '^(10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)') then 'private' else 'public' end end) as remark from found group by doc_id, kind, lower(v)"""
+SQL["dates_in_documents"] = rf"""with words as (select doc_id, unnest(regexp_extract_all(text, {text(_M["text_date"])}, 1)) as t from documents),
+    parts as (select *, lower(t) as l, list_filter(regexp_extract_all(t, '[0-9]+'), lambda x: length(x) = 4)[-1] as y, try_cast(regexp_extract_all(t, '\b([0-9]{{1,2}})\b', 1)[1] as int) as d from words),
+    months as (select *, list_filter(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lambda m: contains(l, m))[1] as m from parts)
+    select distinct doc_id, t, try_cast(y || '-' || lpad(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], m)::varchar, 2, '0') || '-' || lpad((case when d between 1 and 31 then d else 1 end)::varchar, 2, '0') as date) as day from months
+    union select doc_id, 'created', cast(created_at as date) from documents where created_at is not null"""
+SQL["crawl_record_counts"] = (
+    EVERY.replace("\n, every as", PLATFORMS + SECURITY + "\n, every as")
+    + """, counts as (select file_id, count(*) filter (level = 'error') as errors, count(*) filter (level = 'warning') as warnings from every group by 1), sec as (select file_id, count(*) as n from security group by 1),
+    ai as (select file_id, count(*) filter (verdict = 'blocked') as blocked, count(*) as total from verdicts where category = 'ai_training' group by 1),
+    fr as (select distinct on (fetch_id) fetch_id, bytes, len(redirects) as redirects from fetches), hashes as (""" + SQL["body_hashes"].replace(BASE, "") + """)
+    select f.file_id as record_id, f.domain, true as ok, f.status, f.final_url, r.redirects, r.bytes, x.hash, (select count(*) from groups g where g.file_id = f.file_id) as n_groups, (select count(*) from rules q where q.file_id = f.file_id) as n_rules,
+      (select count(*) from lines l where l.file_id = f.file_id and l.kind = 'sitemap') as n_sitemaps, coalesce(c.errors, 0) as errors, coalesce(c.warnings, 0) as warnings, coalesce(s.n, 0) as security_findings, p.platform,
+      coalesce(a.blocked, 0) as ai_training_blocked, coalesce(a.total, 0) as ai_training_total
+    from files f left join counts c using (file_id) left join sec s using (file_id) left join ai a using (file_id) left join primary_platform p using (file_id) left join fr r on r.fetch_id = f.file_id left join hashes x on x.file_id = f.file_id"""
+)
 _WHO = "case audience when 'all' then 'every crawler' when 'default' then 'crawlers without rules of their own' else array_to_string(names[1:3], ', ') || case when len(names) > 3 then ' and ' || (len(names) - 3) || ' more' else '' end end"
 SQL["outcome_sentences"] = (
     f"select file_id, group_id, line, path || case state when 'open' then ' is open to ' || {_WHO} || '.' when 'allowed' then ' is open to ' || {_WHO} || ' because of line ' || decided_by || '.' else ' is blocked for ' || {_WHO} || ' by line ' || decided_by || '.' end as sentence from ("

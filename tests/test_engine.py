@@ -417,3 +417,7 @@ def test_hashes_of_many_texts():
     rnd = random.Random(4)
     values = [bytes(rnd.randrange(256) for _ in range(rnd.choice([0, 1, 7, 300]))) for _ in range(60)]
     assert T.fnv1a_batch(values) == [T.fnv1a_64(v) if v else "" for v in values] and T.fnv1a_batch([]) == []
+
+
+def test_kib_ties(spark):
+    assert [r[0] for r in spark.createDataFrame([(256,), (768,), (1024,), (1500,)], "n long").select(T.kib(F.col("n"))).collect()] == ["0.3", "0.8", "1", "1.5"]
