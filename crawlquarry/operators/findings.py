@@ -231,8 +231,13 @@ def _syntax() -> Column:
     return F.concat(_file_findings(F.col("lines")), _group_findings(F.col("groups")), single)
 
 
+def with_syntax(parsed: DataFrame) -> DataFrame:
+    """Adds `found`, the array of the file's syntax findings."""
+    return parsed.withColumn("found", _syntax())
+
+
 def syntax_findings(parsed: DataFrame) -> DataFrame:
-    return _explode(parsed.withColumn("found", _syntax()))
+    return _explode(with_syntax(parsed))
 
 
 # -- search visibility ---------------------------------------------------------------------------------------------

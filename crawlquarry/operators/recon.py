@@ -47,11 +47,9 @@ def sensitive_paths(parsed: DataFrame, config: dict[str, Any], platforms: DataFr
     rows = rows.withColumn("p", F.regexp_replace(F.lower("path"), r"\$\z", ""))
     for x in config["security"].get("ignore", []):
         rows = rows.where(~F.col("p").rlike(x))
-    ordered = sorted(enumerate(config["security"]["signature"]), key=lambda s: (SEVERITY_RANK[s[1]["severity"]], s[0]))
     entries = []
-    for _, s in ordered:
-        patterns = ([C.keyword_pattern(s["keywords"])] if s.get("keywords") else []) + ([s["pattern"]] if s.get("pattern") else [])
-        entries.append(("|".join(f"(?:{x})" for x in patterns), F.struct(F.lit(s["category"]).alias("category"), F.lit(s["severity"]).alias("severity"), F.lit(s["reason"]).alias("reason"))))
+    for s in sorted(config["security"]["signature"], key=lambda s: SEVERITY_RANK[s["severity"]]):
+        entries.append((_signature(s), F.struct(F.lit(s["category"]).alias("category"), F.lit(s["severity"]).alias("severity"), F.lit(s["reason"]).alias("reason"))))
     rows = rows.where(F.col("p").rlike("|".join(x for x, _ in entries))).withColumn("s", _first_case(F.col("p"), entries)).where("s is not null")
     if platforms is not None:
         stock = [(p["name"], d.lower()) for p in config.get("platform", []) for d in p.get("defaults", [])]
@@ -61,6 +59,29 @@ def sensitive_paths(parsed: DataFrame, config: dict[str, Any], platforms: DataFr
     return rows.select("file_id", "path", "line", "s.category", "s.severity", "s.reason", "user_agents")
 
 
+def _signature(s: dict[str, Any]) -> str:
+    patterns = ([C.keyword_pattern(s["keywords"])] if s.get("keywords") else []) + ([s["pattern"]] if s.get("pattern") else [])
+    return "|".join(f"(?:{x})" for x in patterns)
+
+
+def grave_paths(groups: Column, config: dict[str, Any]) -> Column:
+    """Paths that sensitive_paths, without platforms, gives the severity `high`, as an array in the row of the file.
+
+    The most severe signature wins, so one of that severity is enough.
+    """
+    high = "|".join(_signature(s) for s in config["security"]["signature"] if s["severity"] == "high") or r"(?!)"
+    rules = F.filter(F.flatten(F.transform(groups, lambda g: g["rules"])), lambda r: (r["type"] == "disallow") & (r["path"] != "") & ~whole_site(r["path"]))
+
+    def grave(path: Column) -> Column:
+        low = F.regexp_replace(F.lower(path), r"\$\z", "")
+        hit = low.rlike(high)
+        for x in config["security"].get("ignore", []):
+            hit = hit & ~low.rlike(x)
+        return hit
+
+    return F.filter(F.array_distinct(F.transform(rules, lambda r: r["path"])), grave)
+
+
 def security_categories(findings: DataFrame, config: dict[str, Any]) -> DataFrame:
     """Categories present in each file, in the pack's order, with label and advice."""
     info = {c["id"]: (i, c["label"], c["advice"]) for i, c in enumerate(config["security"]["category"])}
