@@ -393,6 +393,14 @@ def test_cards_actions_and_texts(spark):
     assert a.lines.count() and a.groups.count() and a.rules.count() and a.issues.where("message is null").count() == 0 and a.sitemaps.count() == 0 and a.star.count() == 4 and a.ai.count() == 4
 
 
+def test_shared_tables_are_written_once(spark):
+    from crawlquarry.analysis import analyze
+
+    a = analyze(parsed(spark, "User-agent: *\nDisallow: /wp-admin/"), crawlers(spark), once=True)
+    assert a.scores.inputFiles() and not set(a.scores.inputFiles()) & set(a.parsed.inputFiles())
+    assert a.recon["platforms"] is a.scores and a.scores.first()["platform"]
+
+
 def test_rule_pack_checks():
     from crawlquarry import analysis
 
